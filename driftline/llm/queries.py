@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing
+from . import chat_repair, exact_dedup, language_id, line_dedup, mixing, packing, phrases, secret_scan, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,14 +17,44 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op2_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.repair(table(spark, sf_dir, "conversations"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secret_scan.train(secret_scan.example_findings(spark))
+    return secret_scan.scan(table(spark, sf_dir, "documents"), model)
+
+
+def op4_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
@@ -66,5 +96,32 @@ SELECT doc_id, source, size, source_size, target,
 FROM x
 """
 
-QUERIES = {"op6_exact_dedup": op6_exact_dedup, "op8_packing": op8_packing, "op10_mixing": op10_mixing}
-ORACLES = {"op6_exact_dedup": OP6_SQL, "op10_mixing": OP10_SQL}
+OP5_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS unit, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
+placed AS (
+  SELECT doc_id, unit, CAST(sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(unit) - 1 AS BIGINT) AS "start" FROM lines),
+units AS (
+  SELECT doc_id, "start", CAST("start" + length(unit) AS BIGINT) AS "end",
+    trim(regexp_replace(lower(unit), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS clean FROM placed),
+known AS (
+  SELECT doc_id, "start", "end", count(*) OVER w AS occurrences, min({'d': doc_id, 's': "start"}) OVER w AS keep
+  FROM units WHERE clean <> '' AND length(clean) - length(replace(clean, ' ', '')) >= 4
+  WINDOW w AS (PARTITION BY clean))
+SELECT doc_id, "start", "end", keep.d AS keep_doc_id, keep.s AS keep_start, occurrences FROM known
+WHERE occurrences > 1 AND NOT (keep.d = doc_id AND keep.s = "start")
+"""
+
+QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_chat_repair": op2_chat_repair,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_phrase_fingerprints": op4_phrase_fingerprints,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_exact_dedup": op6_exact_dedup,
+    "op7_toxicity": op7_toxicity,
+    "op8_packing": op8_packing,
+    "op9_simhash": op9_simhash,
+    "op10_mixing": op10_mixing,
+}
+ORACLES = {"op5_line_dedup": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op10_mixing": OP10_SQL}
