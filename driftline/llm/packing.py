@@ -9,6 +9,7 @@ cut anew: into full windows and windows of a power of two, which need no padding
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -27,51 +28,82 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 # the tokenizer's own word pattern, for text below U+0250 where lower case and character classes agree
 _SIMPLE = re.compile("[\x00-ɏ]*")
 _BLANK = "\t-\r \x85\xa0"
-_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_²³¹¼½¾]+|[\\d²³¹¼½¾]|(?:[^\\w{_BLANK}]|_)+")
+_WORD = re.compile(f"[^\\W\\d_²³¹¼½¾]+|[\\d²³¹¼½¾]|'s|'t|'re|'ve|'m|'ll|'d|(?:[^\\w{_BLANK}]|_)+")
 _SPACE = re.compile(r"\s")
 
 
 class Encoder:
-    """Ids of a text as little-endian 32-bit bytes: words are split here, and each is encoded once while it is cached."""
+    """Ids of texts as little-endian 32-bit bytes.
+
+    Words are split here and looked up; the tokenizer sees each new one once while it is remembered. Two
+    generations of at most `most` words are kept: the older one goes when the newer is full.
+    """
 
     def __init__(self, path: str, most: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most, self.known, self.old = Tokenizer.from_file(path), most, {}, {}
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added)) or r"(?!)")
+        ids = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(ids.values()) + 1, bool)
+        self.ends[[k for w, k in ids.items() if w.endswith("</w>")]] = True
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
+    def _encode_words(self, words: list[str]) -> None:
+        """Encodes new words as one text; an id that ends a word shows where the next begins."""
+        (found,) = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        ids = np.asarray(found.ids, "<u4")
+        ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(ends) != len(words):
+            self.known.update((w, self._whole(w)) for w in words)
+            return
+        raw = ids.tobytes()
+        self.known.update(zip(words, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=False))
+
+    def _learn(self, words: set[str]) -> None:
+        new = words - self.known.keys()
         if len(self.known) + len(new) > self.most:
-            self.known, new = {}, list(words)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.asarray(e.ids, "<u4").tobytes()
+            self.old, self.known, new = self.known, {}, words
+        again = new & self.old.keys()
+        self.known.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        if new := new - again:
+            self._encode_words(list(new))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        parts = [self._parts(t) for t in texts]
+        self._learn(set().union(*(words for p in parts for words in p if isinstance(words, list))))
+        get = self.known.__getitem__
+        return [b"".join(b"".join(map(get, c)) if isinstance(c, list) else c for c in p) for p in parts]
 
     def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
+
+    def _parts(self, text: str) -> list[list[str] | bytes]:
+        """Words; or ids, of texts whose words can't be told apart here."""
         if self.special.search(text):
-            return self._whole(text)
+            return [self._whole(text)]
         out, at = [], 0
         while at < len(text):
             to = len(text)
             if to - at > STRIDE:  # words don't span white space
                 cut = _SPACE.search(text, at + STRIDE)
                 to = cut.end() if cut else to
-            part = text[at:to]
+            part = text[at:to] if to - at < len(text) else text
             at = to
-            if not _SIMPLE.fullmatch(part):
-                out.append(self._whole(part))
-                continue
-            words = _WORD.findall(part.lower())
-            try:
-                out.append(b"".join(map(self.known.__getitem__, words)))
-            except KeyError:
-                self.learn(set(words))
-                out.append(b"".join(map(self.known.__getitem__, words)))
-        return b"".join(out)
+            simple = part.isascii() or _SIMPLE.fullmatch(part)
+            out.append(_WORD.findall(part.lower()) if simple else self._whole(part))
+        return out
+
+
+def encoder(path: str) -> Encoder:
+    """This process's encoder: a Python worker keeps what it has learnt from one task to the next."""
+    kept = sys.__dict__.setdefault("_driftline_encoders", {})
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 class SumOfSquares:
@@ -159,18 +191,30 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(tokenizer)
+        encode = encoder(tokenizer)
         packer = SumOfSquares(TaskContext.get().partitionId() << 40, window)
         columns = [c.split()[0] for c in SCHEMA.split(", ")]
-        frame = lambda rows: pd.DataFrame(rows, columns=columns).astype({c: "Int64" for c in columns})
+
+        def frame(rows: list[tuple]) -> pd.DataFrame:
+            found = dict(zip(columns, zip(*rows, strict=True), strict=True))
+            return pd.DataFrame(found | {"doc_id": pd.array(found["doc_id"], "Int64")})
+
         end = np.asarray([END_ID], "<u4").tobytes()
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch["d"].tolist(), batch["t"].tolist(), strict=True):
-                ids = (encoder.encode(text) if text else b"") + end
-                rows += packer.place((None if pd.isna(doc) else int(doc), 0, ids, len(ids) // 4))
-            if rows:
-                yield frame(rows)
-        yield frame(list(packer.flush()))
-
-    return docs.select(docs[id_col].cast("long").alias("d"), docs[text_col].alias("t")).mapInPandas(run, SCHEMA)
+            docs, texts, at = batch["d"].tolist(), [t or "" for t in batch["t"].tolist()], 0
+            while at < len(texts):
+                to, chars = at + 1, len(texts[at])
+                while to < len(texts) and chars + len(texts[to]) <= STRIDE:
+                    chars += len(texts[to])
+                    to += 1
+                rows = []
+                for doc, ids in zip(docs[at:to], encode.encode_all(texts[at:to]), strict=True):
+                    ids += end
+                    rows += packer.place((int(doc) if doc else None, 0, ids, len(ids) // 4))
+                at = to
+                if rows:
+                    yield frame(rows)
+        if rows := list(packer.flush()):
+            yield frame(rows)
+
+    return docs.select(docs[id_col].cast("long").cast("string").alias("d"), docs[text_col].alias("t")).mapInPandas(run, SCHEMA)
