@@ -1,14 +1,18 @@
-"""Substring dedup: units of text (lines) that occur more than once are kept where they come first.
+"""Substring dedup: units of text that occur more than once are kept where they come first.
 
-Units are normalised and hashed, digests grouped over all documents, and every later
-occurrence is a span of the original text to cut. Only digests and offsets shuffle.
+A unit is a line. A long line is wrapped at words that its content picks, so a passage inside
+lines that are otherwise different has whole units in common as well. Units are normalised and
+hashed, digests grouped over all documents, and every later occurrence is a span of the
+original text to cut. Only digests and offsets shuffle.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -17,11 +21,16 @@ from pyspark.sql import functions as F
 from ..session import written
 
 SEPARATOR = "\n"
-MIN_WORDS = 5  # shorter units repeat by chance or by design, and stay
+MIN_WORDS = 5  # shorter lines repeat by chance or by design, and stay
+MIN_WRAPPED = 8  # shorter parts of a line do
+LONG = 24  # words of a line that isn't wrapped
+REACH = 6  # words to either side that a break must come before in hash order
 HOT_GROUPS = 1024  # at most so many digests are joined by broadcast
 BATCH_UNITS = 20_000
+KNOWN_WORDS = 200_000  # hashes that a task remembers
 
 _WHITE = re.compile(r"[\x20\x09-\x0D]+")
+_LAST = np.iinfo(np.int64).max
 
 
 def normal(unit: str) -> str:
@@ -29,14 +38,68 @@ def normal(unit: str) -> str:
     return _WHITE.sub(" ", unit.lower()).strip(" ")
 
 
-def units(text: str | None, separator: str = SEPARATOR, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, digest) of the units of at least min_words words; offsets are code points, the separator is outside."""
-    at = 0
-    for unit in (text or "").split(separator):
-        clean = normal(unit)
-        if clean and clean.count(" ") + 1 >= min_words:
-            yield at, at + len(unit), xxhash.xxh3_128_digest(clean.encode("utf-8", "surrogatepass"))
-        at += len(unit) + len(separator)
+class WordHashes(dict):
+    """60 bits of the MD5 of each word, remembered."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        self[word] = found = int(hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest()[:15], 16)
+        return found
+
+
+def breaks(lines: list[list[str]], hashes: WordHashes) -> list[list[int]]:
+    """For each line's words the places that units start at: words whose hash is less than those of the REACH
+    words before and no more than those of the REACH words after, as far as the line goes."""
+    pad = [_LAST] * REACH
+    row = list(pad)
+    for words in lines:
+        row += map(hashes.__getitem__, words)
+        row += pad
+    h = np.array(row, np.int64)
+    n = len(h) - 2 * REACH
+    before = after = np.full(n, _LAST)
+    for k in range(1, REACH + 1):
+        before = np.minimum(before, h[REACH - k : REACH - k + n])
+        after = np.minimum(after, h[REACH + k : REACH + k + n])
+    own = h[REACH : REACH + n]
+    picked = np.flatnonzero((own < before) & (own <= after))
+    out, at = [], 0
+    for words in lines:
+        lo, hi = np.searchsorted(picked, [at + 1, at + len(words)])
+        out.append((picked[lo:hi] - at).tolist())
+        at += len(words) + REACH
+    return out
+
+
+def units(
+    text: str | None, separator: str = SEPARATOR, min_words: int = MIN_WORDS, min_wrapped: int = MIN_WRAPPED, hashes: WordHashes | None = None
+) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, digest) of the units that have enough words; offsets are code points, separators are outside.
+
+    Words for wrapping are what stands between single spaces, those of a unit what stands between white space.
+    """
+    hashes = WordHashes() if hashes is None else hashes
+    at, spans, long = 0, [], []
+    for line in (text or "").split(separator):
+        if line.count(" ") < LONG:
+            spans.append((at, line, None))
+        else:
+            spans.append((at, line, len(long)))
+            long.append(line.lower().split(" "))
+        at += len(line) + len(separator)
+    starts = breaks(long, hashes) if long else []
+    for at, line, k in spans:
+        if k is None or not starts[k]:
+            parts, least = [(0, len(line))], min_words
+        else:
+            place = np.cumsum([0, *(len(w) + 1 for w in line.split(" "))])
+            cuts = [0, *place[starts[k]].tolist(), len(line) + 1]
+            parts, least = [(a, b - 1) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], min_wrapped
+        for a, b in parts:
+            clean = normal(line[a:b])
+            if clean and clean.count(" ") + 1 >= least:
+                yield at + a, at + b, xxhash.xxh3_128_digest(clean.encode("utf-8", "surrogatepass"))
 
 
 def unit_table(docs: DataFrame, id_col: str, text_col: str, separator: str, min_words: int) -> DataFrame:
@@ -49,11 +112,11 @@ def unit_table(docs: DataFrame, id_col: str, text_col: str, separator: str, min_
             columns = dict(zip(names, zip(*rows, strict=True), strict=True))
             return pd.DataFrame(columns | {"doc_id": pd.array(columns["doc_id"], "Int64")})
 
-        rows = []
+        rows, hashes = [], WordHashes()
         for batch in batches:
             for doc, text in zip(batch["d"], batch["t"], strict=True):
                 doc = int(doc) if doc else None
-                for unit in units(text, separator, min_words):
+                for unit in units(text, separator, min_words, hashes=hashes):
                     rows.append((doc, *unit))
                     if len(rows) >= BATCH_UNITS:
                         yield frame(rows)
@@ -71,11 +134,11 @@ def repeated_spans(
     """Spans to remove: doc_id, start, end, keep_doc_id, keep_start, occurrences.
 
     Of equal units the one of the least (doc_id, start) stays, null ids last; every other
-    one is a row, within one document too. Rows of one id are one document: a unit at the
-    same place in each counts once. Null and empty texts have no units; other columns are
-    ignored.
+    one is a row, within one document too. Rows of one id are one document: a unit that is at the
+    same place in each is the same unit, though it counts as two occurrences. Null and empty texts have
+    no units; other columns are ignored.
     """
-    found = written(unit_table(docs, id_col, text_col, separator, min_words).distinct(), "units")
+    found = written(unit_table(docs, id_col, text_col, separator, min_words), "units")
     first = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("doc_id"), F.col("start").alias("start"))
     groups = found.groupBy("digest").agg(F.count("*").alias("occurrences"), F.min(first).alias("keep"))
     groups = written(groups.where("occurrences > 1"), "repeated")
@@ -85,20 +148,22 @@ def repeated_spans(
     stays = F.col("keep.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("keep.start") == F.col("start"))
     return joined.where(~stays).select(
         "doc_id", "start", "end", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start"), "occurrences"
-    )
+    ).distinct()
 
 
 def cut(text: str | None, spans: list[tuple[int, int]], separator: str = SEPARATOR) -> str | None:
-    """The text without the spans, and without the separator after each (before it, at the end)."""
+    """The text without the spans, each with the separator or space after it; a text that so ends in one loses that too."""
     if text is None or not spans:
         return text
     out, at = [], 0
     for start, end in sorted(spans):
         out.append(text[at:start])
-        at = min(end + len(separator), len(text))
+        at = min(end + 1, len(text)) if text[end : end + 1] == " " else min(end + len(separator), len(text))
     out.append(text[at:])
     rest = "".join(out)
-    return rest.removesuffix(separator) if at == len(text) and not text.endswith(separator) else rest
+    if at < len(text) or text.endswith((separator, " ")):
+        return rest
+    return rest.removesuffix(separator).removesuffix(" ")
 
 
 def remove_repeats(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -98,15 +98,28 @@ FROM x
 
 OP5_SQL = r"""
 WITH lines AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS unit, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
 placed AS (
-  SELECT doc_id, unit, CAST(sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(unit) - 1 AS BIGINT) AS "start" FROM lines),
-units AS (
-  SELECT doc_id, "start", CAST("start" + length(unit) AS BIGINT) AS "end",
-    trim(regexp_replace(lower(unit), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS clean FROM placed),
+  SELECT doc_id, k, line, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(line) - 1 AS BIGINT) AS pos,
+    string_split(line, ' ') AS words, string_split(lower(line), ' ') AS lowered FROM lines),
+words AS (
+  SELECT doc_id, k, pos, length(line) AS size, unnest(words) AS word, unnest(lowered) AS low, generate_subscripts(words, 1) AS w FROM placed WHERE len(words) > 24),
+hashed AS (
+  SELECT *, CAST('0x' || substr(md5(low), 1, 15) AS BIGINT) AS h,
+    sum(length(word) + 1) OVER (PARTITION BY doc_id, k ORDER BY w) - length(word) - 1 AS off FROM words),
+picked AS (
+  SELECT *, w > 1 AND h < coalesce(min(h) OVER (PARTITION BY doc_id, k ORDER BY w ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), 1::BIGINT << 61)
+    AND h <= coalesce(min(h) OVER (PARTITION BY doc_id, k ORDER BY w ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING), 1::BIGINT << 61) AS cut FROM hashed),
+starts AS (SELECT doc_id, k, off AS a FROM picked WHERE cut UNION ALL SELECT doc_id, k, 0 FROM placed),
+parts AS (
+  SELECT doc_id, k, a, lead(a) OVER (PARTITION BY doc_id, k ORDER BY a) AS b, count(*) OVER (PARTITION BY doc_id, k) AS parts FROM starts),
+spans AS (
+  SELECT doc_id, CAST(pos + a AS BIGINT) AS "start", CAST(pos + coalesce(b - 1, length(line)) AS BIGINT) AS "end", parts,
+    substr(line, CAST(a + 1 AS BIGINT), CAST(coalesce(b - 1, length(line)) - a AS BIGINT)) AS unit FROM parts JOIN placed USING (doc_id, k)),
+units AS (SELECT *, trim(regexp_replace(lower(unit), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS clean FROM spans),
 known AS (
   SELECT doc_id, "start", "end", count(*) OVER w AS occurrences, min({'d': doc_id, 's': "start"}) OVER w AS keep
-  FROM units WHERE clean <> '' AND length(clean) - length(replace(clean, ' ', '')) >= 4
+  FROM units WHERE clean <> '' AND length(clean) - length(replace(clean, ' ', '')) >= CASE WHEN parts > 1 THEN 7 ELSE 4 END
   WINDOW w AS (PARTITION BY clean))
 SELECT doc_id, "start", "end", keep.d AS keep_doc_id, keep.s AS keep_start, occurrences FROM known
 WHERE occurrences > 1 AND NOT (keep.d = doc_id AND keep.s = "start")

@@ -1,3 +1,6 @@
+import hashlib
+import random
+
 from driftline.llm import line_dedup
 
 SCHEMA = "doc_id long, text string, start int, digest string"
@@ -18,18 +21,28 @@ def docs(spark):
     return spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA).repartition(3)
 
 
-def brute(rows, least=5):
+def cuts(words):
+    """Places of least hashes within six words, one at a time."""
+    h = [int(hashlib.md5(w.encode()).hexdigest()[:15], 16) for w in words]
+    return [k for k in range(1, len(h)) if all(h[k] < x for x in h[max(0, k - 6) : k]) and all(h[k] <= x for x in h[k + 1 : k + 7])]
+
+
+def brute(rows):
     seen, out = {}, set()
     for i, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
         at = 0
-        for unit in (text or "").split("\n"):
-            clean = " ".join(unit.lower().split())
-            if len(clean.split()) >= least:
-                if clean in seen:
-                    out.add((i, at, at + len(unit), *seen[clean]))
-                else:
-                    seen[clean] = (i, at)
-            at += len(unit) + 1
+        for line in (text or "").split("\n"):
+            words = line.split(" ")
+            starts = cuts([w.lower() for w in words]) if len(words) > 24 else []
+            for a, b in zip([0, *starts], [*starts, len(words)], strict=True):
+                unit, begin = " ".join(words[a:b]), at + len(" ".join([*words[:a], ""]))
+                clean = " ".join(unit.lower().split())
+                if len(clean.split()) >= (8 if starts else 5):
+                    if clean in seen:
+                        out.add((i, begin, begin + len(unit), *seen[clean]))
+                    else:
+                        seen[clean] = (i, begin)
+            at += len(line) + 1
     return out
 
 
@@ -39,6 +52,25 @@ def test_against_brute_force(spark):
     assert got == brute([(r.doc_id, r.text) for r in df.collect()]) and len(got) == 6
 
 
+def prose(seed, n):
+    rng = random.Random(seed)
+    return " ".join(rng.choice(["the", "of", "and"]) if rng.random() < 0.3 else "".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+
+
+def test_passages_inside_lines(spark):
+    passages = [prose(1000 + k, 52) for k in range(20)]
+    rows = [(k, f"{prose(k, 30 + k % 7)} {passages[k % 20]} {prose(500 + k, 40)}\n{prose(900 + k, 12)}", 1, "x") for k in range(60)]
+    clean = [(k, prose(3000 + k, 400), 1, "x") for k in range(100, 150)]
+    df = spark.createDataFrame(rows + clean, SCHEMA)
+    got = line_dedup.repeated_spans(df).collect()
+    assert {tuple(r)[:5] for r in got} == brute([(r[0], r[1]) for r in rows + clean])
+    assert {r.doc_id for r in got} >= set(range(20, 60)) - {k for k in range(60) if not cuts(passages[k % 20].split())[1:]} and max(r.doc_id for r in got) < 60
+    text = dict((r[0], r[1]) for r in rows)
+    for r in got:
+        assert text[r.doc_id][r.start : r.end] == text[r.keep_doc_id][r.keep_start : r.keep_start + r.end - r.start]
+        assert r.keep_doc_id < r.doc_id and text[r.doc_id][r.start : r.end] in passages[r.doc_id % 20]
+
+
 def test_a_line_that_many_documents_share(spark):
     rows = [(k, f"only {k} has this very line\n{A}", 1, "x") for k in range(3000)]
     out = line_dedup.repeated_spans(spark.createDataFrame(rows, SCHEMA)).collect()
@@ -62,6 +94,7 @@ def test_cut_keeps_the_rest():
     assert line_dedup.cut("a\nb\nc", [(4, 5)]) == "a\nb"
     assert line_dedup.cut("a\nb\n", [(2, 3)]) == "a\n"
     assert line_dedup.cut("a", [(0, 1)]) == ""
+    assert line_dedup.cut("a b c\nd", [(2, 3)]) == "a c\nd" and line_dedup.cut("a b", [(2, 3)]) == "a"
 
 
 def test_repeated_rows_are_one_document_and_empty_tables(spark):
