@@ -26,6 +26,13 @@ def local_session(cpus: str = "*", partitions: int = 8, app: str = "driftline")
     )
 
 
+def modest_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Bounds the bytes that a Python worker is sent at once, unless the session has a bound of its own: texts can be long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "") in ("67108864b", "64MB"):
+        spark.conf.set(key, size)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where that is unset (tests), a temporary one that is then kept in it."""
     path = spark.conf.get(SHARED, None)
