@@ -686,10 +686,10 @@ def _money(spark, d):
     return rows.select(F.col("c_nationkey").alias("nation"), F.year("o_orderdate").alias("year"), F.col("c_mktsegment").alias("key"), F.col("o_totalprice").alias("value"))
 
 
-@query(f"SELECT nation, year, {', '.join(f'''round(avg(value) FILTER (key = '{s}'), 4) AS {s}''' for s in _SEGMENTS)} FROM ({_MONEY}) GROUP BY 1, 2")
+@query(f"SELECT nation, year, {', '.join(f'''round(avg(value) FILTER (key = '{s}'), 7) AS {s}''' for s in _SEGMENTS)} FROM ({_MONEY}) GROUP BY 1, 2")
 def panel_pivot(spark, d):
     out = analytics.panel(_money(spark, d), ["nation", "year"], "key", "value", _SEGMENTS)
-    return out.select("nation", "year", *[F.round(s, 4).alias(s) for s in _SEGMENTS])
+    return out.select("nation", "year", *[F.round(s, 7).alias(s) for s in _SEGMENTS])
 
 
 @query(f"SELECT key, nation FROM ({_MONEY}) WHERE year BETWEEN 1995 AND 2001 GROUP BY 1, 2 HAVING count(DISTINCT year) = 7")
