@@ -29,7 +29,7 @@ def local_session(cpus: str = "*", partitions: int = 8, app: str = "driftline")
 def modest_batches(spark: SparkSession, size: str = "8m") -> None:
     """Bounds the bytes that a Python worker is sent at once, unless the session has a bound of its own: texts can be long."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "") in ("67108864b", "64MB"):
+    if spark.conf.get(key) == "67108864b":  # the default
         spark.conf.set(key, size)
 
 
