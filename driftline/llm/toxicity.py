@@ -23,9 +23,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import modest_batches, written
 
-SAMPLE_DOCS = 2500  # labelled documents of either label at most
+SAMPLE_DOCS = 2000  # labelled documents of either label at most
+SAMPLE_CHARS = 8000  # of each of them
 PREDICTED_FROM = 0.7
 STEM = (4, 9)  # letters of a learnt stem
 LEAST_TOXIC = 4  # toxic documents that a learnt term must be in
@@ -125,8 +126,8 @@ def grammar() -> Transducer:
 
 EVENTS = [k + n + q + a for k in (INSULT, THREAT) for n in ("", "-") for q in ("", '"') for a in ("", ">")] + ["<"]
 
-#: what is counted over the events of a text's clauses, and what a count of one weighs before any label is seen
-PRIOR = {"insult": 3.5, "threat": 4.0, "denied": -1.5, "quoted": -1.0, "aimed": 0.7}
+#: what is counted over the events of a text's clauses, and what a count of one weighs before any label is seen; length is in hundreds of words
+PRIOR = {"insult": 3.5, "threat": 4.0, "denied": -1.5, "quoted": -1.0, "aimed": 0.7, "length": 0.0}
 PRIOR_BIAS = -3.0
 
 
@@ -194,7 +195,7 @@ class Model:
             step *= 4
 
     def features(self, text: str | None) -> np.ndarray:
-        found = counted(self.events(text))
+        found = counted(self.events(text)) | {"length": (text or "").count(" ") / 100}
         return np.log2([1 + found[k] for k in PRIOR])
 
     def score(self, text: str | None) -> float:
@@ -205,20 +206,25 @@ class Model:
 def learn_terms(rows: list[tuple[str, int]]) -> list[str]:
     """Words and stems that mark toxic documents, by greedy cover: the term that reaches most documents not yet reached;
     then those that clean documents hardly ever have."""
-    sets, count = {0: [], 1: []}, {0: Counter(), 1: Counter()}
-    for text, label in rows:
+
+    def terms(text: str) -> set[str]:
         words = set(_WORD.findall(text.lower()))
-        terms = {w for w in words if len(w) >= STEM[0]}
-        terms |= {w[:n] + "*" for w in words for n in range(STEM[0], min(STEM[1], len(w) - 1) + 1)}
-        sets[label].append(terms)
-        count[label].update(terms)
-    n0, n1 = len(sets[0]) + 1, len(sets[1]) + 1
+        return {w for w in words if len(w) >= STEM[0]} | {w[:n] + "*" for w in words for n in range(STEM[0], min(STEM[1], len(w) - 1) + 1)}
+
+    toxic, clean = ([t for t, label in rows if label == y] for y in (1, 0))
+    count = {0: Counter(), 1: Counter()}
+    for text in toxic:
+        count[1].update(terms(text))
+    count[1] = Counter({t: k for t, k in count[1].items() if k >= LEAST_TOXIC})
+    for text in clean:
+        count[0].update(terms(text) & count[1].keys())
+    n0, n1 = len(clean) + 1, len(toxic) + 1
     good = {}
     for t, k in count[1].items():
         odds = ((k + 0.5) / n1) / ((count[0][t] + 0.5) / n0)
-        if k >= LEAST_TOXIC and odds >= LEAST_ODDS:
+        if odds >= LEAST_ODDS:
             good[t] = odds
-    left = [s & good.keys() for s in sets[1]]
+    left = [terms(text) & good.keys() for text in toxic]
     found, gain = [], Counter(t for s in left for t in s)
     while gain and len(found) < MAX_TERMS:
         term = max(gain, key=lambda t: (gain[t] * math.log(good[t]), -t.endswith("*"), t))
@@ -274,7 +280,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     order = known.withColumn("h", F.xxhash64("id"))
     few = [order.where(F.col("y") == y).orderBy("h", "id").limit(SAMPLE_DOCS) for y in (0, 1)]
     chosen = written(few[0].unionByName(few[1]).select("id", "y"), "labelled")
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("t")).join(F.broadcast(chosen), "id")
+    rows = docs.select(docs[id_col].alias("id"), F.substring(docs[text_col], 1, SAMPLE_CHARS).alias("t")).join(F.broadcast(chosen), "id")
     rows = sorted({(r.t, r.y) for r in rows.where("t is not null").select("t", "y").collect()})
     model = Model(sorted({*INSULTS, *learn_terms(rows)}), dict(PRIOR), PRIOR_BIAS)
     return fit(model, rows) if rows else model
@@ -286,6 +292,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Rows that repeat are scored each; other columns are ignored. All of a text is read, one text at a time.
     """
 
+    modest_batches(docs.sparkSession)
+
     @F.pandas_udf("double")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
