@@ -764,3 +764,92 @@ FROM pages
 """)
 def html_shred(spark, d):
     return table(spark, d, "pages").select(F.col("page_id").alias("doc"), readers.html_text(F.col("html")).alias("body"))
+
+
+# ---- shared relational steps
+
+
+@query("SELECT p_partkey AS id, dense_rank() OVER (ORDER BY p_brand, p_type) - 1 + 100 AS number FROM part")
+def group_ids(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_brand", "p_type")
+    return relational.group_number(rows, ["p_brand", "p_type"], "number", 100).select("id", "number")
+
+
+@query("SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS id, o_orderkey FROM orders")
+def row_ids(spark, d):
+    rows = table(spark, d, "orders").select("o_orderdate", "o_orderkey")
+    return relational.row_ids(rows, [F.col("o_orderdate"), F.col("o_orderkey")]).select("id", "o_orderkey")
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1")
+def first_per_key(spark, d):
+    rows = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return relational.keep_first(rows, ["o_custkey"], [F.col("o_totalprice").desc(), F.col("o_orderkey")])
+
+
+@query("""
+SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') AS urgent FROM customer
+""")
+def flag_members(spark, d):
+    urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select("o_custkey")
+    return relational.flagged(table(spark, d, "customer").select("c_custkey"), urgent, "c_custkey", "urgent")
+
+
+@query("""
+WITH a AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE year(o_orderdate) = 1998 GROUP BY 1), b AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE year(o_orderdate) = 1997 GROUP BY 1)
+SELECT k, coalesce(a.n, 0) - coalesce(b.n, 0) AS n FROM a FULL JOIN b USING (k)
+""")
+def yearly_difference_by_key(spark, d):
+    by = lambda y: table(spark, d, "orders").where(F.year("o_orderdate") == y).groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"))
+    return relational.difference(by(1998), by(1997), ["k"], "n")
+
+
+@query("""
+WITH p AS (SELECT CASE WHEN p_size % 4 <> 0 THEN 1 END AS lat, p_size FROM part)
+SELECT unnest([{'column': 'lat', 'missing': count(*) - count(lat), 'size': count(*)}, {'column': 'id', 'missing': 0, 'size': count(*)}], recursive := true) FROM p
+""")
+def register_missing(spark, d):
+    return registers.missing_report(_part_registers(spark, d), ["lat", "id"])
+
+
+@query("""
+SELECT CASE WHEN p_size % 4 <> 0 THEN 'unique' WHEN p_size % 8 = 0 THEN 'not found' ELSE 'not given' END AS loceval, count(*) AS size FROM part GROUP BY 1
+""")
+def location_report(spark, d):
+    size = F.col("p_size")
+    rows = table(spark, d, "part").select(F.when(size % 4 != 0, "unique").alias("loceval"), F.when(size % 8 == 0, "X").alias("city"))
+    return registers.location_report(rows)
+
+
+@query(BASE + f"""
+, s AS (SELECT pgid, {', '.join(f'sum(clsf_{t}) AS {t}' for t in TYPES)} FROM regs GROUP BY 1)
+SELECT pgid, {', '.join(f'round({t} / CAST({" + ".join(TYPES)} AS DOUBLE), 9) AS clsf_{t}' for t in TYPES)} FROM s
+""")
+def class_shares(spark, d):
+    names_ = [f"clsf_{t}" for t in TYPES]
+    by = tables.registers(spark, d).groupBy("pgid").agg(*[F.sum(c).alias(c) for c in names_])
+    return analytics.shares(by, names_).select("pgid", *[F.round(c, 9).alias(c) for c in names_])
+
+
+@query(BASE + "SELECT a.pgid AS gid, b.pgid AS gid2 FROM places a JOIN places b ON a.pgid <> b.pgid AND abs(a.lat - b.lat) <= 1 AND abs(a.lon - b.lon) <= 1.5")
+def region_neighbours(spark, d):
+    return regions.neighbours(_grid(spark, d))
+
+
+@query("SELECT CAST(floor(l_extendedprice / 5000) * 5000 AS BIGINT) AS bin, count(*) AS size FROM lineitem GROUP BY 1")
+def price_histogram(spark, d):
+    return analytics.histogram(table(spark, d, "lineitem"), "l_extendedprice", 5000)
+
+
+@query()
+def price_auto_histogram(spark, d):
+    return analytics.auto_histogram(table(spark, d, "lineitem"), "l_extendedprice")
+
+
+@query("""
+WITH d AS (SELECT DISTINCT n_nationkey AS k, 50.0 + n_nationkey % 5 AS lat, 15.0 + 1.5 * (n_nationkey // 5) AS lon FROM nation)
+SELECT CAST(a.lat AS DOUBLE) AS lat, CAST(a.lon AS DOUBLE) AS lon, CAST(b.lat AS DOUBLE) AS latY, CAST(b.lon AS DOUBLE) AS lonY FROM d a CROSS JOIN d b
+""")
+def town_pairs(spark, d):
+    """All pairs of towns with the ellipsoid's distance, here without the number that SQL has no function for."""
+    return facts.distances(tables.places(spark, d), None).where("distance >= 0").drop("distance")
