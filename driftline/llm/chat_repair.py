@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import modest_batches, written
 
 ROLES = ("system", "user", "assistant")
 RELABEL, RELABEL_UNKNOWN, MERGE, INSERT = 4, 1, 1, 6
@@ -163,6 +163,7 @@ def repair(talks: DataFrame, long: int = LONG) -> DataFrame:
     conversation. Conversations of more than `long` turns are solved in runs, so no
     task holds more than `long` turns of one; the least cost is the same.
     """
+    modest_batches(talks.sparkSession)
     rows = talks.select(
         talks["conv_id"].cast("long").alias("conv_id"), talks["turn"].cast("long").alias("turn"), talks["role"].alias("role"), talks["text"].alias("text")
     )

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from ..session import modest_batches
+
 WINDOW, END_ID = 2048, 1
 MAX_OPEN = 512  # partly filled windows that a task holds: 4 MB of ids
 CACHED_WORDS = 300_000  # per Python worker
@@ -217,4 +219,5 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         if rows := list(packer.flush()):
             yield frame(rows)
 
+    modest_batches(docs.sparkSession)
     return docs.select(docs[id_col].cast("long").cast("string").alias("d"), docs[text_col].alias("t")).mapInPandas(run, SCHEMA)

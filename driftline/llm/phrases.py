@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import modest_batches
 
 LEVELS = 14  # phrases of the last one have millions of characters
 FROM_LEVEL = 2  # the first level whose names count: phrases of some ten characters
@@ -217,6 +217,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     plain = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("t"))
     if not rows:
         return docs.sparkSession.createDataFrame([], SCHEMA)
+    modest_batches(docs.sparkSession)
     dealt, n = _bucketed(plain, rows)
     dealt = dealt.repartitionById(n, "bucket").sortWithinPartitions("bucket", "guest", F.col("id").asc_nulls_first(), F.xxhash64("t"))
     dealt = dealt.select("bucket", "guest", F.col("id").cast("string").alias("id"), "t")
