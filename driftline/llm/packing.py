@@ -16,6 +16,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -24,27 +26,32 @@ from ..session import modest_batches
 WINDOW, END_ID = 2048, 1
 MAX_OPEN = 512  # partly filled windows that a task holds: 4 MB of ids
 CACHED_WORDS = 300_000  # per Python worker
-STRIDE = 1 << 20  # characters that are tokenised at a time
+STRIDE = 1 << 22  # characters that are tokenised at a time
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 # the tokenizer's own word pattern, for text below U+0250 where lower case and character classes agree
 _SIMPLE = re.compile("[\x00-ɏ]*")
 _BLANK = "\t-\r \x85\xa0"
 _WORD = re.compile(f"[^\\W\\d_²³¹¼½¾]+|[\\d²³¹¼½¾]|'s|'t|'re|'ve|'m|'ll|'d|(?:[^\\w{_BLANK}]|_)+")
+_TOUCHING = re.compile(r"[,.] (?<=(?:[^\w\s]|_)[,.] )")
 _SPACE = re.compile(r"\s")
 
 
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes.
 
-    Words are split here and looked up; the tokenizer sees each new one once while it is remembered. Two
-    generations of at most `most` words are kept: the older one goes when the newer is full.
+    What stands between blanks is numbered, and each different piece is looked up once for many texts: a word, a comma
+    or full stop, or signs, digits and words that touch. The tokenizer sees each new word once while it is remembered.
+    Two generations of at most `most` entries are kept: the older one goes when the newer is full.
     """
 
     def __init__(self, path: str, most: int = CACHED_WORDS):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer, self.most, self.known, self.old = Tokenizer.from_file(path), most, {}, {}
+        self.by_word = Tokenizer(self.tokenizer.model)  # for words that are split and in lower case already
+        self.by_word.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         ids = self.tokenizer.get_vocab()
@@ -56,7 +63,7 @@ class Encoder:
 
     def _encode_words(self, words: list[str]) -> None:
         """Encodes new words as one text; an id that ends a word shows where the next begins."""
-        (found,) = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        (found,) = self.by_word.encode_batch_fast([" ".join(words)], add_special_tokens=False)
         ids = np.asarray(found.ids, "<u4")
         ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
         if len(ends) != len(words):
@@ -65,26 +72,54 @@ class Encoder:
         raw = ids.tobytes()
         self.known.update(zip(words, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=False))
 
-    def _learn(self, words: set[str]) -> None:
-        new = words - self.known.keys()
+    def _learn(self, pieces: list[str]) -> None:
+        new = set(pieces) - self.known.keys()
         if len(self.known) + len(new) > self.most:
-            self.old, self.known, new = self.known, {}, words
+            self.old, self.known, new = self.known, {}, set(pieces)
         again = new & self.old.keys()
         self.known.update(zip(again, map(self.old.__getitem__, again), strict=True))
-        if new := new - again:
-            self._encode_words(list(new))
+        new -= again
+        words = {c for c in new if c.isalpha()}
+        mixed = [(c, _WORD.findall(c)) for c in new - words]
+        words.update(*[found for _, found in mixed])
+        words -= self.known.keys()
+        if words:
+            self._encode_words(list(words))
+        get = self.known.__getitem__
+        self.known.update([(c, b"".join(map(get, found))) for c, found in mixed])
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        parts = [self._parts(t) for t in texts]
-        self._learn(set().union(*(words for p in parts for words in p if isinstance(words, list))))
-        get = self.known.__getitem__
-        return [b"".join(b"".join(map(get, c)) if isinstance(c, list) else c for c in p) for p in parts]
+        parts = [(k, p) for k, t in enumerate(texts) for p in self._parts(t)]
+        out: list[list[bytes]] = [[] for _ in texts]
+        simple = self._looked_up([p for _, p in parts if isinstance(p, str)])
+        for k, p in parts:
+            out[k].append(next(simple) if isinstance(p, str) else p)
+        return [b"".join(p) for p in out]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
-    def _parts(self, text: str) -> list[list[str] | bytes]:
-        """Words; or ids, of texts whose words can't be told apart here."""
+    def _looked_up(self, parts: list[str]) -> Iterator[bytes]:
+        """Ids of parts whose pieces are separated by single spaces."""
+        if not parts:
+            return iter(())
+        split = pc.split_pattern(pa.array(parts, pa.large_string()), " ")
+        numbered = split.values.dictionary_encode()
+        pieces, which = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
+        self._learn(pieces)
+        found = list(map(self.known.__getitem__, pieces))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        start = np.cumsum(size) - size
+        sizes = size[which]
+        ends = np.cumsum(sizes)
+        at = np.repeat(start[which] - (ends - sizes), sizes)
+        at += np.arange(len(at))
+        ids = np.frombuffer(b"".join(found), "<u4")[at]
+        cuts = np.append(0, ends)[split.offsets.to_numpy()].tolist()
+        return (ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+
+    def _parts(self, text: str) -> list[str | bytes]:
+        """Parts that pieces can be looked up of; or ids, of texts whose words can't be told apart here."""
         if self.special.search(text):
             return [self._whole(text)]
         out, at = [], 0
@@ -95,8 +130,13 @@ class Encoder:
                 to = cut.end() if cut else to
             part = text[at:to] if to - at < len(text) else text
             at = to
-            simple = part.isascii() or _SIMPLE.fullmatch(part)
-            out.append(_WORD.findall(part.lower()) if simple else self._whole(part))
+            if not (part.isascii() or _SIMPLE.fullmatch(part)):
+                out.append(self._whole(part))
+                continue
+            part = part.lower().replace("\n", " ")
+            if not _TOUCHING.search(part):  # else a comma is part of a longer sign
+                part = part.replace(", ", " , ").replace(". ", " . ")
+            out.append(part)
         return out
 
 
