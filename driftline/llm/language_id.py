@@ -10,17 +10,18 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import modest_batches
 
 UNDETERMINED = "und"
 LEVEL = 9  # searches for matches longer than the fast levels do: short texts need that
 DICTIONARY_BYTES = 128 << 10
-SAMPLE_DOCS = 400  # labelled documents per language at most
+SAMPLE_DOCS = 400  # labelled documents per language, give or take what hashes do
 SAMPLE_CHARS = 2000  # of each of them
 MAX_LANGUAGES = 400
+HASHES = 1 << 40
 CHUNK = 4096  # characters that are compressed at once, so that all of a text is judged by the dictionaries
 NARROW = 0.02  # a margin below this is no decision
 
@@ -38,22 +39,21 @@ def held_out(id_col: Column) -> Column:
 
 
 def dictionaries(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str, bytes]:
-    """A dictionary per language from at most SAMPLE_DOCS documents each, least hash of the id first; copies count once."""
-    ids = docs.select(docs[id_col].alias("id"), docs[lang_col].alias("lang")).where(F.col("lang").isNotNull() & ~held_out(F.col("id")))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = written(ids.withColumn("k", rank).where(F.col("k") <= SAMPLE_DOCS).select("id", "lang"), "sample").distinct()
-    if chosen.select("lang").distinct().count() > MAX_LANGUAGES:
+    """A dictionary per language from about SAMPLE_DOCS documents each, those whose hash is below the language's threshold.
+
+    A language of no more has all of them; copies of a text count once.
+    """
+    rows = docs.select(docs[id_col].alias("id"), docs[lang_col].alias("lang"), F.substring(docs[text_col], 1, SAMPLE_CHARS).alias("text"))
+    rows = rows.where(F.col("lang").isNotNull() & ~held_out(F.col("id")))
+    counts = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    rows = (
-        docs.select(docs[id_col].alias("id"), F.substring(docs[text_col], 1, SAMPLE_CHARS).alias("text"))
-        .join(F.broadcast(chosen), "id")
-        .where("text is not null")
-        .select("lang", "text")
-        .distinct()
-        .collect()
-    )
+    if not counts:
+        return {}
+    below = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(HASHES, SAMPLE_DOCS * HASHES // r["count"]))])
+    chosen = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(HASHES)) < F.element_at(below, F.col("lang"))).where("text is not null")
     texts: dict[str, list[str]] = {}
-    for r in sorted(rows):
+    for r in sorted(chosen.select("lang", "text").distinct().collect()):
         if text := letters(r.text):
             texts.setdefault(r.lang, []).append(text)
     return {lang: " ".join(found).encode()[-DICTIONARY_BYTES:] for lang, found in sorted(texts.items())}
@@ -87,6 +87,7 @@ class Classifier:
 def predict(docs: DataFrame, learned: dict[str, bytes], text_col: str) -> DataFrame:
     """docs' columns in a struct `row` with lang_pred, score and rejected."""
     schema = "lang_pred string, score double, rejected boolean"
+    modest_batches(docs.sparkSession)
 
     @F.pandas_udf(schema)
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
