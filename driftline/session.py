@@ -34,17 +34,32 @@ def modest_batches(spark: SparkSession, size: str = "8m") -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a temporary one that is then kept in it."""
+    """The folder in spark.checkpoint.dir, or the context's checkpoint folder; where neither is set (tests), a temporary one that is then kept in the setting."""
     path = spark.conf.get(SHARED, None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="driftline-")
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        path = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp(prefix="driftline-")
         spark.conf.set(SHARED, path)
-    return path
+    return path.rstrip("/")
+
+
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one."""
+    return f"{shared_dir(spark)}/driftline-{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as a table in the shared folder and read back: its lineage ends at files that outlive executors."""
+    """df, written as a table in the shared folder and read back: its lineage ends at files that outlive executors.
+
+    The files stay until `discard`, since results may still be read from them.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession) -> None:
+    """Deletes all tables that this application has written, once no result is read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
