@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from driftline.llm import exact_dedup, language_id, mixing, packing, simhash
 from driftline.llm.queries import tokenizer_path
-from driftline.session import shared_dir
+from driftline.session import own_dir
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents; each one's rows are written as Parquet in the shared folder and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{own_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{folder}/{name}")

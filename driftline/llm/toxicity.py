@@ -44,7 +44,8 @@ INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "ihtnro"
 SCOPE, AIM = 3, 4  # words that a negation governs, and between a target and what is aimed at it
 
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-_CLAUSE_END = re.compile(r"[.!?;:,|\n]")
+CLAUSE_ENDS = ".!?;:,|\n"
+_CLAUSE_END = re.compile(f"[{CLAUSE_ENDS}]")
 
 
 class Transducer:
@@ -176,10 +177,10 @@ class Model:
             at = last - length + 1
             if at < done or at and text[at - 1].isalpha():
                 continue
-            begin = max((text.rfind(c, 0, at) for c in ".!?;:,|\n"), default=-1) + 1 if at < 4000 else self._begin(text, at)
+            begin = self._begin(text, at)
             end = _CLAUSE_END.search(text, last + 1)
             done = end.start() if end else len(text)
-            symbols = "".join(map(self.symbol, _WORD.findall(text, max(begin, 0), done)))
+            symbols = "".join(map(self.symbol, _WORD.findall(text, begin, done)))
             found.update(e for e in self.table.run(symbols) if e)
         return found
 
@@ -189,7 +190,7 @@ class Model:
         step = 256
         while True:
             lo = max(0, at - step)
-            best = max(text.rfind(c, lo, at) for c in ".!?;:,|\n")
+            best = max(text.rfind(c, lo, at) for c in CLAUSE_ENDS)
             if best >= 0 or not lo:
                 return best + 1
             step *= 4

@@ -36,7 +36,8 @@ def labels(nodes, near):
 
 def test_fingerprint_by_its_definition():
     for text in (None, "", " \n", "One", "one TWO", "A b c d", "É é x\x0by z É", "w " * 500, "the cat sat on the mat and the cat sat"):
-        assert simhash.fingerprint(text, 3, 1)[0] & (2**64 - 1) == print_of(text)
+        found = simhash.fingerprint(text, 3, 1)
+        assert found[0] & (2**64 - 1) == print_of(text) and found[1] == max(len((text or "").split()) - 2, bool((text or "").split()))
 
 
 @pytest.mark.parametrize("blocks,width,tile", [(4, 1, 50), (4, 1, 8192), (2, 1, 8192), (0, 2, 64)])
@@ -47,12 +48,28 @@ def test_components_are_those_of_all_pairs(spark, monkeypatch, blocks, width, ti
         base = rng.choice(list(prints.values())) if k % 2 and prints else rng.getrandbits(64)
         prints[k] = base ^ sum(1 << b for b in rng.sample(range(64), rng.choice([0, 1, 2, 3]))) if k % 2 else base
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    table = spark.createDataFrame([(k, signed(v)) for k, v in prints.items()], "doc_id long, f0 long")
+    table = spark.createDataFrame([(k, signed(v), 5) for k, v in prints.items()], "doc_id long, f0 long, size long")
     monkeypatch.setattr(simhash, "fingerprints", lambda docs, *a: table)
     out = simhash.near_components(table, blocks=blocks, width=width, tile=tile)
     assert {r.doc_id: r.component_id for r in out.collect()} == labels(prints, lambda a, b: (a ^ b).bit_count() <= 2)
 
 
+@pytest.mark.parametrize("tile", [40, 8192])
+def test_sizes_must_be_alike(spark, monkeypatch, tile):
+    rng = random.Random(8)
+    prints, sizes = {}, {}
+    for k in range(500):
+        base = rng.choice(list(prints.values())) if prints and k % 3 else rng.getrandbits(64)
+        prints[k] = base ^ sum(1 << b for b in rng.sample(range(64), rng.choice([0, 1, 2, 5])))
+        sizes[k] = rng.choice([0, 1, 4, 5, 6, 8, 10, 64, 80, 100, 125, rng.randint(1, 3000)])
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    table = spark.createDataFrame([(k, signed(v), sizes[k]) for k, v in prints.items()], "doc_id long, f0 long, size long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *a: table)
+    out = simhash.near_components(table, radius=5, blocks=0, width=2, tile=tile, ratio=0.8)
+    like = lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 5 and min(sizes[a], sizes[b]) >= 0.8 * max(sizes[a], sizes[b])
+    assert {r.doc_id: r.component_id for r in out.collect()} == labels({k: k for k in prints}, like)
+
+
 def test_documents(spark):
     rng = random.Random(1)
     word = lambda: "".join(rng.choices("abcdefgh", k=4))
@@ -92,7 +109,7 @@ def test_hub_with_many_links_gives_one_component(spark):
     import numpy as np
 
     tile = simhash._Tile(2)
-    links = tile.start(np.array(list(prints)), np.array(list(prints.values()), np.uint64)[:, None])
+    links = tile.start(np.array(list(prints)), np.array(list(prints.values()), np.uint64)[:, None], np.ones(len(prints), np.int64))
     for u, v in links:
         groups[min(u, v)].add(max(u, v))
     assert len(links) == 64
