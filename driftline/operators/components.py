@@ -16,20 +16,20 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def _star(edges: DataFrame, both: bool) -> DataFrame:
+def _star(edges: DataFrame, both: bool, rows: int) -> DataFrame:
     """One star step. both=True links larger neighbours to the least neighbour, both=False the smaller ones."""
     if both:
         near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    near = written(near, "star-near")
-    least = written(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "star-least")
+    # written apart from the join below, so that a hub's side of it can be split
+    least = written(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "star-least", rows)
     out = near.join(least, "u")
     if both:
         out = out.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = out.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-    return out.where("u <> v").distinct()
+    return written(out.where("u <> v").distinct(), "star", rows)
 
 
 def components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame:
@@ -46,7 +46,7 @@ def components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame
     for _ in range(MAX_ROUNDS):
         if not before[0]:
             break
-        edges = written(_star(written(_star(edges, True), "star"), False), "edges")
+        edges = _star(_star(edges, True, 2 * before[0]), False, 2 * before[0])
         after = _state(edges)
         if after == before:
             break

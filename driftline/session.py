@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SHARED = "spark.checkpoint.dir"
+FILE_ROWS, LEAST_FILES = 250_000, 8
 
 
 def local_session(cpus: str = "*", partitions: int = 8, app: str = "driftline") -> SparkSession:
@@ -48,12 +49,15 @@ def own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/driftline-{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """df, written as a table in the shared folder and read back: its lineage ends at files that outlive executors.
 
-    The files stay until `discard`, since results may still be read from them.
+    rows is at least the number of rows, where it is known: short rows then make a file for each FILE_ROWS of them
+    rather than for each shuffle partition. The files stay until `discard`, since results may still be read from them.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(LEAST_FILES, -(-rows // FILE_ROWS)))
     path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
