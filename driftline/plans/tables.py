@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.network import network, nodes, weighed
 from ..operators.registers import section_counts
+from ..session import written
 
 TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 FROM_YEAR = 1996
@@ -62,8 +63,11 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges between persons, those of a document and nation as one row with their number."""
-    alike = weighed(registers(spark, sf_dir).drop("supp"))
+    """Edges between persons, those of a document and nation as one row with their number.
+
+    Those rows are written once, since the network reads them for dates, for the cited and for the citing side.
+    """
+    alike = written(weighed(registers(spark, sf_dir).drop("supp")), "persons")
     return network(citations(spark, sf_dir), alike, sections=TYPES, from_year=FROM_YEAR)
 
 
