@@ -40,6 +40,7 @@ def bitmap_of(cells: DataFrame) -> DataFrame:
             F.bitmap_construct_agg(F.col("cell").bitwiseAND(F.lit(BLOCK_BITS - 1))).alias("bitmap")
         ),
         "bloom",
+        0,
     )
 
 
@@ -63,13 +64,13 @@ def repeated_cells(digests: DataFrame, bits: int) -> DataFrame:
     return hits.where("count > 1").select("cell")
 
 
-def without(docs: DataFrame, gone: DataFrame, key: str, max_bits: int = MAX_BITS) -> DataFrame:
+def without(docs: DataFrame, gone: DataFrame, key: str, most: int | None = None, max_bits: int = MAX_BITS) -> DataFrame:
     """docs but for the rows whose key is in gone's only column, all columns as they were.
 
     Rows whose key a Bloom bitmap of gone rules out pass straight through; the others are
-    joined. A null key stays.
+    joined. A null key stays. most is at least the number of rows of gone, if that is known.
     """
-    gone = written(gone.toDF("key").where("key is not null").distinct(), "gone")
+    gone = written(gone.toDF("key").where("key is not null").distinct(), "gone", most)
     bits = filter_bits(gone.count(), most=max_bits)
     blocks = bitmap_of(gone.select(F.explode(F.array(*_cells(F.col("key"), bits))).alias("cell")))
     marked = in_bitmap(docs.select(F.struct("*").alias("row"), docs[key].alias("key")), "key", blocks, bits)
@@ -101,7 +102,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("doc_id"), F.col("rid").alias("rid"))
     maybe = marked.where("maybe")
     groups = written(
-        maybe.groupBy("digest").agg(F.count("*").alias("group_size"), F.min(first).alias("least")), "groups"
+        maybe.groupBy("digest").agg(F.count("*").alias("group_size"), F.min(first).alias("least")), "groups", rows
     )
     hot_from = max(1000, rows // HOT_GROUPS)
     hot, cold = F.broadcast(groups.where(F.col("group_size") >= hot_from)), groups.where(F.col("group_size") < hot_from)
@@ -127,4 +128,4 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     their id, so that no text is lost.
     """
     gone = exact_dedup(docs, id_col, text_col).where("not kept and doc_id <> keep_id").select("doc_id")
-    return without(docs, gone, id_col)
+    return without(docs, gone, id_col, docs.count())

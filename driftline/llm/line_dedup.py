@@ -142,8 +142,9 @@ def repeated_spans(
     found = written(unit_table(docs, id_col, text_col, separator, min_words), "units")
     first = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("doc_id"), F.col("start").alias("start"))
     groups = found.groupBy("digest").agg(F.count("*").alias("occurrences"), F.min(first).alias("keep"))
-    groups = written(groups.where("occurrences > 1"), "repeated")
-    hot_from = max(1000, found.count() // HOT_GROUPS)
+    rows = found.count()
+    groups = written(groups.where("occurrences > 1"), "repeated", rows)
+    hot_from = max(1000, rows // HOT_GROUPS)
     hot, cold = F.broadcast(groups.where(F.col("occurrences") >= hot_from)), groups.where(F.col("occurrences") < hot_from)
     joined = found.join(hot, "digest").unionByName(found.join(hot.select("digest"), "digest", "left_anti").join(cold, "digest"))
     stays = F.col("keep.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("keep.start") == F.col("start"))

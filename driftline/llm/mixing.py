@@ -75,6 +75,7 @@ def thresholds(sizes: DataFrame, targets: DataFrame, step: int = STEP_BITS) -> D
     step bits of the hash are decided in a pass; the boundary document is in or out,
     whichever is nearer, along with any that have its very hash.
     """
+    sources = targets.count()
     state = written(
         targets.select(
             "skey",
@@ -86,6 +87,7 @@ def thresholds(sizes: DataFrame, targets: DataFrame, step: int = STEP_BITS) -> D
             F.lit(False).alias("all"),
         ),
         "budgets",
+        sources,
     )
     for shift in range(HASH_BITS - step, -1, -step):
         keys = state.where("not `all`").select("skey", F.col("prefix").alias("p"))
@@ -110,6 +112,7 @@ def thresholds(sizes: DataFrame, targets: DataFrame, step: int = STEP_BITS) -> D
                 (F.col("all") | F.col("f").isNull()).alias("all"),
             ),
             "budgets",
+            sources,
         )
     over, under = F.col("below") + F.col("at") - F.col("budget"), F.col("budget") - F.col("below")
     cut = F.col("prefix") + F.when(over < under, 1).otherwise(0)
@@ -133,7 +136,7 @@ def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> tuple
         "sizes",
     )
     targets = written(source_targets(sizes), "targets")
-    return sizes, written(targets.join(thresholds(sizes, targets), "skey"), "cuts")
+    return sizes, written(targets.join(thresholds(sizes, targets), "skey"), "cuts", targets.count())
 
 
 def _copies() -> Column:

@@ -5,10 +5,12 @@ differ change a population count by one at most, so two fingerprints within the
 in tiles whose counts differ by no more; other pairs of tiles are skipped. Tiles that may
 hold a pair are compared in full with exclusive-or and bit counts, in numpy, and only the
 links of a spanning forest leave a task: as many as there are fingerprints, not pairs.
+Where links also ask for like sizes, tiles are by size as well, and those of unlike sizes are skipped too.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import product
 
@@ -19,24 +21,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from ..session import written
+from ..session import modest_batches, written
 from .exact_dedup import without
 
 SEED = 42  # of the first 64 bits, the next ones follow
 DIGIT, PAD = 256, 4  # a tile key has a digit per count
 STRIP, SLAB = 64, 4096  # fingerprints that are compared at once
 CHUNK = 1 << 15  # shingles whose bits are unpacked at once
+#: how `keep_one` links
+NEAR = {"shingle": 5, "n_words": 2, "radius": 24, "blocks": 0, "width": 8, "tile": 1 << 14, "ratio": 0.8}
 
 
 def fingerprint(text: str | None, shingle: int, n_words: int) -> list[int]:
-    """n_words times 64 bits, signed. A bit is 1 if it is set in over half of the shingles' hashes.
+    """n_words times 64 bits, signed, and the number of shingles. A bit is 1 if it is set in over half of the shingles' hashes.
 
     Words are runs without ASCII white space, A-Z in lower case; repeated shingles count
     again. A text of fewer words is one shingle; null or wordless texts give zero.
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return [0] * n_words
+        return [0] * (n_words + 1)
     if len(words) <= shingle:
         shingles = [b" ".join(words)]
     else:
@@ -49,20 +53,21 @@ def fingerprint(text: str | None, shingle: int, n_words: int) -> list[int]:
             part = hashes[at : at + CHUNK]
             ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         out.append(int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0]))
-    return out
+    return [*out, len(shingles)]
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, n_words: int) -> DataFrame:
-    """(doc_id, f0, f1, ...) of every row."""
-    names = [f"f{k}" for k in range(n_words)]
+    """(doc_id, f0, f1, ..., size) of every row; size is the number of shingles."""
+    names = [*(f"f{k}" for k in range(n_words)), "size"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = np.array([fingerprint(t, shingle, n_words) for t in batch["t"]], np.int64).reshape(-1, n_words)
+            found = np.array([fingerprint(t, shingle, n_words) for t in batch["t"]], np.int64).reshape(-1, n_words + 1)
             ids = pd.array([int(i) if i else None for i in batch["doc_id"]], "Int64")
             yield pd.DataFrame({"doc_id": ids} | {f: found[:, k] for k, f in enumerate(names)})
 
     schema = ", ".join(["doc_id long", *(f"{f} long" for f in names)])
+    modest_batches(docs.sparkSession)
     return docs.select(docs[id_col].cast("long").cast("string").alias("doc_id"), docs[text_col].alias("t")).mapInPandas(run, schema)
 
 
@@ -75,27 +80,27 @@ def _counts(n_words: int, blocks: int, width: int) -> list[Column]:
     return [F.floor(F.bit_count(part(k, j)) / width).cast("long") for k in range(n_words) for j in range(blocks)]
 
 
-def offsets(digits: int, radius: int, width: int) -> list[int]:
-    """Differences of tile keys, one of each pair of opposites, between tiles that can hold fingerprints within the radius."""
+def offsets(digits: int, radius: int, width: int, sized: bool = False) -> list[int]:
+    """Differences of tile keys, one of each pair of opposites, between tiles that can hold fingerprints within the radius; sized keys begin with a digit for the size."""
     reach = radius // width + 1
     least = lambda d: max(0, (abs(d) - 1) * width + 1) if d else 0
     found = []
-    for step in product(range(-reach, reach + 1), repeat=digits):
-        if sum(map(least, step)) <= radius and step >= (0,) * digits:
-            found.append(sum(d * DIGIT ** (digits - 1 - i) for i, d in enumerate(step)))
+    for step in product(*[range(-1, 2)] * sized, *[range(-reach, reach + 1)] * digits):
+        if sum(map(least, step[sized:])) <= radius and step >= (0,) * len(step):
+            found.append(sum(d * DIGIT ** (len(step) - 1 - i) for i, d in enumerate(step)))
     return sorted(found)
 
 
 class _Tile:
     """One tile: its own fingerprints, then others that are compared with them; links of a spanning forest."""
 
-    def __init__(self, radius: int):
-        self.radius, self.ids, self.words, self.root = radius, np.empty(0, np.int64), None, None
+    def __init__(self, radius: int, ratio: float = 0.0):
+        self.radius, self.ratio, self.ids, self.words, self.sizes, self.root = radius, ratio, np.empty(0, np.int64), None, None, None
 
-    def start(self, ids: np.ndarray, words: np.ndarray) -> list[tuple[int, int]]:
+    def start(self, ids: np.ndarray, words: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
         order = np.argsort(np.bitwise_count(words).sum(axis=1, dtype=np.int64), kind="stable")
-        self.ids, self.words, self.root = ids[order], np.ascontiguousarray(words[order]), np.arange(len(ids))
-        return self.compare(self.ids, self.words, own=True)
+        self.ids, self.words, self.sizes, self.root = ids[order], np.ascontiguousarray(words[order]), sizes[order], np.arange(len(ids))
+        return self.compare(self.ids, self.words, self.sizes, own=True)
 
     def _hits(self, words: np.ndarray, lo: int, own: bool) -> tuple[np.ndarray, np.ndarray]:
         ones = np.bitwise_count(words).sum(axis=1, dtype=np.int64)
@@ -120,10 +125,14 @@ class _Tile:
             x = self.root[x]
         return x
 
-    def compare(self, ids: np.ndarray, words: np.ndarray, own: bool = False) -> list[tuple[int, int]]:
+    def compare(self, ids: np.ndarray, words: np.ndarray, sizes: np.ndarray, own: bool = False) -> list[tuple[int, int]]:
         links = []
         for lo in range(0, len(ids), STRIP):
             i, j = self._hits(words[lo : lo + STRIP], lo, own)
+            if self.ratio:
+                a, b = sizes[i + lo], self.sizes[j]
+                like = np.minimum(a, b) >= self.ratio * np.maximum(a, b)
+                i, j = i[like], j[like]
             if own:
                 i, j = i[j < i + lo], j[j < i + lo]
             if not len(i):
@@ -149,8 +158,8 @@ class _Tile:
         return links
 
 
-def links(reps: DataFrame, n_words: int, radius: int, blocks: int, width: int, tile: int) -> DataFrame:
-    """Links (u, v) that join all rows (nid, f0, ...) within the radius of each other; distinct fingerprints are expected.
+def links(reps: DataFrame, n_words: int, radius: int, blocks: int, width: int, tile: int, ratio: float = 0.0) -> DataFrame:
+    """Links (u, v) that join all rows (nid, f0, ..., size) within the radius of each other, whose sizes differ by the ratio at most; distinct rows are expected.
 
     Every tile is sent to the tiles at a larger key that its counts allow. Tiles of more than
     `tile` rows are split by hash, and each part meets the others.
@@ -158,18 +167,20 @@ def links(reps: DataFrame, n_words: int, radius: int, blocks: int, width: int, t
     spark = reps.sparkSession
     names = [f"f{k}" for k in range(n_words)]
     counts = _counts(n_words, blocks, width)
+    if ratio:  # sizes within the ratio are at most one step apart
+        counts.insert(0, F.floor(F.log(F.greatest(F.col("size"), F.lit(1))) / (-math.log(ratio) * 1.01)).cast("long"))
     key = sum((c + PAD) * DIGIT ** (len(counts) - 1 - i) for i, c in enumerate(counts)) if len(counts) > 1 else counts[0] + PAD
     keyed = reps.withColumn("key", key.cast("long") if len(counts) > 1 else key)
     # there are only so many vectors of counts, whatever the number of rows
-    sizes = written(keyed.groupBy("key").agg(F.ceil(F.count("*") / tile).cast("long").alias("parts")), "tiles")
-    steps = F.array(*[F.lit(x).cast("long") for x in offsets(len(counts), radius, width)])
+    sizes = written(keyed.groupBy("key").agg(F.ceil(F.count("*") / tile).cast("long").alias("parts")), "tiles", 0)
+    steps = F.array(*[F.lit(x).cast("long") for x in offsets(len(counts) - bool(ratio), radius, width, bool(ratio))])
     sent = keyed.withColumn("step", F.explode(steps)).withColumn("key", F.col("key") + F.col("step"))
     sent = sent.join(F.broadcast(sizes), "key").withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)")))
     own = F.pmod(F.xxhash64("nid"), F.col("parts"))
     sent = sent.where((F.col("step") != 0) | (F.col("part") >= own))
     sent = sent.withColumn("guest", ((F.col("step") != 0) | (F.col("part") != own)).cast("int"))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    dealt = sent.select("key", "part", "guest", "nid", *names).repartition(n, "key", "part").sortWithinPartitions("key", "part", "guest")
+    dealt = sent.select("key", "part", "guest", "nid", "size", *names).repartition(n, "key", "part").sortWithinPartitions("key", "part", "guest")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, tile_, waiting = None, None, []
@@ -179,14 +190,14 @@ def links(reps: DataFrame, n_words: int, radius: int, blocks: int, width: int, t
             nonlocal waiting
             if not waiting:
                 return []
-            ids, words = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            own = [np.concatenate(x) for x in zip(*waiting, strict=True)]
             waiting = []
-            return tile_.start(ids, words)
+            return tile_.start(*own)
 
         for batch in batches:
             found = []
             tag = batch[["key", "part", "guest"]].to_numpy(np.int64)
-            ids = batch["nid"].to_numpy(np.int64)
+            ids, sizes = batch["nid"].to_numpy(np.int64), batch["size"].to_numpy(np.int64)
             words = batch[names].to_numpy(np.int64).view(np.uint64)
             cuts = np.flatnonzero((tag[1:] != tag[:-1]).any(axis=1)) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(ids)], strict=True):
@@ -194,13 +205,13 @@ def links(reps: DataFrame, n_words: int, radius: int, blocks: int, width: int, t
                     continue
                 if at != (tag[lo, 0], tag[lo, 1]):
                     found += ready()
-                    at, tile_ = (tag[lo, 0], tag[lo, 1]), _Tile(radius)
+                    at, tile_ = (tag[lo, 0], tag[lo, 1]), _Tile(radius, ratio)
                 if tag[lo, 2]:
                     found += ready()
                     if len(tile_.ids):
-                        found += tile_.compare(ids[lo:hi], words[lo:hi])
+                        found += tile_.compare(ids[lo:hi], words[lo:hi], sizes[lo:hi])
                 else:
-                    waiting.append((ids[lo:hi], words[lo:hi]))
+                    waiting.append((ids[lo:hi], words[lo:hi], sizes[lo:hi]))
             if found:
                 yield pd.DataFrame(found, columns=["u", "v"])
         if found := ready():
@@ -219,23 +230,30 @@ def near_components(
     blocks: int = 4,
     width: int = 1,
     tile: int = 8192,
+    ratio: float = 0.0,
 ) -> DataFrame:
     """One row per input row: doc_id, f0, ..., component_id: the least id reachable over links, its own included.
 
-    Equal fingerprints are one node, so copies make no links. Null and wordless texts have
+    With a ratio, documents only link if the smaller number of shingles is at least that share of the larger.
+    Equal fingerprints (of one size, with a ratio) are one node, so copies make no links. Null and wordless texts have
     fingerprint zero and link like others. Rows with a null id count but give no
     component_id of their own. Other columns are ignored; an empty table gives no rows.
     """
     names = [f"f{k}" for k in range(n_words)]
     prints = written(fingerprints(docs, id_col, text_col, shingle, n_words), "fingerprints")
-    reps = prints.groupBy(*names).agg(F.min("doc_id").alias("first"))
-    reps = written(reps.withColumn("nid", F.monotonically_increasing_id()), "distinct")
-    found = written(links(reps, n_words, radius, blocks, width, tile), "links")
+    if ratio:
+        keys = [*names, "size"]
+    else:
+        keys, prints = names, prints.withColumn("size", F.lit(0).cast("long"))
+    reps = prints.groupBy(*names, "size").agg(F.min("doc_id").alias("first"))
+    rows = prints.count()
+    reps = written(reps.withColumn("nid", F.monotonically_increasing_id()), "distinct", rows)
+    found = written(links(reps, n_words, radius, blocks, width, tile, ratio), "links")
     labels = components(found).withColumnRenamed("node", "nid")
-    rooted = written(reps.join(labels, "nid", "left").withColumn("root", F.coalesce("component", "nid")), "rooted")
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    rooted = written(rooted.join(least, "root").select(*names, "component_id"), "labelled")
-    return prints.join(rooted, names).select("doc_id", *names, "component_id")
+    rooted = written(reps.join(labels, "nid", "left").withColumn("root", F.coalesce("component", "nid")), "rooted", rows)
+    least = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least", rows)
+    rooted = written(rooted.join(least, "root").select(*keys, "component_id"), "labelled", rows)
+    return prints.join(rooted, keys).select("doc_id", *names, "component_id")
 
 
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -250,7 +268,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Near copies are texts whose sets of five-word shingles are alike at 0.8 or more. 128 bits
     of five-word shingles estimate that: at a likeness of 0.8, 19 bits differ on average and
     more than 24 in one pair of eight, while of unlike texts one pair in 10^12 comes as near.
-    Counts rule out hardly any tile at this radius, so tiles are large and all are compared.
+    Population counts rule out few tiles at this radius, but texts that are so alike have sizes within 0.8 of
+    each other, which rules out most.
     """
-    out = near_components(docs, id_col, text_col, shingle=5, n_words=2, radius=24, blocks=0, width=8, tile=1 << 14)
-    return without(docs, out.where("doc_id <> component_id").select("doc_id"), id_col)
+    out = near_components(docs, id_col, text_col, **NEAR)
+    return without(docs, out.where("doc_id <> component_id").select("doc_id"), id_col, docs.count())
