@@ -29,40 +29,46 @@ DIGIT, PAD = 256, 4  # a tile key has a digit per count
 STRIP, SLAB = 64, 4096  # fingerprints that are compared at once
 CHUNK = 1 << 15  # shingles whose bits are unpacked at once
 #: how `keep_one` links
-NEAR = {"shingle": 5, "n_words": 2, "radius": 24, "blocks": 0, "width": 8, "tile": 1 << 14, "ratio": 0.8}
+NEAR = {"shingle": 5, "n_words": 2, "radius": 24, "blocks": 0, "width": 8, "tile": 1 << 14, "ratio": 0.8, "distinct": True}
 
 
-def fingerprint(text: str | None, shingle: int, n_words: int) -> list[int]:
+def shingles(text: str | None, shingle: int) -> list[bytes]:
+    """Runs of words, repeated ones too; a text of fewer words is one."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(words) <= shingle:
+        return [b" ".join(words)] if words else []
+    return list(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)))
+
+
+def fingerprint(text: str | None, shingle: int, n_words: int, distinct: bool = False) -> list[int]:
     """n_words times 64 bits, signed, and the number of shingles. A bit is 1 if it is set in over half of the shingles' hashes.
 
     Words are runs without ASCII white space, A-Z in lower case; repeated shingles count
-    again. A text of fewer words is one shingle; null or wordless texts give zero.
+    again unless distinct. A text of fewer words is one shingle; null or wordless texts give zero.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+    found = shingles(text, shingle)
+    if not found:
         return [0] * (n_words + 1)
-    if len(words) <= shingle:
-        shingles = [b" ".join(words)]
-    else:
-        shingles = list(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)))
+    if distinct:
+        found = list(set(found))
     out = []
     for seed in range(SEED, SEED + n_words):
-        hashes = np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), "<u8", len(shingles))
+        hashes = np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in found), "<u8", len(found))
         ones = np.zeros(64, np.int64)
         for at in range(0, len(hashes), CHUNK):
             part = hashes[at : at + CHUNK]
             ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         out.append(int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0]))
-    return [*out, len(shingles)]
+    return [*out, len(found)]
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, n_words: int) -> DataFrame:
-    """(doc_id, f0, f1, ..., size) of every row; size is the number of shingles."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, n_words: int, distinct: bool = False) -> DataFrame:
+    """(doc_id, f0, f1, ..., size) of every row; size is the number of shingles, of distinct ones if so asked."""
     names = [*(f"f{k}" for k in range(n_words)), "size"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = np.array([fingerprint(t, shingle, n_words) for t in batch["t"]], np.int64).reshape(-1, n_words + 1)
+            found = np.array([fingerprint(t, shingle, n_words, distinct) for t in batch["t"]], np.int64).reshape(-1, n_words + 1)
             ids = pd.array([int(i) if i else None for i in batch["doc_id"]], "Int64")
             yield pd.DataFrame({"doc_id": ids} | {f: found[:, k] for k, f in enumerate(names)})
 
@@ -231,16 +237,18 @@ def near_components(
     width: int = 1,
     tile: int = 8192,
     ratio: float = 0.0,
+    distinct: bool = False,
 ) -> DataFrame:
     """One row per input row: doc_id, f0, ..., component_id: the least id reachable over links, its own included.
 
-    With a ratio, documents only link if the smaller number of shingles is at least that share of the larger.
+    With a ratio, documents only link if the smaller number of shingles is at least that share of the larger; a likeness of
+    sets bounds the ratio of distinct shingles only, so `distinct` counts each shingle of a text once.
     Equal fingerprints (of one size, with a ratio) are one node, so copies make no links. Null and wordless texts have
     fingerprint zero and link like others. Rows with a null id count but give no
     component_id of their own. Other columns are ignored; an empty table gives no rows.
     """
     names = [f"f{k}" for k in range(n_words)]
-    prints = written(fingerprints(docs, id_col, text_col, shingle, n_words), "fingerprints")
+    prints = written(fingerprints(docs, id_col, text_col, shingle, n_words, distinct), "fingerprints")
     if ratio:
         keys = [*names, "size"]
     else:
@@ -268,8 +276,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Near copies are texts whose sets of five-word shingles are alike at 0.8 or more. 128 bits
     of five-word shingles estimate that: at a likeness of 0.8, 19 bits differ on average and
     more than 24 in one pair of eight, while of unlike texts one pair in 10^12 comes as near.
-    Population counts rule out few tiles at this radius, but texts that are so alike have sizes within 0.8 of
-    each other, which rules out most.
+    Population counts rule out few tiles at this radius, but sets that are so alike have sizes (distinct
+    shingles) within 0.8 of each other, which rules out most.
     """
     out = near_components(docs, id_col, text_col, **NEAR)
     return without(docs, out.where("doc_id <> component_id").select("doc_id"), id_col, docs.count())

@@ -95,6 +95,16 @@ def test_near_copies_go_and_clean_documents_stay(spark):
     assert sorted(r.doc_id for r in out.collect()) == list(range(60))
 
 
+def test_a_repeated_paragraph_makes_no_difference(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    base = [[word() for _ in range(120)] for _ in range(40)]
+    twice = [w + w for w in base[:20]]
+    paragraph = [w + w[40:100] * 3 for w in base[20:]]
+    rows = [(k, " ".join(w), "x", 1) for k, w in enumerate(base + twice + paragraph)]
+    assert sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()) == list(range(40))
+
+
 def test_null_ids_repeated_rows_and_empty_tables(spark):
     df = spark.createDataFrame([(None, "a b c d", "x", 1), (5, "a b c d", "x", 1), (5, "a b c d", "x", 1)], SCHEMA)
     assert [(r.doc_id, r.component_id) for r in simhash.simhash(df).orderBy("doc_id").collect()] == [(None, 5), (5, 5), (5, 5)]
