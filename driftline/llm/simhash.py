@@ -6,6 +6,8 @@ in tiles whose counts differ by no more; other pairs of tiles are skipped. Tiles
 hold a pair are compared in full with exclusive-or and bit counts, in numpy, and only the
 links of a spanning forest leave a task: as many as there are fingerprints, not pairs.
 Where links also ask for like sizes, tiles are by size as well, and those of unlike sizes are skipped too.
+Where they ask for a likeness, the components of these links are only candidates: the shingle
+sets of each are compared exactly, and only pairs that are so alike are links.
 """
 
 from __future__ import annotations
@@ -22,14 +24,15 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..session import modest_batches, written
-from .exact_dedup import without
+from .exact_dedup import _cells, bitmap_of, filter_bits, in_bitmap, without
 
 SEED = 42  # of the first 64 bits, the next ones follow
 DIGIT, PAD = 256, 4  # a tile key has a digit per count
 STRIP, SLAB = 64, 4096  # fingerprints that are compared at once
 CHUNK = 1 << 15  # shingles whose bits are unpacked at once
+PART, PART_ROWS = 1 << 20, 4096  # hashes and sets of a component that are held at once
 #: how `keep_one` links
-NEAR = {"shingle": 5, "n_words": 2, "radius": 24, "blocks": 0, "width": 8, "tile": 1 << 14, "ratio": 0.8, "distinct": True}
+NEAR = {"shingle": 5, "n_words": 3, "radius": 56, "blocks": 0, "width": 32, "tile": 1 << 14, "ratio": 0.8, "distinct": True, "alike": 0.8}
 
 
 def shingles(text: str | None, shingle: int) -> list[bytes]:
@@ -46,29 +49,45 @@ def fingerprint(text: str | None, shingle: int, n_words: int, distinct: bool = F
     Words are runs without ASCII white space, A-Z in lower case; repeated shingles count
     again unless distinct. A text of fewer words is one shingle; null or wordless texts give zero.
     """
+    return _printed(text, shingle, n_words, distinct)[0]
+
+
+def _printed(text: str | None, shingle: int, n_words: int, distinct: bool) -> tuple[list[int], np.ndarray]:
+    """The fingerprint, and the hashes of the shingles with the first seed."""
     found = shingles(text, shingle)
-    if not found:
-        return [0] * (n_words + 1)
     if distinct:
         found = list(set(found))
-    out = []
+    if not found:
+        return [0] * (n_words + 1), np.empty(0, "<u8")
+    out, first = [], None
     for seed in range(SEED, SEED + n_words):
         hashes = np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in found), "<u8", len(found))
+        first = hashes if first is None else first
         ones = np.zeros(64, np.int64)
         for at in range(0, len(hashes), CHUNK):
             part = hashes[at : at + CHUNK]
             ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         out.append(int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0]))
-    return [*out, len(found)]
+    return [*out, len(found)], first
+
+
+def shingle_set(hashes: np.ndarray) -> tuple[bytes, int]:
+    """The sorted set of hashes, and a digest of it, signed."""
+    held = np.unique(hashes).tobytes()
+    return held, int(np.uint64(xxhash.xxh3_64_intdigest(held)).view(np.int64))
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, n_words: int, distinct: bool = False) -> DataFrame:
-    """(doc_id, f0, f1, ..., size) of every row; size is the number of shingles, of distinct ones if so asked."""
-    names = [*(f"f{k}" for k in range(n_words)), "size"]
+    """(doc_id, f0, f1, ..., size) of every row; size is the number of shingles, of distinct ones if so asked, and then `same` is a digest of their set."""
+    names = [*(f"f{k}" for k in range(n_words)), "size", *["same"] * distinct]
+
+    def one(text: str | None) -> list[int]:
+        out, hashes = _printed(text, shingle, n_words, distinct)
+        return [*out, shingle_set(hashes)[1]] if distinct else out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = np.array([fingerprint(t, shingle, n_words, distinct) for t in batch["t"]], np.int64).reshape(-1, n_words + 1)
+            found = np.array([one(t) for t in batch["t"]], np.int64).reshape(-1, len(names))
             ids = pd.array([int(i) if i else None for i in batch["doc_id"]], "Int64")
             yield pd.DataFrame({"doc_id": ids} | {f: found[:, k] for k, f in enumerate(names)})
 
@@ -226,6 +245,97 @@ def links(reps: DataFrame, n_words: int, radius: int, blocks: int, width: int, t
     return dealt.mapInPandas(run, "u long, v long")
 
 
+class _Sets:
+    """A part of a component: its own sets, then others that are compared with them; links of a spanning forest of the pairs that are alike."""
+
+    def __init__(self, alike: float):
+        self.alike, self.ids = alike, np.empty(0, np.int64)
+
+    def start(self, ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        self.ids, self.sizes, self.label = ids, np.array([len(s) for s in sets], np.int64), np.arange(len(ids))
+        held, of = np.concatenate(sets), np.repeat(np.arange(len(ids)), self.sizes)
+        order = np.argsort(held, kind="stable")
+        self.held, self.of = held[order], of[order]
+        return self.compare(ids, sets, own=True)
+
+    def compare(self, ids: np.ndarray, sets: list[np.ndarray], own: bool = False) -> list[tuple[int, int]]:
+        links = []
+        for i, one in enumerate(sets):
+            lo, hi = np.searchsorted(self.held, one, "left"), np.searchsorted(self.held, one, "right")
+            n = hi - lo
+            at = np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
+            shared = np.bincount(self.of[at], minlength=len(self.ids))
+            hit = np.flatnonzero(shared / np.maximum(self.sizes + len(one) - shared, 1) >= self.alike)
+            hit = hit[hit < i] if own else hit
+            # of the hits in one tree, one is enough
+            trees, first = np.unique(self.label[hit], return_index=True)
+            links += [(int(ids[i]), int(self.ids[j])) for j in hit[first]]
+            trees = np.append(trees, self.label[i]) if own else trees
+            if len(trees) > 1:
+                self.label[np.isin(self.label, trees)] = trees.min()
+        return links
+
+
+def alike_links(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, rows: int, shingle: int, alike: float) -> DataFrame:
+    """Links (u, v) that join the nodes (nid, root, first, size, same) of one root whose shingle sets have a likeness (shared of all) of at least `alike`.
+
+    Sets are of 64-bit hashes, and made again of the texts of the nodes' first ids, which a Bloom bitmap picks. A root of more
+    than PART hashes or PART_ROWS nodes is split by hash, and each part meets the others.
+    """
+    spark = docs.sparkSession
+    key = lambda c: F.coalesce(c.cast("long").cast("string"), F.lit("")).alias("key")
+    nodes = written(nodes.select("nid", "root", "size", "same", key(F.col("first"))), "candidates", rows)
+    bits = filter_bits(nodes.count())
+    blocks = bitmap_of(nodes.select(F.explode(F.array(*_cells(F.col("key"), bits))).alias("cell")))
+    asked = in_bitmap(docs.select(F.struct(docs[text_col].alias("t")).alias("row"), key(docs[id_col])), "key", blocks, bits).where("maybe")
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [shingle_set(_printed(t, shingle, 1, True)[1]) for t in batch["t"]]
+            yield pd.DataFrame({"key": batch["key"], "same": [d for _, d in found], "held": [h for h, _ in found]})
+
+    modest_batches(spark)
+    sets = asked.select("key", "row.t").mapInPandas(hashed, "key string, same long, held binary")
+    sets = sets.dropDuplicates(["key", "same"])
+    parts = F.greatest(F.ceil(F.sum("size") / PART), F.ceil(F.count("*") / PART_ROWS)).cast("long")
+    large = written(nodes.groupBy("root").agg(parts.alias("parts")).where("parts > 1"), "large", 0)
+    dealt = sets.join(nodes, ["key", "same"]).join(F.broadcast(large), "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("nid"), F.col("parts"))).withColumn("part", F.explode(F.expr("sequence(own, parts - 1)")))
+    dealt = dealt.select("root", "part", (F.col("part") != F.col("own")).cast("int").alias("guest"), "nid", "held")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    dealt = dealt.repartition(n, "root", "part").sortWithinPartitions("root", "part", "guest")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, group, ids, sets = None, None, [], []
+
+        def ready() -> list[tuple[int, int]]:
+            """The part's own rows are all here."""
+            nonlocal ids, sets
+            own, ids, sets = (np.array(ids, np.int64), sets), [], []
+            return group.start(*own) if own[1] else []
+
+        for batch in batches:
+            found = []
+            for root, part, guest, nid, held in zip(*(batch[c] for c in ("root", "part", "guest", "nid", "held")), strict=True):
+                if at != (root, part):
+                    found += ready()
+                    at, group = (root, part), _Sets(alike)
+                held = np.frombuffer(held, "<u8")
+                if guest:
+                    found += ready()
+                    if len(group.ids):
+                        found += group.compare(np.array([nid]), [held])
+                else:
+                    ids.append(nid)
+                    sets.append(held)
+            if found:
+                yield pd.DataFrame(found, columns=["u", "v"])
+        if found := ready():
+            yield pd.DataFrame(found, columns=["u", "v"])
+
+    return dealt.mapInPandas(run, "u long, v long")
+
+
 def near_components(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -238,26 +348,34 @@ def near_components(
     tile: int = 8192,
     ratio: float = 0.0,
     distinct: bool = False,
+    alike: float = 0.0,
 ) -> DataFrame:
     """One row per input row: doc_id, f0, ..., component_id: the least id reachable over links, its own included.
 
     With a ratio, documents only link if the smaller number of shingles is at least that share of the larger; a likeness of
     sets bounds the ratio of distinct shingles only, so `distinct` counts each shingle of a text once.
+    With a likeness `alike`, which needs `distinct`, links within the radius are candidates, and of each component of them those pairs link
+    whose sets are at least so alike; equal sets are then one node.
     Equal fingerprints (of one size, with a ratio) are one node, so copies make no links. Null and wordless texts have
     fingerprint zero and link like others. Rows with a null id count but give no
     component_id of their own. Other columns are ignored; an empty table gives no rows.
     """
     names = [f"f{k}" for k in range(n_words)]
     prints = written(fingerprints(docs, id_col, text_col, shingle, n_words, distinct), "fingerprints")
-    if ratio:
+    if distinct:
+        keys = [*names, "size", "same"]
+    elif ratio:
         keys = [*names, "size"]
     else:
         keys, prints = names, prints.withColumn("size", F.lit(0).cast("long"))
-    reps = prints.groupBy(*names, "size").agg(F.min("doc_id").alias("first"))
+    reps = prints.groupBy(*names, "size", *["same"] * distinct).agg(F.min("doc_id").alias("first"))
     rows = prints.count()
     reps = written(reps.withColumn("nid", F.monotonically_increasing_id()), "distinct", rows)
     found = written(links(reps, n_words, radius, blocks, width, tile, ratio), "links")
     labels = components(found).withColumnRenamed("node", "nid")
+    if alike:
+        nodes = reps.join(labels.withColumnRenamed("component", "root"), "nid")
+        labels = components(written(alike_links(docs, id_col, text_col, nodes, rows, shingle, alike), "alike")).withColumnRenamed("node", "nid")
     rooted = written(reps.join(labels, "nid", "left").withColumn("root", F.coalesce("component", "nid")), "rooted", rows)
     least = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least", rows)
     rooted = written(rooted.join(least, "root").select(*keys, "component_id"), "labelled", rows)
@@ -273,11 +391,11 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document, that of the least id, of each group of near copies; all columns as they were.
 
-    Near copies are texts whose sets of five-word shingles are alike at 0.8 or more. 128 bits
-    of five-word shingles estimate that: at a likeness of 0.8, 19 bits differ on average and
-    more than 24 in one pair of eight, while of unlike texts one pair in 10^12 comes as near.
-    Population counts rule out few tiles at this radius, but sets that are so alike have sizes (distinct
-    shingles) within 0.8 of each other, which rules out most.
+    Near copies are texts whose sets of five-word shingles are alike at 0.8 or more (64-bit hashes of
+    the shingles), and what such pairs join. Candidates are texts whose 192 bits of distinct shingles differ in 56 or
+    fewer: at a likeness of 0.8, 29 differ on average, and more than 56 in 2 of 10^4 pairs of
+    five shingles and 3 of 10^7 of longer texts if hashes are random. Population counts rule out hardly any tiles at this radius, but sets that
+    are so alike have sizes (distinct shingles) within 0.8 of each other, which rules out most.
     """
     out = near_components(docs, id_col, text_col, **NEAR)
     return without(docs, out.where("doc_id <> component_id").select("doc_id"), id_col, docs.count())

@@ -105,6 +105,25 @@ def test_a_repeated_paragraph_makes_no_difference(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()) == list(range(40))
 
 
+def test_only_alike_sets_link(spark, monkeypatch):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    texts = []
+    for k in range(60):
+        base = [word() for _ in range(200)]
+        texts += [base, base[: 148 + k % 20] + [word() for _ in range(10)]]  # alike at 0.69 to 0.8
+        texts += [base + [word() for _ in range(30 + k % 25)]]  # alike at 0.78 to 0.87
+    hub = [word() for _ in range(100)]
+    texts += [[*hub[:k], word(), *hub[k + 1 : 100 - k % 30]] for k in range(60)]
+    sets = [{" ".join(w[k : k + 5]) for k in range(len(w) - 4)} for w in texts]
+    want = labels(dict(enumerate(sets)), lambda a, b: len(a & b) / len(a | b) >= 0.8)
+    df = spark.createDataFrame([(k, " ".join(w), "x", 1) for k, w in enumerate(texts)], SCHEMA)
+    monkeypatch.setattr(simhash, "PART", 1000)
+    monkeypatch.setattr(simhash, "PART_ROWS", 9)
+    out = simhash.near_components(df, **simhash.NEAR)
+    assert {r.doc_id: r.component_id for r in out.collect()} == want and 1 < len(set(want.values())) < len(texts)
+
+
 def test_null_ids_repeated_rows_and_empty_tables(spark):
     df = spark.createDataFrame([(None, "a b c d", "x", 1), (5, "a b c d", "x", 1), (5, "a b c d", "x", 1)], SCHEMA)
     assert [(r.doc_id, r.component_id) for r in simhash.simhash(df).orderBy("doc_id").collect()] == [(None, 5), (5, 5), (5, 5)]
