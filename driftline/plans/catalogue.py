@@ -470,7 +470,22 @@ SELECT doc, 'A' AS city, CAST(CASE WHEN d1 < d2 THEN la ELSE la2 END AS DOUBLE)
 UNION ALL SELECT doc, 'B', CAST(lb AS DOUBLE), CAST(lob AS DOUBLE), 'unique' FROM w
 """)
 def city_closest(spark, d):
-    orders = table(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("doc"))
+    """Of every third order, as its SQL has it; `city_closest_all` takes all."""
+    return _closest_towns(table(spark, d, "orders").where("o_orderkey % 3 = 0"))
+
+
+@query(f"""
+WITH t AS (SELECT o_orderkey AS doc, 'A' AS city, 50.0 + o_orderkey % 4 AS la, 15.0 AS lo, 52.0 AS la2, 21.0 + o_orderkey % 3 AS lo2, 51.0 AS lb, 16.0 AS lob FROM orders),
+w AS (SELECT *, {km('la', 'lo', 'lb', 'lob')} AS d1, {km('la2', 'lo2', 'lb', 'lob')} AS d2 FROM t)
+SELECT doc, 'A' AS city, CAST(CASE WHEN d1 < d2 THEN la ELSE la2 END AS DOUBLE) AS lat, CAST(CASE WHEN d1 < d2 THEN lo ELSE lo2 END AS DOUBLE) AS lon, 'proximity' AS loceval FROM w
+UNION ALL SELECT doc, 'B', CAST(lb AS DOUBLE), CAST(lob AS DOUBLE), 'unique' FROM w
+""")
+def city_closest_all(spark, d):
+    return _closest_towns(table(spark, d, "orders"))
+
+
+def _closest_towns(orders):
+    orders = orders.select(F.col("o_orderkey").alias("doc"))
     k = F.col("doc")
     one = lambda city, lat, lon: F.struct(F.lit(city).alias("city"), lat.cast("double").alias("lat"), lon.cast("double").alias("lon"))
     options = F.array(one("A", F.lit(50.0) + k % 4, F.lit(15.0)), one("A", F.lit(52.0), F.lit(21.0) + k % 3), one("B", F.lit(51.0), F.lit(16.0)))

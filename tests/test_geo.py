@@ -78,3 +78,11 @@ def test_many_choices_are_bettered_one_at_a_time(monkeypatch):
     monkeypatch.setattr(facts, "MOST_CHOICES", 1)
     assert facts._choose(list("abcdef"), points) == [0] * 6
     assert math.isfinite(facts.vincenty([1.0], [1.0], [2.0], [2.0])[0])
+
+
+def test_places_are_chosen_for_every_order(spark):
+    from driftline.plans.catalogue import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    docs = QUERIES["city_closest_all"](spark, d).select("doc").distinct()
+    assert docs.count() == spark.read.parquet(f"{d}/orders.parquet").count()
