@@ -1,8 +1,12 @@
-"""Exact dedup by two passes over a Bloom bitmap: only rows whose cells are hit twice shuffle.
-
-The first pass marks the cells of a bit array that at least two rows fall into, the second
-tests each row against it. A row with an unmarked cell has no equal and passes straight
-through; the others, 32-byte digests and never texts, are grouped exactly.
+"""Exact dedup by two passes over a Bloom bitmap: only rows whose cell is hit twice shuffle.
+
+The first pass finds the cells of a bit array that at least two rows fall into. Rows are dealt
+into groups as they lie, and each task makes bitmaps of its groups, so bitmaps are exchanged and
+rows aren't. A cell that two groups have is in the bitmaps of both sides of some bit of the group's
+number; a cell that one group has twice shows as a block with more rows than bits, and only the rows of such
+blocks are counted by cell. The second pass tests each row against the result. A row whose
+cell is unmarked has no equal and passes straight through; the others, 32-byte digests and never
+texts, are grouped exactly.
 """
 
 from __future__ import annotations
@@ -14,8 +18,9 @@ from ..session import written
 
 WHITE = r"[\x20\x09-\x0D]+"
 BLOCK_BITS = 32768  # of one bitmap_construct_agg
-BITS_PER_ROW = 16
-MAX_BITS = 1 << 28  # the broadcast bitmap is at most 32 MB
+BITS_PER_ROW = 32
+MAX_BITS = 1 << 30  # the broadcast bitmap is at most 128 MB
+GROUPS = 64  # of rows, at least and at most twice as many
 HOT_GROUPS = 1024  # at most so many groups are joined by broadcast
 
 
@@ -24,31 +29,33 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITE, " ")
 
 
-def _cells(key: Column, bits: int) -> list[Column]:
-    return [F.xxhash64(key, F.lit(seed)).bitwiseAND(F.lit(bits - 1)) for seed in (1, 2)]
+def _cells(key: Column, bits: int, hashes: int = 2) -> list[Column]:
+    return [F.xxhash64(key, F.lit(seed)).bitwiseAND(F.lit(bits - 1)) for seed in range(1, hashes + 1)]
 
 
-def filter_bits(rows: int, per_row: int = BITS_PER_ROW, most: int = MAX_BITS) -> int:
+def filter_bits(rows: int, per_row: int | None = None, most: int | None = None) -> int:
     """A power of two of at least per_row bits a row, between one block and most."""
-    return min(most, max(BLOCK_BITS, 1 << max(1, rows * per_row - 1).bit_length()))
+    return min(most or MAX_BITS, max(BLOCK_BITS, 1 << max(1, rows * (per_row or BITS_PER_ROW) - 1).bit_length()))
+
+
+def _block(cell: str = "cell") -> Column:
+    return F.shiftright(cell, 15)
+
+
+def _bit(cell: str = "cell") -> Column:
+    return F.col(cell).bitwiseAND(F.lit(BLOCK_BITS - 1))
 
 
 def bitmap_of(cells: DataFrame) -> DataFrame:
     """Bitmap blocks (block, bitmap) of a table of cells; as many bytes as there are bits / 8 at most."""
-    return written(
-        cells.groupBy(F.shiftright("cell", 15).alias("block")).agg(
-            F.bitmap_construct_agg(F.col("cell").bitwiseAND(F.lit(BLOCK_BITS - 1))).alias("bitmap")
-        ),
-        "bloom",
-        0,
-    )
+    return written(cells.groupBy(_block().alias("block")).agg(F.bitmap_construct_agg(_bit()).alias("bitmap")), "bloom", 0)
 
 
-def in_bitmap(rows: DataFrame, key: str, blocks: DataFrame, bits: int) -> DataFrame:
+def in_bitmap(rows: DataFrame, key: str, blocks: DataFrame, bits: int, hashes: int = 2) -> DataFrame:
     """rows, whose columns are `row` and key, with a boolean `maybe`: false only if a cell of the key isn't marked."""
     bit_of = F.array(*[F.lit(1 << k) for k in range(8)])
     hit = F.lit(True)
-    for i, cell in enumerate(_cells(F.col(key), bits)):
+    for i, cell in enumerate(_cells(F.col(key), bits, hashes)):
         rows = rows.withColumn(f"c{i}", cell).withColumn(f"k{i}", F.shiftright(f"c{i}", 15))
         rows = rows.join(F.broadcast(blocks.select(F.col("block").alias(f"k{i}"), F.col("bitmap").alias(f"b{i}"))), f"k{i}", "left")
         at = F.col(f"c{i}").bitwiseAND(F.lit(BLOCK_BITS - 1)).cast("int")
@@ -58,46 +65,89 @@ def in_bitmap(rows: DataFrame, key: str, blocks: DataFrame, bits: int) -> DataFr
     return rows.select("row", key, hit.alias("maybe"))
 
 
-def repeated_cells(digests: DataFrame, bits: int) -> DataFrame:
-    """The first pass: cells that two or more rows fall into."""
-    hits = digests.select(F.explode(F.array(*_cells(F.col("digest"), bits))).alias("cell")).groupBy("cell").count()
-    return hits.where("count > 1").select("cell")
+def group_bitmaps(digests: DataFrame, bits: int, tasks: int) -> tuple[DataFrame, DataFrame, int]:
+    """Rows with their group and cell, the groups' bitmaps (grp, block, n, bitmap) and the number of groups.
+
+    A group is of rows that one task wrote, or of a share of them where tasks are few.
+    """
+    slices = -(-GROUPS // tasks)
+    task = F.pmod(F.shiftright("rid", 33), F.lit(GROUPS))
+    grp = task * slices + F.pmod(F.col("rid").bitwiseAND(F.lit((1 << 33) - 1)), F.lit(slices))
+    rows = digests.select(grp.cast("int").alias("grp"), _cells(F.col("digest"), bits, 1)[0].alias("cell")).withColumn("block", _block())
+    maps = rows.groupBy("grp", "block").agg(F.count("*").alias("n"), F.bitmap_construct_agg(_bit()).alias("bitmap"))
+    return rows, maps, min(tasks, GROUPS) * slices
+
+
+def repeated_cells(digests: DataFrame, bits: int, tasks: int) -> DataFrame:
+    """The first pass: bitmap blocks (block, bitmap) of the cells that two or more rows fall into. Digests have `rid`,
+    whose upper 31 bits say which of the `tasks` tasks wrote the row."""
+    rows, maps, groups = group_bitmaps(digests, bits, tasks)
+    maps = written(maps, "groups-bloom", 0)
+    # two groups differ in some bit of their numbers
+    sides = F.array(*[F.struct(F.lit(j).alias("j"), F.shiftright("grp", j).bitwiseAND(F.lit(1)).alias("side")) for j in range(max(1, (groups - 1).bit_length()))])
+    either = maps.select("block", "bitmap", F.explode(sides).alias("s")).groupBy("block", "s.j", "s.side").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+    both = either.groupBy("block", "j").agg(F.bitmap_and_agg("bitmap").alias("bitmap"), F.count("*").alias("sides")).where("sides = 2")
+    across = both.groupBy("block").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+    # a block of a group with more rows than marked bits; of as many as there are blocks times groups, all of them bounded
+    full = maps.where(F.col("n") > F.bitmap_count("bitmap")).select("grp", "block")
+    within = rows.join(F.broadcast(full), ["grp", "block"], "left_semi").groupBy("cell").count().where("count > 1")
+    within = within.groupBy(_block().alias("block")).agg(F.bitmap_construct_agg(_bit()).alias("bitmap"))
+    return written(across.unionByName(within).groupBy("block").agg(F.bitmap_or_agg("bitmap").alias("bitmap")), "bloom", 0)
+
+
+def keep_rows(docs: DataFrame, key: Column, acts: DataFrame, most: int | None = None, max_bits: int | None = None) -> DataFrame:
+    """docs but for the rows whose key is one that `acts` (key, gone) says is gone, all columns as they were.
+
+    Of the rows of a key that is there and not gone one stays: the one whose columns have the least hash, as JSON.
+    Rows whose key a Bloom bitmap of acts rules out pass straight through; the others are
+    joined. most is at least the number of rows of acts, if that is known.
+    """
+    acts = written(acts.groupBy("key").agg(F.min("gone").alias("gone")), "acts", most)
+    found = acts.agg(F.count("*").alias("n"), F.count_if(~F.col("gone")).alias("again")).first()
+    bits = filter_bits(found.n, most=max_bits)
+    blocks = bitmap_of(acts.select(F.explode(F.array(*_cells(F.col("key"), bits))).alias("cell")))
+    marked = in_bitmap(docs.select(F.struct("*").alias("row"), key.alias("key")), "key", blocks, bits)
+    out = marked.where("not maybe").select("row")
+    asked = marked.where("maybe")
+    if not found.again:
+        return out.unionByName(asked.join(acts, "key", "left_anti").select("row")).select("row.*")
+    asked = asked.join(acts, "key", "left")
+    out = out.unionByName(asked.where("gone is null").select("row"))
+    again = asked.where("not gone").groupBy("key").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return out.unionByName(again.select("row")).select("row.*")
+
 
+def row_key(id_col: Column, digest: Column) -> Column:
+    """What a row is told by where ids are null or repeat: its id and the digest of its text, as hex."""
+    return F.concat(digest, F.coalesce(F.concat(F.lit(":"), id_col.cast("string")), F.lit("")))
 
-def without(docs: DataFrame, gone: DataFrame, key: str, most: int | None = None, max_bits: int = MAX_BITS) -> DataFrame:
-    """docs but for the rows whose key is in gone's only column, all columns as they were.
 
-    Rows whose key a Bloom bitmap of gone rules out pass straight through; the others are
-    joined. A null key stays. most is at least the number of rows of gone, if that is known.
-    """
-    gone = written(gone.toDF("key").where("key is not null").distinct(), "gone", most)
-    bits = filter_bits(gone.count(), most=max_bits)
-    blocks = bitmap_of(gone.select(F.explode(F.array(*_cells(F.col("key"), bits))).alias("cell")))
-    marked = in_bitmap(docs.select(F.struct("*").alias("row"), docs[key].alias("key")), "key", blocks, bits)
-    stay = marked.where("not maybe or key is null").select("row")
-    asked = marked.where("maybe and key is not null").join(gone, "key", "left_anti").select("row")
-    return stay.unionByName(asked).select("row.*")
+def _hex_digest(text: Column) -> Column:
+    return F.sha2(normalised(text), 256)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal if equal after `normalised`. The row with the least id stays; null ids
     come last, and of rows with the same id and text one stays. Null text counts as empty.
     Other columns are ignored, whatever their names. An empty table gives no rows.
+    The bitmap has BITS_PER_ROW bits a row up to max_bits, a broadcast; beyond that more rows are let through
+    to the exact grouping, and the result is the same.
     """
     digests = written(
         docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("digest"),
+            docs[id_col].alias("doc_id"),
+            F.unhex(_hex_digest(docs[text_col])).alias("digest"),
             F.monotonically_increasing_id().alias("rid"),
         ),
         "digests",
     )
-    rows = digests.count()
+    found = digests.agg(F.count("*").alias("n"), F.max(F.shiftright("rid", 33)).alias("last")).first()
+    rows = found.n
     bits = filter_bits(rows, most=max_bits)
-    blocks = bitmap_of(repeated_cells(digests, bits))
-    marked = in_bitmap(digests.select("digest", F.struct("doc_id", "rid").alias("row")), "digest", blocks, bits)
+    blocks = repeated_cells(digests, bits, int(found.last or 0) + 1)
+    marked = in_bitmap(digests.select("digest", F.struct("doc_id", "rid").alias("row")), "digest", blocks, bits, 1)
     marked = written(marked.select("digest", "row.doc_id", "row.rid", "maybe"), "marked")
     first = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("doc_id"), F.col("rid").alias("rid"))
     maybe = marked.where("maybe")
@@ -124,8 +174,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without all but the first of each group of equal texts, all columns as they were.
 
-    Ids that are null or repeated within a group can't name one row: such rows are kept by
-    their id, so that no text is lost.
+    A row goes by its id and text, so that another text of the same id, or of a null one, isn't lost. Of
+    rows with the id and text that stay, the one whose columns have the least hash stays.
     """
-    gone = exact_dedup(docs, id_col, text_col).where("not kept and doc_id <> keep_id").select("doc_id")
-    return without(docs, gone, id_col, docs.count())
+    out = exact_dedup(docs, id_col, text_col)
+    key = row_key(F.col("doc_id"), F.col("text_sha256"))
+    first = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    acts = out.where("not kept").select(key.alias("key"), (~first).alias("gone"))
+    return keep_rows(docs, row_key(docs[id_col], _hex_digest(docs[text_col])), acts, docs.count())

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..session import modest_batches, written
-from .exact_dedup import _cells, bitmap_of, filter_bits, in_bitmap, without
+from .exact_dedup import _cells, bitmap_of, filter_bits, in_bitmap, keep_rows, row_key
 
 SEED = 42  # of the first 64 bits, the next ones follow
 DIGIT, PAD = 256, 4  # a tile key has a digit per count
@@ -32,7 +32,7 @@ STRIP, SLAB = 64, 4096  # fingerprints that are compared at once
 CHUNK = 1 << 15  # shingles whose bits are unpacked at once
 PART, PART_ROWS = 1 << 20, 4096  # hashes and sets of a component that are held at once
 #: how `keep_one` links
-NEAR = {"shingle": 5, "n_words": 3, "radius": 56, "blocks": 0, "width": 32, "tile": 1 << 14, "ratio": 0.8, "distinct": True, "alike": 0.8}
+NEAR = {"shingle": 5, "n_words": 3, "radius": 56, "blocks": 0, "width": 32, "tile": 1 << 14, "ratio": 0.8, "distinct": True, "alike": 0.8, "by_row": True}
 
 
 def shingles(text: str | None, shingle: int) -> list[bytes]:
@@ -77,8 +77,13 @@ def shingle_set(hashes: np.ndarray) -> tuple[bytes, int]:
     return held, int(np.uint64(xxhash.xxh3_64_intdigest(held)).view(np.int64))
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, n_words: int, distinct: bool = False) -> DataFrame:
-    """(doc_id, f0, f1, ..., size) of every row; size is the number of shingles, of distinct ones if so asked, and then `same` is a digest of their set."""
+def _digest(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, n_words: int, distinct: bool = False, by_row: bool = False) -> DataFrame:
+    """(doc_id, f0, f1, ..., size) of every row; size is the number of shingles, of distinct ones if so asked, and then `same` is a digest
+    of their set. by_row adds `key`, which tells rows of one id by their texts."""
     names = [*(f"f{k}" for k in range(n_words)), "size", *["same"] * distinct]
 
     def one(text: str | None) -> list[int]:
@@ -89,11 +94,12 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, n_wo
         for batch in batches:
             found = np.array([one(t) for t in batch["t"]], np.int64).reshape(-1, len(names))
             ids = pd.array([int(i) if i else None for i in batch["doc_id"]], "Int64")
-            yield pd.DataFrame({"doc_id": ids} | {f: found[:, k] for k, f in enumerate(names)})
+            yield pd.DataFrame({"doc_id": ids} | {f: found[:, k] for k, f in enumerate(names)} | ({"key": batch["key"]} if by_row else {}))
 
-    schema = ", ".join(["doc_id long", *(f"{f} long" for f in names)])
+    schema = ", ".join(["doc_id long", *(f"{f} long" for f in names), *["key string"] * by_row])
     modest_batches(docs.sparkSession)
-    return docs.select(docs[id_col].cast("long").cast("string").alias("doc_id"), docs[text_col].alias("t")).mapInPandas(run, schema)
+    key = [row_key(docs[id_col], _digest(docs[text_col])).alias("key")] * by_row
+    return docs.select(docs[id_col].cast("long").cast("string").alias("doc_id"), docs[text_col].alias("t"), *key).mapInPandas(run, schema)
 
 
 def _counts(n_words: int, blocks: int, width: int) -> list[Column]:
@@ -349,9 +355,12 @@ def near_components(
     ratio: float = 0.0,
     distinct: bool = False,
     alike: float = 0.0,
+    by_row: bool = False,
 ) -> DataFrame:
     """One row per input row: doc_id, f0, ..., component_id: the least id reachable over links, its own included.
 
+    by_row adds key (the row's id and text digest), keep_key (that of the component's first row, null ids last) and members (its rows).
+
     With a ratio, documents only link if the smaller number of shingles is at least that share of the larger; a likeness of
     sets bounds the ratio of distinct shingles only, so `distinct` counts each shingle of a text once.
     With a likeness `alike`, which needs `distinct`, links within the radius are candidates, and of each component of them those pairs link
@@ -361,14 +370,16 @@ def near_components(
     component_id of their own. Other columns are ignored; an empty table gives no rows.
     """
     names = [f"f{k}" for k in range(n_words)]
-    prints = written(fingerprints(docs, id_col, text_col, shingle, n_words, distinct), "fingerprints")
+    prints = written(fingerprints(docs, id_col, text_col, shingle, n_words, distinct, by_row), "fingerprints")
     if distinct:
         keys = [*names, "size", "same"]
     elif ratio:
         keys = [*names, "size"]
     else:
         keys, prints = names, prints.withColumn("size", F.lit(0).cast("long"))
-    reps = prints.groupBy(*names, "size", *["same"] * distinct).agg(F.min("doc_id").alias("first"))
+    reps = prints.groupBy(*names, "size", *["same"] * distinct).agg(
+        F.min("doc_id").alias("first"), *[F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("keep"), F.count("*").alias("members")] * by_row
+    )
     rows = prints.count()
     reps = written(reps.withColumn("nid", F.monotonically_increasing_id()), "distinct", rows)
     found = written(links(reps, n_words, radius, blocks, width, tile, ratio), "links")
@@ -377,9 +388,11 @@ def near_components(
         nodes = reps.join(labels.withColumnRenamed("component", "root"), "nid")
         labels = components(written(alike_links(docs, id_col, text_col, nodes, rows, shingle, alike), "alike")).withColumnRenamed("node", "nid")
     rooted = written(reps.join(labels, "nid", "left").withColumn("root", F.coalesce("component", "nid")), "rooted", rows)
-    least = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least", rows)
-    rooted = written(rooted.join(least, "root").select(*keys, "component_id"), "labelled", rows)
-    return prints.join(rooted, keys).select("doc_id", *names, "component_id")
+    more = [F.min("keep").getField("key").alias("keep_key"), F.sum("members").alias("members")] * by_row
+    least = written(rooted.groupBy("root").agg(F.min("first").alias("component_id"), *more), "least", rows)
+    also = ["keep_key", "members"] * by_row
+    rooted = written(rooted.drop(*also).join(least, "root").select(*keys, "component_id", *also), "labelled", rows)
+    return prints.join(rooted, keys).select("doc_id", *names, "component_id", *["key"] * by_row, *also)
 
 
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -396,6 +409,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     fewer: at a likeness of 0.8, 29 differ on average, and more than 56 in 2 of 10^4 pairs of
     five shingles and 3 of 10^7 of longer texts if hashes are random. Population counts rule out hardly any tiles at this radius, but sets that
     are so alike have sizes (distinct shingles) within 0.8 of each other, which rules out most.
+    A row goes by its id and text, so that another text of the same id, or of a null one, isn't lost; of rows
+    with the id and text that stay, the one whose columns have the least hash stays.
     """
-    out = near_components(docs, id_col, text_col, **NEAR)
-    return without(docs, out.where("doc_id <> component_id").select("doc_id"), id_col, docs.count())
+    out = near_components(docs, id_col, text_col, **NEAR).where("members > 1")
+    acts = out.groupBy("key").agg(F.max(F.col("key") != F.col("keep_key")).alias("gone"), F.count("*").alias("n")).where("gone or n > 1")
+    return keep_rows(docs, row_key(docs[id_col], _digest(docs[text_col])), acts.select("key", "gone"), docs.count())

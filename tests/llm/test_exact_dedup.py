@@ -25,6 +25,7 @@ def test_against_brute_force(spark):
 
 def test_a_full_bitmap_and_one_hot_group_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "BITS_PER_ROW", 1)
+    monkeypatch.setattr(exact_dedup, "MAX_BITS", 32768)
     rows = [(k, "copy" if k % 3 == 0 else f"t{k}") for k in range(9000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, exact_dedup.exact_dedup(df).collect())) == brute(rows)
@@ -47,3 +48,30 @@ def test_filter_keeps_columns_and_one_of_each(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert exact_dedup.exact_dedup(df).count() == 0 and exact_dedup.keep_first(df).count() == 0
+
+
+def test_the_first_pass_finds_every_repeated_cell_and_exchanges_no_rows(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(k, f"t{k % 2900}") for k in range(3000)]
+    for parts in (1, 3, 70):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        digests = exact_dedup.written(df.select(F.unhex(F.sha2("text", 256)).alias("digest"), F.monotonically_increasing_id().alias("rid")), "d")
+        cells = digests.select(exact_dedup._cells(F.col("digest"), 1 << 17, 1)[0].alias("cell")).collect()
+        count = {c: [r.cell for r in cells].count(c) for c in {r.cell for r in cells}}
+        blocks = exact_dedup.repeated_cells(digests, 1 << 17, parts)
+        marked = {32768 * r.block + 8 * k + j for r in blocks.collect() for k, byte in enumerate(r.bitmap) for j in range(8) if byte >> j & 1}
+        assert marked == {c for c, n in count.items() if n > 1}
+        _, maps, groups = exact_dedup.group_bitmaps(digests, 1 << 17, parts)
+        assert exact_dedup.GROUPS <= groups < 2 * exact_dedup.GROUPS
+        plan = maps._jdf.queryExecution().executedPlan().toString().split("Exchange")
+        assert len(plan) == 2 and "bitmap_construct_agg" in plan[1]  # what is exchanged comes out of a partial aggregation
+
+
+def test_the_filter_goes_by_rows_not_ids(spark):
+    rows = [(1, "same text", "b"), (5, "same  text", "x"), (5, "another, unique text", "x"), (1, "same text", "a"), (None, "same text", "x"), (None, "alone", "x"), (None, "gone", "1"), (None, "gone", "2")]
+    out = exact_dedup.keep_first(spark.createDataFrame(rows, "doc_id long, text string, key string"))
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert sorted(got, key=str) == sorted([(1, "same text"), (5, "another, unique text"), (None, "alone"), (None, "gone")], key=str)
+    again = exact_dedup.keep_first(spark.createDataFrame(rows[::-1], "doc_id long, text string, key string").repartition(3))
+    assert sorted(map(str, out.collect())) == sorted(map(str, again.collect()))

@@ -142,3 +142,12 @@ def test_hub_with_many_links_gives_one_component(spark):
     for u, v in links:
         groups[min(u, v)].add(max(u, v))
     assert len(links) == 64
+
+
+def test_the_filter_goes_by_rows_not_ids(spark):
+    near = "one two three four five six seven eight nine ten " * 12
+    rows = [(1, near, "b"), (5, near + "end", "x"), (5, "another text that is unlike the others here", "x"), (1, near, "a"), (None, near, "x"), (None, "alone in all of its words and more", "x")]
+    for order in (rows, rows[::-1]):
+        out = simhash.keep_one(spark.createDataFrame(order, "doc_id long, text string, key string"))
+        got = [(r.doc_id, r.text[:9]) for r in out.collect()]
+        assert sorted(got, key=str) == sorted([(1, near[:9]), (5, "another t"), (None, "alone in ")], key=str)
