@@ -35,10 +35,13 @@ def modest_batches(spark: SparkSession, size: str = "8m") -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or the context's checkpoint folder; where neither is set (tests), a temporary one that is then kept in the setting."""
+    """The folder in spark.checkpoint.dir, or the context's checkpoint folder; where neither is set and all runs in one process (tests), a
+    temporary one that is then kept in the setting. A cluster must name one, as its executors see no other machine's files."""
     path = spark.conf.get(SHARED, None)
     if not path:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not known.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {SHARED} to a folder that all executors share")
         path = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp(prefix="driftline-")
         spark.conf.set(SHARED, path)
     return path.rstrip("/")
