@@ -3,9 +3,10 @@
 A legal conversation is an optional system turn, then user and assistant turns in
 alternation that begin with the user. Dynamic programming over that automaton picks for each turn
 whether it stays, gets another role, joins the turn before it, or needs empty turns before it.
-Costs add along the turns, so a run of turns is a matrix of least costs from state to state;
-conversations that are too long for one task are cut into runs, whose matrices are multiplied in
-order to fix the states at their borders.
+Costs add along the turns, so a run of turns is a matrix of least costs from state to state.
+Conversations that are too long for one task are cut into runs. Products of their matrices give the
+costs that each run begins with; with these a run says from which state it came to each of its last
+ones, and those answers, followed from the end, fix the states at the borders. So each turn gets what it would get in one run.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from ..session import modest_batches, written
 
 ROLES = ("system", "user", "assistant")
 RELABEL, RELABEL_UNKNOWN, MERGE, INSERT = 4, 1, 1, 6
-LONG = 4096  # turns that are solved at once
+LONG, LONG_CHARS = 4096, 1 << 24  # turns and characters of a conversation that are solved at once
 BEGIN, SYSTEM, USER, ASSISTANT = range(4)
 STATES = range(4)
 STEPS = {(BEGIN, SYSTEM), (BEGIN, USER), (SYSTEM, USER), (USER, ASSISTANT), (ASSISTANT, USER)}
@@ -80,9 +81,9 @@ def run_matrix(roles: list[int | None]) -> list[int]:
     return out
 
 
-def solve(roles: list[int | None], entry: int = BEGIN, leave: int | None = None) -> list[tuple[int, str, tuple[int, ...], int]]:
-    """(new role, action, empty turns before, cost) of each turn at least cost; leave is the last state, None: any that may end."""
-    best, back = [0 if t == entry else FAR for t in STATES], []
+def forward(roles: list[int | None], costs: list[int]) -> tuple[list[int], list[list[int]]]:
+    """Least costs of the states after the turns, from those before; and per turn the state that each came from, the first of equals."""
+    best, back = costs, []
     for r in roles:
         nxt, came = [FAR] * 4, [0] * 4
         for (a, b), (c, _, _) in sorted(MOVES[r].items()):
@@ -90,7 +91,30 @@ def solve(roles: list[int | None], entry: int = BEGIN, leave: int | None = None)
                 nxt[b], came[b] = best[a] + c, a
         best = nxt
         back.append(came)
-    at = min(STATES, key=lambda s: (best[s] + ENDS[s][0], s)) if leave is None else leave
+    return best, back
+
+
+def last_state(costs: list[int]) -> int:
+    """Where the cheapest conversation stands after its last turn, the first of equals."""
+    return min(STATES, key=lambda s: (costs[s] + ENDS[s][0], s))
+
+
+def entries(roles: list[int | None], costs: list[int]) -> list[int]:
+    """For each state after the turns the state before them."""
+    at = list(STATES)
+    for came in reversed(forward(roles, costs)[1]):
+        at = [came[s] for s in at]
+    return at
+
+
+START = [0, FAR, FAR, FAR]
+
+
+def solve(roles: list[int | None], costs: list[int] = START, leave: int | None = None) -> list[tuple[int, str, tuple[int, ...], int]]:
+    """(new role, action, empty turns before, cost) of each turn at least cost. costs are those of the states before the
+    turns; leave is the state after them, None: any that may end."""
+    best, back = forward(roles, costs)
+    at = last_state(best) if leave is None else leave
     out = []
     for k in range(len(roles) - 1, -1, -1):
         before = back[k][at]
@@ -105,12 +129,12 @@ def _quoted(text: str | None) -> str:
     return (text or "").replace("<|im_", "<| im_")
 
 
-def rows_of(turns: list[tuple], entry: int = BEGIN, leave: int | None = None, last: bool = True) -> list[tuple]:
-    """Output rows of turns (conv_id, turn, role, text) in order; joined, their pieces are the rendered conversation."""
+def rows_of(turns: list[tuple], entry: int = BEGIN, costs: list[int] = START, leave: int | None = None, last: bool = True) -> list[tuple]:
+    """Output rows of turns (conv_id, turn, role, text) in order, which begin in the state entry; joined, their pieces are the rendered conversation."""
     if not turns:
         return []
     out, state = [], entry
-    plan = solve([role_of(t[2]) for t in turns], entry, leave)
+    plan = solve([role_of(t[2]) for t in turns], costs, leave)
     for (conv, turn, role, text), (to, action, empty, cost) in zip(turns, plan, strict=True):
         if action.endswith("merge"):
             piece = JOINT + _quoted(text)
@@ -152,28 +176,32 @@ def _int(x):
     return None if x is None else int(x)
 
 
-def repair(talks: DataFrame, long: int = LONG) -> DataFrame:
+ORDER = ["conv_id", "turn", "tie1", "tie2"]
+
+
+def repair(talks: DataFrame, long: int = LONG, long_chars: int = LONG_CHARS) -> DataFrame:
     """One row per turn: conv_id, turn, role, new_role, action, inserted, cost, piece.
 
     `talks` has conv_id, turn, role and text; other columns are ignored. Turns go by turn,
-    null first, and equal ones by role and text; rows that repeat are turns of their own.
+    null first, and equal ones by two 64-bit hashes of role and text; rows that repeat are turns of their own.
     Roles are compared in lower case; null and unknown ones cost less to relabel. Null text is
     empty. The pieces of a conversation, joined in that order, are its rendering; the last row
     has the end and the cost of any empty turns there. Rows without a conv_id are one
-    conversation. Conversations of more than `long` turns are solved in runs, so no
-    task holds more than `long` turns of one; the least cost is the same.
+    conversation. Of repairs of equal cost the one is taken whose states, read from the end, come first. Conversations of more than
+    `long` turns or long_chars characters are solved in runs, with the same rows as result, so no
+    task holds more than that of one, or one text if that is longer. An empty table gives no rows.
     """
     modest_batches(talks.sparkSession)
+    ties = [F.xxhash64(talks["role"], talks["text"], F.lit(k)).alias(f"tie{k}") for k in (1, 2)]
     rows = talks.select(
-        talks["conv_id"].cast("long").alias("conv_id"), talks["turn"].cast("long").alias("turn"), talks["role"].alias("role"), talks["text"].alias("text")
+        talks["conv_id"].cast("long").alias("conv_id"), talks["turn"].cast("long").alias("turn"), talks["role"].alias("role"), talks["text"].alias("text"), *ties
     )
     as_text = [F.col("conv_id").cast("string"), F.col("turn").cast("string"), "role", "text"]  # pandas would make floats of longs with nulls
-    sizes = rows.groupBy("conv_id").count()
-    # at most a row for every `long` turns, so its size is that of a small fraction of the input
-    big = written(sizes.where(F.col("count") > long).select(F.col("conv_id").alias("big"), F.lit(True).alias("is_big")), "long-talks")
+    sizes = rows.groupBy("conv_id").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"))
+    # at most a row for every `long` turns or `long_chars` characters, so its size is that of a small fraction of the input
+    big = written(sizes.where((F.col("n") > long) | (F.col("chars") > long_chars)).select(F.col("conv_id").alias("big"), F.lit(True).alias("is_big")), "long-talks")
     marked = rows.join(F.broadcast(big), F.col("conv_id").eqNullSafe(F.col("big")), "left").drop("big")
-    order = ["conv_id", "turn", "role", "text"]
-    short = marked.where("is_big is null").select(*order).repartition("conv_id").sortWithinPartitions(*order).select(*as_text)
+    short = marked.where("is_big is null").drop("is_big").repartition("conv_id").sortWithinPartitions(*ORDER).select(*as_text)
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
@@ -188,61 +216,77 @@ def repair(talks: DataFrame, long: int = LONG) -> DataFrame:
     done = short.mapInPandas(whole, SCHEMA)
     if big.isEmpty():
         return done
-    return done.unionByName(_repair_long(marked.where("is_big").select(*order), long))
+    return done.unionByName(_repair_long(marked.where("is_big").drop("is_big"), long, long_chars))
 
 
-def _repair_long(rows: DataFrame, long: int) -> DataFrame:
+def _repair_long(rows: DataFrame, long: int, long_chars: int) -> DataFrame:
     spark = rows.sparkSession
-    order = ["conv_id", "turn", "role", "text"]
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    keyed = rows.withColumn("tie", F.monotonically_increasing_id())
-    ranged = keyed.repartitionByRange(n, *order, "tie").sortWithinPartitions(*order, "tie").withColumn("part", F.spark_partition_id())
+    keyed = rows.withColumn("tie", F.monotonically_increasing_id())  # splits what repeats; the range's samples hold numbers only
+    ranged = keyed.repartitionByRange(n, *ORDER, "tie").sortWithinPartitions(*ORDER, "tie").withColumn("part", F.spark_partition_id())
 
     def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, run, held = None, -1, 0
+        at, run, held, chars = None, -1, 0, 0
         for batch in batches:
             conv = batch["conv_id"].astype(object).where(batch["conv_id"].notna(), None).tolist()
             runs, places = [], []
-            for c in conv:
-                if (c,) != at or held == long:
-                    at, run, held = (c,), run + 1, 0
+            for c, size in zip(conv, batch["text"].str.len().fillna(0), strict=True):
+                if (c,) != at or held == long or held and chars + size > long_chars:
+                    at, run, held, chars = (c,), run + 1, 0, 0
                 runs.append(run)
                 places.append(held)
-                held += 1
+                held, chars = held + 1, chars + size
             yield batch.assign(run=runs, place=places)
 
     ranged = ranged.select(F.col("conv_id").cast("string"), F.col("turn").cast("string"), "role", "text", "part")
     schema = "conv_id string, turn string, role string, text string, part int, run long, place long"
     runs = written(ranged.mapInPandas(numbered, schema), "runs")
-    dealt = runs.repartition("part", "run").sortWithinPartitions("part", "run", "place")
+    key = ["part", "run"]
+    roles = runs.select(*key, "conv_id", "place", "role").repartition(*key).sortWithinPartitions(*key, "place")
 
     def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for (part, run, conv), turns in _grouped(batches, ["part", "run", "conv_id"]):
+        for (part, run, conv), turns in _grouped(batches, [*key, "conv_id"]):
             yield pd.DataFrame({"part": [part], "run": [run], "conv_id": [conv], "m": [run_matrix([role_of(r) for _, r in turns])]})
 
-    short_rows = dealt.select("part", "run", "conv_id", "place", "role")
-    costs = written(short_rows.mapInPandas(matrices, "part int, run long, conv_id string, m array<long>"), "matrices")
+    def begun(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The costs that each run begins with, a few numbers for each."""
+        for (conv,), found in _grouped(batches, ["conv_id"]):
+            best, out = START, []
+            for part, run, m in found:
+                out.append((part, run, conv, best))
+                best = [min(FAR, *(best[a] + m[4 * a + b] for a in STATES)) for b in STATES]
+            last = last_state(best)
+            yield pd.DataFrame([(*row, last if k == len(out) - 1 else None) for k, row in enumerate(out)], columns=[*key, "conv_id", "costs", "leave"]).astype({"leave": "Int64"})
+
+    def traced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for (part, run, conv, leave), turns in _grouped(batches, [*key, "conv_id", "leave"]):
+            costs = turns[0][0]
+            came = entries([role_of(r) for _, _, r in turns], [int(c) for c in costs])
+            out = pd.DataFrame({"part": [part], "run": [run], "conv_id": [conv], "costs": [costs], "leave": [leave], "came": [came]})
+            yield out.astype({"leave": "Int64"})
 
     def borders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The states between the runs of each conversation: a few numbers for each run."""
+        """The states at the ends of the runs of each conversation, from the last to the first."""
         for _, found in _grouped(batches, ["conv_id"]):
-            best, back = [0, FAR, FAR, FAR], []
-            for _, _, m in found:
-                step = [min((best[a] + m[4 * a + b], a) for a in STATES) for b in STATES]
-                best = [min(c, FAR) for c, _ in step]
-                back.append([a for _, a in step])
-            at, out = min(STATES, key=lambda s: (best[s] + ENDS[s][0], s)), []
-            for k in range(len(found) - 1, -1, -1):
-                out.append((found[k][0], found[k][1], back[k][at], at, k == len(found) - 1))
-                at = back[k][at]
-            yield pd.DataFrame(out, columns=["part", "run", "entry", "leave", "last"])
-
-    ordered = costs.select("conv_id", "part", "run", "m").repartition("conv_id").sortWithinPartitions("conv_id", "part", "run")
-    edges = written(ordered.mapInPandas(borders, "part int, run long, entry int, leave int, last boolean"), "borders")
+            at, out = int(found[-1][3]), []
+            for part, run, costs, leave, came in reversed(found):
+                out.append((part, run, int(came[at]), costs, at, leave is not None))
+                at = int(came[at])
+            yield pd.DataFrame(out, columns=[*key, "entry", "costs", "leave", "last"])
+
+    by_talk = lambda df, *columns: df.select("conv_id", *key, *columns).repartition("conv_id").sortWithinPartitions("conv_id", *key)
+    costs = written(roles.mapInPandas(matrices, "part int, run long, conv_id string, m array<long>"), "matrices")
+    costs = written(by_talk(costs, "m").mapInPandas(begun, "part int, run long, conv_id string, costs array<long>, leave long"), "begun")
+    met = roles.join(costs.drop("conv_id"), key).repartition(*key).sortWithinPartitions(*key, "place")
+    met = met.select(*key, "conv_id", "leave", "costs", "place", "role")
+    came = written(met.mapInPandas(traced, "part int, run long, conv_id string, costs array<long>, leave long, came array<long>"), "traced")
+    edges = by_talk(came, "costs", "leave", "came").mapInPandas(borders, "part int, run long, entry int, costs array<long>, leave int, last boolean")
+    edges = written(edges, "borders")
 
     def solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for (_, _, entry, leave, last), turns in _grouped(batches, ["part", "run", "entry", "leave", "last"]):
-            yield _frame(rows_of([(_int(c), _int(t), r, x) for _, c, t, r, x in turns], int(entry), int(leave), bool(last)))
+        for (_, _, entry, leave, last), turns in _grouped(batches, [*key, "entry", "leave", "last"]):
+            costs = [int(c) for c in turns[0][0]]
+            yield _frame(rows_of([(_int(c), _int(t), r, x) for _, _, c, t, r, x in turns], int(entry), costs, int(leave), bool(last)))
 
-    final = runs.join(edges, ["part", "run"]).repartition("part", "run").sortWithinPartitions("part", "run", "place")
-    return final.select("part", "run", "entry", "leave", "last", "place", "conv_id", "turn", "role", "text").mapInPandas(solved, SCHEMA)
+    final = runs.join(edges, key).repartition(*key).sortWithinPartitions(*key, "place")
+    return final.select(*key, "entry", "leave", "last", "costs", "place", "conv_id", "turn", "role", "text").mapInPandas(solved, SCHEMA)

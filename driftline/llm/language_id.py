@@ -19,8 +19,8 @@ UNDETERMINED = "und"
 LEVEL = 9  # searches for matches longer than the fast levels do: short texts need that
 DICTIONARY_BYTES = 128 << 10
 SAMPLE_DOCS = 400  # labelled documents per language, give or take what hashes do
-SAMPLE_CHARS = 2000  # of each of them
-MAX_LANGUAGES = 400
+PIECE, PIECES = 320, 8  # characters that a dictionary takes of a text at once, and how often at most
+MAX_LANGUAGES = 400  # the most frequent ones are told apart
 HASHES = 1 << 40
 CHUNK = 4096  # characters that are compressed at once, so that all of a text is judged by the dictionaries
 NARROW = 0.02  # a margin below this is no decision
@@ -38,25 +38,55 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def dictionaries(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str, bytes]:
-    """A dictionary per language from about SAMPLE_DOCS documents each, those whose hash is below the language's threshold.
-
-    A language of no more has all of them; copies of a text count once.
+def dictionaries(
+    docs: DataFrame,
+    id_col: str,
+    text_col: str,
+    lang_col: str,
+    sample_docs: int = SAMPLE_DOCS,
+    size: int = DICTIONARY_BYTES,
+    piece: int = PIECE,
+    pieces: int = PIECES,
+    most: int = MAX_LANGUAGES,
+) -> dict[str, bytes]:
+    """A dictionary of at most `size` bytes for each of the `most` most frequent languages.
+
+    About sample_docs labelled documents of each are sampled, those whose hash is below the language's threshold; a
+    language of no more has all of them, and copies of a text count once. Whole texts are cut into pieces, of which
+    those of the least hashes are taken, at most `pieces` of a text. A dictionary has one piece of each text
+    in the order of hashes, then a second one of each, until it is full. These bounds are all that is bounded: labels are counted over all rows.
     """
-    rows = docs.select(docs[id_col].alias("id"), docs[lang_col].alias("lang"), F.substring(docs[text_col], 1, SAMPLE_CHARS).alias("text"))
+    rows = docs.select(docs[id_col].alias("id"), docs[lang_col].alias("lang"), docs[text_col].alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & ~held_out(F.col("id")))
-    counts = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()
     if not counts:
         return {}
-    below = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(HASHES, SAMPLE_DOCS * HASHES // r["count"]))])
+    below = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(HASHES, sample_docs * HASHES // r["count"]))])
     chosen = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(HASHES)) < F.element_at(below, F.col("lang"))).where("text is not null")
-    texts: dict[str, list[str]] = {}
-    for r in sorted(chosen.select("lang", "text").distinct().collect()):
-        if text := letters(r.text):
-            texts.setdefault(r.lang, []).append(text)
-    return {lang: " ".join(found).encode()[-DICTIONARY_BYTES:] for lang, found in sorted(texts.items())}
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("text") - 1) / piece).cast("int")))
+    cut = F.transform(starts, lambda k: F.substring(F.col("text"), k * piece + 1, F.lit(piece)))
+    least = F.slice(F.array_sort(F.transform(cut, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x")))), 1, pieces)
+    found: dict[str, dict[str, list[str]]] = {}
+    for r in sorted(chosen.select("lang", F.xxhash64("text").alias("h"), least.alias("pieces")).distinct().collect()):
+        found.setdefault(r.lang, []).append([letters(p.x) for p in r.pieces])
+    out = {}
+    for lang, texts in sorted(found.items()):
+        taken = [t[k] for k in range(pieces) for t in texts if k < len(t) and t[k]]
+        if taken:
+            out[lang] = _filled(taken, size)
+    return out
+
+
+def _filled(taken: list[str], size: int) -> bytes:
+    """The pieces one after the other, as many as there is room for."""
+    out, room = [], size
+    for t in taken:
+        raw = t.encode()
+        if len(raw) > room:
+            break
+        out.append(raw)
+        room -= len(raw) + 1
+    return b" ".join(out) if out else taken[0].encode()[:size]
 
 
 class Classifier:
@@ -104,7 +134,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     Labels of documents that aren't held out are the only ones read, and only to fill the
     dictionaries. Null texts and texts without a letter are `und` with score 0. score is
     0.5 where the margin is NARROW and grows with it; `rejected` marks narrower margins.
-    Without any labelled text all are `und`. Rows that repeat are judged each; other
+    Languages beyond the MAX_LANGUAGES most frequent are never predicted. Without any labelled text all are `und`. Rows that repeat are judged each; other
     columns are ignored. All of a text counts; memory holds one text and the dictionaries.
     """
     out = predict(docs, dictionaries(docs, id_col, text_col, lang_col), text_col)

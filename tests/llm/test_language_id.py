@@ -67,3 +67,16 @@ def test_filter_and_empty_tables(spark, docs):
     assert language_id.identify(empty).count() == 0
     nothing = docs.withColumn("lang", docs.lang.substr(1, 0)).where("false").unionByName(docs.selectExpr("doc_id", "text", "cast(null as string) lang", "score", "source"))
     assert {r.lang_pred for r in language_id.identify(nothing).collect()} == {"und"}
+
+
+def test_dictionaries_take_from_all_of_a_text_and_from_every_text(spark):
+    parts = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}abcdefghi " * 28 for k in range(40)]  # pieces that tell where they come from
+    rows = [(0, "".join(parts), "aa")] + [(100 + k, f"own{chr(97 + k % 26)}{chr(97 + k // 26)} " * 50, "bb") for k in range(60)]
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2] + [(7, None, "aa"), (8, "", "bb"), (9, "x", "cc")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = language_id.dictionaries(df, "doc_id", "text", "lang")
+    heads = {k for k in range(len(parts[0]) * 40 // language_id.PIECE + 1) if language_id.letters("".join(parts)[k * language_id.PIECE :][: language_id.PIECE]).encode() in learned["aa"]}
+    assert len(heads) == language_id.PIECES and max(heads) > 2 * language_id.PIECES
+    assert all(f" {t[:5]} ".encode() in learned["bb"] for _, t, lang in rows if lang == "bb" and t)
+    assert len(language_id.dictionaries(df, "doc_id", "text", "lang", size=500)["bb"]) <= 500
+    assert set(language_id.dictionaries(df, "doc_id", "text", "lang", most=1)) == {"bb"}
