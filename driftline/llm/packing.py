@@ -2,14 +2,16 @@
 
 Each task packs the documents of its own partition as they come, so token ids are never
 shuffled. A piece goes to the fill level that leaves the least sum of squared counts of
-partly filled windows, kept in an array by level. What a task has left open at its end is
-cut anew: into full windows and windows of a power of two, which need no padding.
+partly filled windows, kept in an array by level; if no window has room for it and no more may be open, the piece is
+cut to fill one, by the same sum. At a task's end the emptiest windows are taken apart to fill the fuller
+ones, and the rest is cut into windows of a power of two, so nothing is padded.
 """
 
 from __future__ import annotations
 
 import re
 import sys
+import types
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -24,10 +26,11 @@ from pyspark.sql import DataFrame
 from ..session import modest_batches
 
 WINDOW, END_ID = 2048, 1
-MAX_OPEN = 512  # partly filled windows that a task holds: 4 MB of ids
+OPEN_SHARE = 64  # pieces that must have been placed for each window that may be open, so that few are at the end
+MAX_OPEN = 1024  # partly filled windows that a task holds: 8 MB of ids
 CACHED_WORDS = 300_000  # per Python worker
 STRIDE = 1 << 22  # characters that are tokenised at a time
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, placed boolean"
 
 # the tokenizer's own word pattern, for text below U+0250 where lower case and character classes agree
 _SIMPLE = re.compile("[\x00-ɏ]*")
@@ -142,50 +145,54 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """This process's encoder: a Python worker keeps what it has learnt from one task to the next."""
-    kept = sys.__dict__.setdefault("_driftline_encoders", {})
+    # functions travel to workers with copies of this module's globals, so what outlives a task is in a module of its own
+    kept = sys.modules.setdefault("_driftline_encoders", types.ModuleType("_driftline_encoders")).__dict__
     if path not in kept:
         kept[path] = Encoder(path)
     return kept[path]
 
 
 class SumOfSquares:
-    """Windows by fill level. place() says where a piece goes, flush() what is left is cut into."""
+    """Windows by fill level. place() says where a piece goes, flush() what is left is cut into.
 
-    def __init__(self, first: int, window: int = WINDOW, most: int = MAX_OPEN):
-        self.window, self.most, self.next = window, most, first
+    Rows are (id, start, length, CRC-32, tokens of the document, window, offset, whether the sum of squares chose its window).
+    """
+
+    def __init__(self, first: int, window: int = WINDOW, most: int = MAX_OPEN, share: int = OPEN_SHARE):
+        self.window, self.most, self.share, self.next = window, most, share, first
         self.count = np.zeros(window + 1, np.int64)  # by level; 0 and window stay 0
         self.open: dict[int, list[tuple[int, list]]] = defaultdict(list)
-        self.n_open = 0
+        self.n_open = self.placed = 0
 
     def _level(self, size: int) -> int:
-        """The level that leaves the least sum of squares, the fullest of equals; 0 for a new window."""
+        """The level that leaves the least sum of squares, the fullest of equals; 0 for a new window, -1 if none fits and no more may be open."""
         fits = np.flatnonzero(self.count[: self.window - size + 1])
         after = np.where(fits + size < self.window, 2 * self.count[fits + size] + 1, 0)
-        if size == self.window:
-            return 0
         cost = after + 1 - 2 * self.count[fits]
         best = len(fits) - 1 - int(np.argmin(cost[::-1])) if len(fits) else -1
-        if self.n_open < self.most and (best < 0 or 2 * self.count[size] + 1 < cost[best]):
+        if self.n_open < min(self.most, 1 + self.placed // self.share) and (best < 0 or 2 * self.count[size] + 1 < cost[best]):
             return 0
         return int(fits[best]) if best >= 0 else -1
 
     def place(self, piece: tuple[int, int, bytes, int]) -> Iterator[tuple]:
         """Rows of windows that are now full. A piece: id, start, ids as bytes, tokens of its document."""
         doc, start, ids, total = piece
-        while len(ids) > 4 * self.window or len(ids) == 4 * self.window:
+        while len(ids) >= 4 * self.window:
             yield self._row((doc, start, ids[: 4 * self.window], total), self.next, 0)
             self.next += 1
+            self.placed += 1
             start, ids = start + self.window, ids[4 * self.window :]
-        size = len(ids) // 4
-        if not size:
-            return
-        level = self._level(size)
-        if level < 0:  # no window fits and no more may be opened: the emptiest takes what it can
-            level = int(np.flatnonzero(self.count)[0])
-            room = self.window - level
-            yield from self.place((doc, start, ids[: 4 * room], total))
-            yield from self.place((doc, start + room, ids[4 * room :], total))
-            return
+        while ids:
+            size = len(ids) // 4
+            level = self._level(size)
+            if level < 0:  # filling a window of the level with most windows leaves the least sum; the emptiest of equals
+                level = int(np.argmax(self.count))
+                size = self.window - level
+            yield from self._put((doc, start, ids[: 4 * size], total), level, size)
+            start, ids = start + size, ids[4 * size :]
+
+    def _put(self, piece: tuple, level: int, size: int) -> Iterator[tuple]:
+        self.placed += 1
         if level:
             sequence, pieces = self.open[level].pop()
             self.count[level] -= 1
@@ -193,7 +200,7 @@ class SumOfSquares:
             sequence, pieces = self.next, []
             self.next += 1
             self.n_open += 1
-        pieces.append((level, (doc, start, ids, total)))
+        pieces.append((level, piece))
         if level + size == self.window:
             self.n_open -= 1
             yield from (self._row(p, sequence, at) for at, p in pieces)
@@ -202,34 +209,49 @@ class SumOfSquares:
             self.open[level + size].append((sequence, pieces))
 
     def flush(self) -> Iterator[tuple]:
-        """The open windows' pieces in order, cut into full windows and then windows of falling powers of two."""
-        left = [p for level in sorted(self.open, reverse=True) for _, pieces in self.open[level] for _, p in pieces]
-        todo = sum(len(p[2]) // 4 for p in left)
-        room = at = 0
-        for doc, start, ids, total in left:
+        """The open windows' rows: the fuller ones keep what they have, as many as all tokens can fill, and the others are cut to fill
+        them, the emptiest first; what then is left goes to windows of falling powers of two."""
+        left = [(level, *w) for level in sorted(self.open, reverse=True) for w in self.open[level]]
+        todo = sum(level for level, _, _ in left)
+        full = todo // self.window
+        spare = [p for _, _, pieces in reversed(left[full:]) for _, p in pieces]
+        rest = todo - sum(level for level, _, _ in left[:full])
+        gaps = [(sequence, level, self.window) for level, sequence, _ in left[:full]]
+        rest -= sum(end - at for _, at, end in gaps)
+        for _, sequence, pieces in left[:full]:
+            yield from (self._row(p, sequence, at) for at, p in pieces)
+        while rest:
+            size = 1 << (rest.bit_length() - 1)
+            gaps.append((self.next, 0, size))
+            self.next, rest = self.next + 1, rest - size
+        gaps.reverse()
+        for doc, start, ids, total in spare:
             while ids:
-                if not room:
-                    room, at = self.window if todo >= self.window else 1 << (todo.bit_length() - 1), 0
-                    sequence, self.next = self.next, self.next + 1
-                cut = min(room, len(ids) // 4)
-                yield self._row((doc, start, ids[: 4 * cut], total), sequence, at)
-                start, ids, room, at, todo = start + cut, ids[4 * cut :], room - cut, at + cut, todo - cut
+                sequence, at, end = gaps.pop()
+                cut = min(end - at, len(ids) // 4)
+                yield self._row((doc, start, ids[: 4 * cut], total), sequence, at, False)
+                start, ids = start + cut, ids[4 * cut :]
+                if at + cut < end:
+                    gaps.append((sequence, at + cut, end))
         self.open.clear()
         self.count[:] = 0
+        self.n_open = 0
 
     @staticmethod
-    def _row(piece: tuple[int, int, bytes, int], sequence: int, at: int) -> tuple:
+    def _row(piece: tuple[int, int, bytes, int], sequence: int, at: int, placed: bool = True) -> tuple:
         doc, start, ids, total = piece
-        return doc, start, len(ids) // 4, zlib.crc32(ids), total, sequence, at
+        return doc, start, len(ids) // 4, zlib.crc32(ids), total, sequence, at, placed
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of windows of at most `window` tokens.
+    """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, placed) of windows of at most `window` tokens, a power of two.
 
     A document is the tokenizer's ids and an end id, also if its text is empty or null.
     Each id lies in one piece. Windows are full but for the last few of each partition,
-    which have a power of two. Rows that repeat are packed each; a null id stays null.
-    Other columns are ignored. Memory is bounded by an Arrow batch and MAX_OPEN windows.
+    which have a power of two; `placed` is false for pieces that only filled up what was open at a partition's end.
+    Documents are packed in the order in which a partition has them. Rows that repeat are packed each; a null id stays null.
+    Of levels that leave the same sum the fullest is taken. An empty table gives no rows.
+    Other columns are ignored. Memory is bounded by an Arrow batch, the ids of one text and MAX_OPEN windows.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -68,7 +68,7 @@ def test_round_trip(spark, encoder):
 
 def test_level_is_the_least_sum_of_squares():
     rng = np.random.default_rng(3)
-    p = packing.SumOfSquares(0, window=32, most=10_000)
+    p = packing.SumOfSquares(0, window=32, most=10_000, share=1)
     for k in range(400):
         size = int(rng.integers(1, 32))
         count = p.count.copy()
@@ -94,5 +94,70 @@ def test_open_windows_are_bounded_and_nothing_is_lost():
     assert sum(r[2] for r in rows) == 97
 
 
+def brute(sizes, window, most, share):
+    """Rows (id, start, length, window, offset) of the windows that get full and of those left open, by trying all places for every piece."""
+    open_, full, done, clock, next_ = [], [], 0, 0, 0
+    squares = lambda levels: sum(levels.count(x) ** 2 for x in set(levels) - {0, window})
+    for k, size in enumerate(sizes):
+        start = 0
+        while size:
+            if size >= window:
+                full.append((k, start, window, next_, 0))
+                next_, done, start, size = next_ + 1, done + 1, start + window, size - window
+                continue
+            levels = [w["level"] for w in open_]
+            cut, ways = size, []
+            for w in open_:
+                if w["level"] + size <= window:
+                    ways.append((squares([x["level"] + size * (x is w) for x in open_]), 0, -w["level"], -w["stamp"], w))
+            if len(open_) < min(most, 1 + done // share):
+                ways.append((squares([*levels, size]), 1, 0, 0, None))
+            if not ways:
+                ways = [(squares([window if x is w else x["level"] for x in open_]), 0, w["level"], -w["stamp"], w) for w in open_]
+            w = min(ways, key=lambda x: x[:4])[4]
+            if w is None:
+                w = {"level": 0, "seq": next_, "pieces": []}
+                next_ += 1
+                open_.append(w)
+            cut = min(size, window - w["level"])
+            w["pieces"].append((k, start, cut, w["seq"], w["level"]))
+            clock += 1
+            w["level"], w["stamp"] = w["level"] + cut, clock
+            if w["level"] == window:
+                full += w["pieces"]
+                open_ = [x for x in open_ if x is not w]
+            done, start, size = done + 1, start + cut, size - cut
+    return full, [p for w in open_ for p in w["pieces"]]
+
+
+@pytest.mark.parametrize("window,most,share", [(8, 1000, 1), (16, 3, 1), (32, 1000, 4), (16, 1000, 32)])
+def test_placing_is_what_trying_all_places_gives(window, most, share):
+    rng = np.random.default_rng(window)
+    sizes = rng.integers(1, 2 * window, 300).tolist()
+    p = packing.SumOfSquares(0, window, most, share)
+    rows = [r for k, size in enumerate(sizes) for r in p.place((k, 0, bytes(4 * size), size))]
+    full, left = brute(sizes, window, most, share)
+    short = lambda r: (*r[:3], *r[5:7])
+    assert list(map(short, rows)) == full and all(r[7] for r in rows)
+    rest = list(p.flush())
+    assert set(map(short, (r for r in rest if r[7]))) <= set(left)
+    assert sum(r[2] for r in rest) == sum(p[2] for p in left)
+
+
+def test_few_pieces_move_at_the_end():
+    rng = np.random.default_rng(9)
+    for n in (200, 1000, 10_000):
+        p = packing.SumOfSquares(0)
+        rows = []
+        for k, size in enumerate(np.exp(rng.uniform(1, 8.5, n)).astype(int).tolist()):
+            rows += p.place((k, 0, bytes(4 * size), size))
+        rows += p.flush()
+        windows = {}
+        for r in rows:
+            windows[r[5]] = windows.get(r[5], 0) + r[2]
+        assert sum(size != packing.WINDOW for size in windows.values()) <= 11 and all(size & (size - 1) == 0 for size in windows.values())
+        assert sum(r[7] for r in rows) >= 0.95 * len(rows)
+
+
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path()).count() == 0
