@@ -1,9 +1,9 @@
-"""Substring dedup: units of text that occur more than once are kept where they come first.
+"""Substring dedup: lines that occur more than once are kept where they come first.
 
-A unit is a line. A long line is wrapped at words that its content picks, so a passage inside
-lines that are otherwise different has whole units in common as well. Units are normalised and
-hashed, digests grouped over all documents, and every later occurrence is a span of the
-original text to cut. Only digests and offsets shuffle.
+Lines are normalised and hashed, digests grouped over all documents, and every later occurrence is a span of the
+original text to cut, whole. A passage inside lines that are otherwise different is found the same way: a long line is also cut at
+words that its content picks, and parts that follow one another and all occurred before are spans if
+they have as many words together as a line must have. Only digests and offsets shuffle.
 """
 
 from __future__ import annotations
@@ -15,21 +15,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import modest_batches, written
 
 SEPARATOR = "\n"
-MIN_WORDS = 5  # shorter lines repeat by chance or by design, and stay
-MIN_WRAPPED = 8  # shorter parts of a line do
-LONG = 24  # words of a line that isn't wrapped
+MIN_WORDS = 20  # shorter lines, and passages inside lines, repeat by chance or by design, and stay
+LONG = 24  # words of a line that isn't cut into parts as well
 REACH = 6  # words to either side that a break must come before in hash order
 HOT_GROUPS = 1024  # at most so many digests are joined by broadcast
 BATCH_UNITS = 20_000
 KNOWN_WORDS = 200_000  # hashes that a task remembers
 
-_WHITE = re.compile(r"[\x20\x09-\x0D]+")
+_WHITE = re.compile(r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]")  # all but what is a single space already
 _LAST = np.iinfo(np.int64).max
 
 
@@ -72,41 +71,43 @@ def breaks(lines: list[list[str]], hashes: WordHashes) -> list[list[int]]:
     return out
 
 
-def units(
-    text: str | None, separator: str = SEPARATOR, min_words: int = MIN_WORDS, min_wrapped: int = MIN_WRAPPED, hashes: WordHashes | None = None
-) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, digest) of the units that have enough words; offsets are code points, separators are outside.
+def units(text: str | None, separator: str = SEPARATOR, min_words: int = MIN_WORDS, hashes: WordHashes | None = None) -> Iterator[tuple]:
+    """(start of the line, part, start, end, words, digest) of lines of min_words words, whose part is -1, and of the parts of long
+    lines, numbered from 0; offsets are code points, separators are outside.
 
-    Words for wrapping are what stands between single spaces, those of a unit what stands between white space.
+    Words for cutting are what stands between single spaces, those of a unit what stands between white space.
     """
     hashes = WordHashes() if hashes is None else hashes
     at, spans, long = 0, [], []
     for line in (text or "").split(separator):
-        if line.count(" ") < LONG:
-            spans.append((at, line, None))
-        else:
+        if line.count(" ") >= LONG:
             spans.append((at, line, len(long)))
             long.append(line.lower().split(" "))
+        else:
+            spans.append((at, line, None))
         at += len(line) + len(separator)
     starts = breaks(long, hashes) if long else []
+
+    def unit(at: int, part: int, a: int, b: int, line: str, least: int) -> Iterator[tuple]:
+        clean = normal(line[a:b])
+        words = clean.count(" ") + 1
+        if clean and words >= least:
+            yield at, part, at + a, at + b, words, xxhash.xxh3_128_digest(clean.encode("utf-8", "surrogatepass"))
+
     for at, line, k in spans:
-        if k is None or not starts[k]:
-            parts, least = [(0, len(line))], min_words
-        else:
+        yield from unit(at, -1, 0, len(line), line, min_words)
+        if k is not None and starts[k]:
             place = np.cumsum([0, *(len(w) + 1 for w in line.split(" "))])
             cuts = [0, *place[starts[k]].tolist(), len(line) + 1]
-            parts, least = [(a, b - 1) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], min_wrapped
-        for a, b in parts:
-            clean = normal(line[a:b])
-            if clean and clean.count(" ") + 1 >= least:
-                yield at + a, at + b, xxhash.xxh3_128_digest(clean.encode("utf-8", "surrogatepass"))
+            for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                yield from unit(at, part, a, b - 1, line, 1)
 
 
 def unit_table(docs: DataFrame, id_col: str, text_col: str, separator: str, min_words: int) -> DataFrame:
-    """(doc_id, start, end, digest) of all units."""
+    """(doc_id, line, part, start, end, words, digest) of all units."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc_id", "start", "end", "digest"]
+        names = ["doc_id", "line", "part", "start", "end", "words", "digest"]
 
         def frame(rows: list[tuple]) -> pd.DataFrame:
             columns = dict(zip(names, zip(*rows, strict=True), strict=True))
@@ -116,7 +117,7 @@ def unit_table(docs: DataFrame, id_col: str, text_col: str, separator: str, min_
         for batch in batches:
             for doc, text in zip(batch["d"], batch["t"], strict=True):
                 doc = int(doc) if doc else None
-                for unit in units(text, separator, min_words, hashes=hashes):
+                for unit in units(text, separator, min_words, hashes):
                     rows.append((doc, *unit))
                     if len(rows) >= BATCH_UNITS:
                         yield frame(rows)
@@ -126,16 +127,18 @@ def unit_table(docs: DataFrame, id_col: str, text_col: str, separator: str, min_
 
     modest_batches(docs.sparkSession)
     plain = docs.select(docs[id_col].cast("long").cast("string").alias("d"), docs[text_col].alias("t"))
-    return plain.mapInPandas(run, "doc_id long, start long, end long, digest binary")
+    return plain.mapInPandas(run, "doc_id long, line long, part int, start long, end long, words int, digest binary")
 
 
 def repeated_spans(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", separator: str = SEPARATOR, min_words: int = MIN_WORDS
 ) -> DataFrame:
-    """Spans to remove: doc_id, start, end, keep_doc_id, keep_start, occurrences.
+    """Spans to remove: doc_id, start, end, keep_doc_id, keep_start, occurrences, whole.
 
-    Of equal units the one of the least (doc_id, start) stays, null ids last; every other
-    one is a row, within one document too. Rows of one id are one document: a unit that is at the
+    Of equal lines of min_words words or more the one of the least (doc_id, start) stays, null ids last; every other
+    one is a row with `whole`, within one document too. Of lines that stay, those parts are rows that occurred before,
+    if with the parts next to them that did so too they have min_words words. occurrences is of the line's or part's text, as
+    line or part. Rows of one id are one document: a unit that is at the
     same place in each is the same unit, though it counts as two occurrences. Null and empty texts have
     no units; other columns are ignored.
     """
@@ -148,9 +151,17 @@ def repeated_spans(
     hot, cold = F.broadcast(groups.where(F.col("occurrences") >= hot_from)), groups.where(F.col("occurrences") < hot_from)
     joined = found.join(hot, "digest").unionByName(found.join(hot.select("digest"), "digest", "left_anti").join(cold, "digest"))
     stays = F.col("keep.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("keep.start") == F.col("start"))
-    return joined.where(~stays).select(
-        "doc_id", "start", "end", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start"), "occurrences"
-    ).distinct()
+    later = joined.where(~stays)
+    # one exchange by line: what is at the same place is one unit; a run of parts has consecutive numbers
+    line = ["doc_id", "line"]
+    by_line = Window.partitionBy(*line)
+    once = later.withColumn("k", F.row_number().over(Window.partitionBy(*line, "part", "start", "end").orderBy("digest"))).where("k = 1")
+    once = once.withColumn("whole", F.col("part") < 0).withColumn("gone", F.max("whole").over(by_line)).where("whole or not gone")
+    once = once.withColumn("run", F.col("part") - F.dense_rank().over(by_line.orderBy("part")))
+    once = once.withColumn("together", F.sum("words").over(Window.partitionBy(*line, "run")))
+    return once.where(F.col("whole") | (F.col("together") >= min_words)).select(
+        "doc_id", "start", "end", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start"), "occurrences", "whole"
+    )
 
 
 def cut(text: str | None, spans: list[tuple[int, int]], separator: str = SEPARATOR) -> str | None:
@@ -168,9 +179,16 @@ def cut(text: str | None, spans: list[tuple[int, int]], separator: str = SEPARAT
     return rest.removesuffix(separator).removesuffix(" ")
 
 
+def _free(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
+
+
 def remove_repeats(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the spans cut from their texts and two more columns last: removed (the spans, offsets of the
-    original text) and original_chars. A document without spans has an empty list; all its text may go.
+    original text) and original_chars, with underscores after names that docs has. A document without spans has an empty list; all its text may go.
+    Rows of one id all lose that id's spans; a null id loses none.
     """
     by_doc = spans.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id"))
     by_doc = by_doc.agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__spans"))
@@ -180,8 +198,10 @@ def remove_repeats(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", te
         found = [[] if c is None else [(s["start"], s["end"]) for s in c] for c in cuts]
         return pd.Series([cut(t, c) for t, c in zip(texts, found, strict=True)], dtype=object)
 
-    rows = docs.select(F.struct("*").alias("row"), docs[id_col].alias("__id"), docs[text_col].alias("__text"))
+    rows = docs.select(F.struct("*").alias("row"), docs[id_col].cast("long").alias("__id"), docs[text_col].alias("__text"))
     rows = rows.join(by_doc, "__id", "left")
     kept = [F.col("row").getField(c).alias(c) if c != text_col else without("__text", "__spans").alias(c) for c in docs.columns]
     none = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
-    return rows.select(*kept, F.coalesce("__spans", none).alias("removed"), F.length("__text").alias("original_chars"))
+    removed = _free("removed", docs.columns)
+    chars = _free("original_chars", [*docs.columns, removed])
+    return rows.select(*kept, F.coalesce("__spans", none).alias(removed), F.length("__text").alias(chars))

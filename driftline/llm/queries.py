@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chat_repair, exact_dedup, language_id, line_dedup, mixing, packing, phrases, secret_scan, simhash, toxicity
 
@@ -38,6 +39,13 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.repeated_spans(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that lose something: their original lengths, the spans cut and what is left of them."""
+    docs = table(spark, sf_dir, "documents")
+    out = line_dedup.remove_repeats(docs, line_dedup.repeated_spans(docs)).where(F.size("removed") > 0)
+    return out.select("doc_id", "original_chars", F.size("removed").alias("spans"), F.length("text").alias("chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -110,19 +118,26 @@ hashed AS (
 picked AS (
   SELECT *, w > 1 AND h < coalesce(min(h) OVER (PARTITION BY doc_id, k ORDER BY w ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), 1::BIGINT << 61)
     AND h <= coalesce(min(h) OVER (PARTITION BY doc_id, k ORDER BY w ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING), 1::BIGINT << 61) AS cut FROM hashed),
-starts AS (SELECT doc_id, k, off AS a FROM picked WHERE cut UNION ALL SELECT doc_id, k, 0 FROM placed),
+starts AS (SELECT doc_id, k, off AS a FROM picked WHERE cut UNION ALL SELECT DISTINCT doc_id, k, 0 FROM picked WHERE cut),
 parts AS (
-  SELECT doc_id, k, a, lead(a) OVER (PARTITION BY doc_id, k ORDER BY a) AS b, count(*) OVER (PARTITION BY doc_id, k) AS parts FROM starts),
+  SELECT doc_id, k, a, lead(a) OVER o - 1 AS b, row_number() OVER o - 1 AS part FROM starts WINDOW o AS (PARTITION BY doc_id, k ORDER BY a)
+  UNION ALL SELECT doc_id, k, 0, NULL, -1 FROM placed),
 spans AS (
-  SELECT doc_id, CAST(pos + a AS BIGINT) AS "start", CAST(pos + coalesce(b - 1, length(line)) AS BIGINT) AS "end", parts,
-    substr(line, CAST(a + 1 AS BIGINT), CAST(coalesce(b - 1, length(line)) - a AS BIGINT)) AS unit FROM parts JOIN placed USING (doc_id, k)),
-units AS (SELECT *, trim(regexp_replace(lower(unit), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS clean FROM spans),
+  SELECT doc_id, k, part, CAST(pos + a AS BIGINT) AS "start", CAST(pos + coalesce(b, length(line)) AS BIGINT) AS "end",
+    substr(line, CAST(a + 1 AS BIGINT), CAST(coalesce(b, length(line)) - a AS BIGINT)) AS unit FROM parts JOIN placed USING (doc_id, k)),
+clean AS (SELECT *, trim(regexp_replace(lower(unit), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS clean FROM spans),
+units AS (
+  SELECT *, length(clean) - length(replace(clean, ' ', '')) + 1 AS n FROM clean
+  WHERE clean <> '' AND length(clean) - length(replace(clean, ' ', '')) >= CASE WHEN part < 0 THEN 19 ELSE 0 END),
 known AS (
-  SELECT doc_id, "start", "end", count(*) OVER w AS occurrences, min({'d': doc_id, 's': "start"}) OVER w AS keep
-  FROM units WHERE clean <> '' AND length(clean) - length(replace(clean, ' ', '')) >= CASE WHEN parts > 1 THEN 7 ELSE 4 END
-  WINDOW w AS (PARTITION BY clean))
-SELECT doc_id, "start", "end", keep.d AS keep_doc_id, keep.s AS keep_start, occurrences FROM known
-WHERE occurrences > 1 AND NOT (keep.d = doc_id AND keep.s = "start")
+  SELECT doc_id, k, part, "start", "end", n, count(*) OVER w AS occurrences, min({'d': doc_id, 's': "start"}) OVER w AS keep
+  FROM units WINDOW w AS (PARTITION BY clean)),
+later AS (
+  SELECT *, part < 0 AS whole, max(part < 0) OVER (PARTITION BY doc_id, k) AS gone FROM known
+  WHERE occurrences > 1 AND NOT (keep.d = doc_id AND keep.s = "start")),
+runs AS (SELECT *, part - dense_rank() OVER (PARTITION BY doc_id, k ORDER BY part) AS run FROM later WHERE whole OR NOT gone),
+sums AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, k, run) AS together FROM runs)
+SELECT doc_id, "start", "end", keep.d AS keep_doc_id, keep.s AS keep_start, occurrences, whole FROM sums WHERE whole OR together >= 20
 """
 
 QUERIES = {
@@ -131,6 +146,7 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op4_phrase_fingerprints": op4_phrase_fingerprints,
     "op5_line_dedup": op5_line_dedup,
+    "op5_line_dedup_texts": op5_line_dedup_texts,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,

@@ -27,29 +27,43 @@ def cuts(words):
     return [k for k in range(1, len(h)) if all(h[k] < x for x in h[max(0, k - 6) : k]) and all(h[k] <= x for x in h[k + 1 : k + 7])]
 
 
-def brute(rows):
-    seen, out = {}, set()
-    for i, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+def brute(rows, least=20):
+    units, count = [], {}
+    for i, text in rows:
         at = 0
         for line in (text or "").split("\n"):
             words = line.split(" ")
             starts = cuts([w.lower() for w in words]) if len(words) > 24 else []
-            for a, b in zip([0, *starts], [*starts, len(words)], strict=True):
+            pieces = [(-1, 0, len(words))] + [(p, a, b) for p, (a, b) in enumerate(zip([0, *starts], [*starts, len(words)], strict=True)) if starts]
+            for p, a, b in pieces:
                 unit, begin = " ".join(words[a:b]), at + len(" ".join([*words[:a], ""]))
                 clean = " ".join(unit.lower().split())
-                if len(clean.split()) >= (8 if starts else 5):
-                    if clean in seen:
-                        out.add((i, begin, begin + len(unit), *seen[clean]))
-                    else:
-                        seen[clean] = (i, begin)
+                if clean and (p >= 0 or len(clean.split()) >= least):
+                    units.append((i, at, p, begin, begin + len(unit), len(clean.split()), clean))
+                    count[clean] = count.get(clean, 0) + 1
             at += len(line) + 1
-    return out
+    keep = {}
+    for u in sorted(units, key=lambda u: (u[0] is None, u[0] or 0, u[3])):
+        keep.setdefault(u[6], (u[0], u[3]))
+    later = [u for u in units if keep[u[6]] != (u[0], u[3])]
+    gone = {u[:2] for u in later if u[2] < 0}
+    parts = {u[:3]: u for u in later if u[2] >= 0 and u[:2] not in gone}
+    out = {(u, True) for u in later if u[2] < 0}
+    for i, at, p in parts:
+        run = [p]
+        while (i, at, run[0] - 1) in parts:
+            run.insert(0, run[0] - 1)
+        while (i, at, run[-1] + 1) in parts:
+            run.append(run[-1] + 1)
+        if sum(parts[i, at, k][5] for k in run) >= least:
+            out.add((parts[i, at, p], False))
+    return {(u[0], u[3], u[4], *keep[u[6]], count[u[6]], whole) for u, whole in out}
 
 
 def test_against_brute_force(spark):
     df = docs(spark)
-    got = {tuple(r)[:5] for r in line_dedup.repeated_spans(df).collect()}
-    assert got == brute([(r.doc_id, r.text) for r in df.collect()]) and len(got) == 6
+    got = {tuple(r) for r in line_dedup.repeated_spans(df, min_words=5).collect()}
+    assert got == brute([(r.doc_id, r.text) for r in df.collect()], 5) and len(got) == 6
 
 
 def prose(seed, n):
@@ -63,23 +77,25 @@ def test_passages_inside_lines(spark):
     clean = [(k, prose(3000 + k, 400), 1, "x") for k in range(100, 150)]
     df = spark.createDataFrame(rows + clean, SCHEMA)
     got = line_dedup.repeated_spans(df).collect()
-    assert {tuple(r)[:5] for r in got} == brute([(r[0], r[1]) for r in rows + clean])
-    assert {r.doc_id for r in got} >= set(range(20, 60)) - {k for k in range(60) if not cuts(passages[k % 20].split())[1:]} and max(r.doc_id for r in got) < 60
+    assert {tuple(r) for r in got} == brute([(r[0], r[1]) for r in rows + clean])
+    inner = {k: [x for x in cuts(passages[k].split()) if 6 <= x < 46] for k in range(20)}  # the words around a passage don't matter there
+    sure = {k for k in range(20) if inner[k] and inner[k][-1] - inner[k][0] >= 20}
+    assert {r.doc_id for r in got} >= {k for k in range(20, 60) if k % 20 in sure} and len(sure) > 8 and max(r.doc_id for r in got) < 60
     text = dict((r[0], r[1]) for r in rows)
     for r in got:
         assert text[r.doc_id][r.start : r.end] == text[r.keep_doc_id][r.keep_start : r.keep_start + r.end - r.start]
-        assert r.keep_doc_id < r.doc_id and text[r.doc_id][r.start : r.end] in passages[r.doc_id % 20]
+        assert r.keep_doc_id < r.doc_id and not r.whole
 
 
 def test_a_line_that_many_documents_share(spark):
     rows = [(k, f"only {k} has this very line\n{A}", 1, "x") for k in range(3000)]
-    out = line_dedup.repeated_spans(spark.createDataFrame(rows, SCHEMA)).collect()
+    out = line_dedup.repeated_spans(spark.createDataFrame(rows, SCHEMA), min_words=5).collect()
     assert {r.doc_id for r in out} == set(range(1, 3000)) and {r.occurrences for r in out} == {3000}
 
 
 def test_removed_text_and_offsets(spark):
     df = docs(spark)
-    out = line_dedup.remove_repeats(df, line_dedup.repeated_spans(df))
+    out = line_dedup.remove_repeats(df, line_dedup.repeated_spans(df, min_words=5))
     assert out.columns == [*df.columns, "removed", "original_chars"]
     was = {r.doc_id: r.text for r in df.collect()}
     by = {r.doc_id: r for r in out.collect()}
@@ -99,5 +115,20 @@ def test_cut_keeps_the_rest():
 
 def test_repeated_rows_are_one_document_and_empty_tables(spark):
     twice = spark.createDataFrame([(1, A, 1, "x"), (1, A, 1, "x")], SCHEMA)
-    assert line_dedup.repeated_spans(twice).count() == 0
+    assert line_dedup.repeated_spans(twice, min_words=5).count() == 0
     assert line_dedup.repeated_spans(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_repeated_long_line_goes_whole_and_short_lines_stay(spark):
+    long = prose(7, 80)
+    rows = [(1, long, 1, "x"), (2, f"{prose(8, 30)}\n{long}\nend", 1, "x"), (3, f"{A}\n{prose(9, 40)}", 1, "x"), (4, f"{A}\n{prose(10, 40)}", 1, "x")]
+    out = line_dedup.repeated_spans(spark.createDataFrame(rows, SCHEMA)).collect()
+    at = len(rows[1][1].split("\n")[0]) + 1
+    assert [tuple(r) for r in out] == [(2, at, at + len(long), 1, 0, 2, True)]
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, A, 1, 2, 3), (2, A, 1, 2, 3)], "doc_id long, text string, removed int, original_chars int, occurrences int")
+    out = line_dedup.remove_repeats(df, line_dedup.repeated_spans(df, min_words=5))
+    assert out.columns == [*df.columns, "removed_", "original_chars_"]
+    assert sorted((r.doc_id, r.text, r.removed, r.original_chars_) for r in out.collect()) == [(1, A, 1, len(A)), (2, "", 1, len(A))]
