@@ -1,8 +1,8 @@
 """Substring dedup: lines that occur more than once are kept where they come first.
 
 Lines are normalised and hashed, digests grouped over all documents, and every later occurrence is a span of the
-original text to cut, whole. A passage inside lines that are otherwise different is found the same way: a long line is also cut at
-words that its content picks, and parts that follow one another and all occurred before are spans if
+original text to cut, whole. A passage of short lines, or inside lines that are otherwise different, is found the same way: a long
+line is also cut at words that its content picks, and short lines and parts that follow one another and all occurred before are spans if
 they have as many words together as a line must have. Only digests and offsets shuffle.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..session import modest_batches, written
 
 SEPARATOR = "\n"
-MIN_WORDS = 20  # shorter lines, and passages inside lines, repeat by chance or by design, and stay
+MIN_WORDS = 20  # shorter lines and passages repeat by chance or by design, and stay
 LONG = 24  # words of a line that isn't cut into parts as well
 REACH = 6  # words to either side that a break must come before in hash order
 HOT_GROUPS = 1024  # at most so many digests are joined by broadcast
@@ -72,9 +72,10 @@ def breaks(lines: list[list[str]], hashes: WordHashes) -> list[list[int]]:
 
 
 def units(text: str | None, separator: str = SEPARATOR, min_words: int = MIN_WORDS, hashes: WordHashes | None = None) -> Iterator[tuple]:
-    """(start of the line, part, start, end, words, digest) of lines of min_words words, whose part is -1, and of the parts of long
-    lines, numbered from 0; offsets are code points, separators are outside.
+    """(start of the line, part, start, end, words, whole, digest) of units; offsets are code points, separators are outside.
 
+    Parts are lines and what long lines are cut into, if they aren't blank, numbered through the text. A line that is cut is a unit
+    as well, with part -1, if it has min_words words. `whole` marks lines of min_words words.
     Words for cutting are what stands between single spaces, those of a unit what stands between white space.
     """
     hashes = WordHashes() if hashes is None else hashes
@@ -87,27 +88,36 @@ def units(text: str | None, separator: str = SEPARATOR, min_words: int = MIN_WOR
             spans.append((at, line, None))
         at += len(line) + len(separator)
     starts = breaks(long, hashes) if long else []
+    part = 0
 
-    def unit(at: int, part: int, a: int, b: int, line: str, least: int) -> Iterator[tuple]:
-        clean = normal(line[a:b])
-        words = clean.count(" ") + 1
-        if clean and words >= least:
-            yield at, part, at + a, at + b, words, xxhash.xxh3_128_digest(clean.encode("utf-8", "surrogatepass"))
+    def digested(piece: str) -> tuple[int, bytes]:
+        clean = normal(piece)
+        return (clean.count(" ") + 1 if clean else 0), xxhash.xxh3_128_digest(clean.encode("utf-8", "surrogatepass"))
 
     for at, line, k in spans:
-        yield from unit(at, -1, 0, len(line), line, min_words)
-        if k is not None and starts[k]:
-            place = np.cumsum([0, *(len(w) + 1 for w in line.split(" "))])
-            cuts = [0, *place[starts[k]].tolist(), len(line) + 1]
-            for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                yield from unit(at, part, a, b - 1, line, 1)
+        words, digest = digested(line)
+        if not words:
+            continue
+        if k is None or not starts[k]:
+            yield at, part, at, at + len(line), words, words >= min_words, digest
+            part += 1
+            continue
+        if words >= min_words:
+            yield at, -1, at, at + len(line), words, True, digest
+        place = np.cumsum([0, *(len(w) + 1 for w in line.split(" "))])
+        cuts = [0, *place[starts[k]].tolist(), len(line) + 1]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            words, digest = digested(line[a : b - 1])
+            if words:
+                yield at, part, at + a, at + b - 1, words, False, digest
+                part += 1
 
 
 def unit_table(docs: DataFrame, id_col: str, text_col: str, separator: str, min_words: int) -> DataFrame:
-    """(doc_id, line, part, start, end, words, digest) of all units."""
+    """(doc_id, copy, line, part, start, end, words, whole, digest) of all units; copy is a hash of the text, for rows of one id."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc_id", "line", "part", "start", "end", "words", "digest"]
+        names = ["doc_id", "copy", "line", "part", "start", "end", "words", "whole", "digest"]
 
         def frame(rows: list[tuple]) -> pd.DataFrame:
             columns = dict(zip(names, zip(*rows, strict=True), strict=True))
@@ -117,8 +127,9 @@ def unit_table(docs: DataFrame, id_col: str, text_col: str, separator: str, min_
         for batch in batches:
             for doc, text in zip(batch["d"], batch["t"], strict=True):
                 doc = int(doc) if doc else None
+                copy = xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass")) >> 1
                 for unit in units(text, separator, min_words, hashes):
-                    rows.append((doc, *unit))
+                    rows.append((doc, copy, *unit))
                     if len(rows) >= BATCH_UNITS:
                         yield frame(rows)
                         rows = []
@@ -127,7 +138,7 @@ def unit_table(docs: DataFrame, id_col: str, text_col: str, separator: str, min_
 
     modest_batches(docs.sparkSession)
     plain = docs.select(docs[id_col].cast("long").cast("string").alias("d"), docs[text_col].alias("t"))
-    return plain.mapInPandas(run, "doc_id long, line long, part int, start long, end long, words int, digest binary")
+    return plain.mapInPandas(run, "doc_id long, copy long, line long, part int, start long, end long, words int, whole boolean, digest binary")
 
 
 def repeated_spans(
@@ -136,8 +147,8 @@ def repeated_spans(
     """Spans to remove: doc_id, start, end, keep_doc_id, keep_start, occurrences, whole.
 
     Of equal lines of min_words words or more the one of the least (doc_id, start) stays, null ids last; every other
-    one is a row with `whole`, within one document too. Of lines that stay, those parts are rows that occurred before,
-    if with the parts next to them that did so too they have min_words words. occurrences is of the line's or part's text, as
+    one is a row with `whole`, within one document too. Of what else occurred before, lines and parts of lines are rows
+    if they have min_words words together with those next to them that did so too. occurrences is of the unit's text, as
     line or part. Rows of one id are one document: a unit that is at the
     same place in each is the same unit, though it counts as two occurrences. Null and empty texts have
     no units; other columns are ignored.
@@ -152,14 +163,13 @@ def repeated_spans(
     joined = found.join(hot, "digest").unionByName(found.join(hot.select("digest"), "digest", "left_anti").join(cold, "digest"))
     stays = F.col("keep.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("keep.start") == F.col("start"))
     later = joined.where(~stays)
-    # one exchange by line: what is at the same place is one unit; a run of parts has consecutive numbers
-    line = ["doc_id", "line"]
-    by_line = Window.partitionBy(*line)
-    once = later.withColumn("k", F.row_number().over(Window.partitionBy(*line, "part", "start", "end").orderBy("digest"))).where("k = 1")
-    once = once.withColumn("whole", F.col("part") < 0).withColumn("gone", F.max("whole").over(by_line)).where("whole or not gone")
-    once = once.withColumn("run", F.col("part") - F.dense_rank().over(by_line.orderBy("part")))
-    once = once.withColumn("together", F.sum("words").over(Window.partitionBy(*line, "run")))
-    return once.where(F.col("whole") | (F.col("together") >= min_words)).select(
+    # one exchange by text: what is at the same place is one unit; a run has consecutive numbers
+    doc = ["doc_id", "copy"]
+    once = later.withColumn("k", F.row_number().over(Window.partitionBy(*doc, "line", "part").orderBy("start"))).where("k = 1")
+    once = once.withColumn("gone", F.max("whole").over(Window.partitionBy(*doc, "line")))
+    once = once.withColumn("run", F.col("part") - F.row_number().over(Window.partitionBy(*doc, F.col("part") < 0).orderBy("part")))
+    once = once.withColumn("together", F.sum(F.when(F.col("part") >= 0, F.col("words"))).over(Window.partitionBy(*doc, F.col("part") < 0, "run")))
+    return once.where(F.col("whole") | (~F.col("gone") & (F.col("together") >= min_words))).select(
         "doc_id", "start", "end", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start"), "occurrences", "whole"
     )
 

@@ -118,26 +118,26 @@ hashed AS (
 picked AS (
   SELECT *, w > 1 AND h < coalesce(min(h) OVER (PARTITION BY doc_id, k ORDER BY w ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), 1::BIGINT << 61)
     AND h <= coalesce(min(h) OVER (PARTITION BY doc_id, k ORDER BY w ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING), 1::BIGINT << 61) AS cut FROM hashed),
-starts AS (SELECT doc_id, k, off AS a FROM picked WHERE cut UNION ALL SELECT DISTINCT doc_id, k, 0 FROM picked WHERE cut),
+starts AS (SELECT doc_id, k, off AS a FROM picked WHERE cut UNION ALL SELECT doc_id, k, 0 FROM placed),
 parts AS (
-  SELECT doc_id, k, a, lead(a) OVER o - 1 AS b, row_number() OVER o - 1 AS part FROM starts WINDOW o AS (PARTITION BY doc_id, k ORDER BY a)
-  UNION ALL SELECT doc_id, k, 0, NULL, -1 FROM placed),
+  SELECT doc_id, k, a, lead(a) OVER o - 1 AS b, count(*) OVER l > 1 AS cut, false AS is_line FROM starts
+  WINDOW o AS (PARTITION BY doc_id, k ORDER BY a), l AS (PARTITION BY doc_id, k)
+  UNION ALL SELECT DISTINCT doc_id, k, 0, NULL, true, true FROM picked WHERE cut),
 spans AS (
-  SELECT doc_id, k, part, CAST(pos + a AS BIGINT) AS "start", CAST(pos + coalesce(b, length(line)) AS BIGINT) AS "end",
+  SELECT doc_id, k, cut, is_line, CAST(pos + a AS BIGINT) AS "start", CAST(pos + coalesce(b, length(line)) AS BIGINT) AS "end",
     substr(line, CAST(a + 1 AS BIGINT), CAST(coalesce(b, length(line)) - a AS BIGINT)) AS unit FROM parts JOIN placed USING (doc_id, k)),
 clean AS (SELECT *, trim(regexp_replace(lower(unit), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS clean FROM spans),
 units AS (
-  SELECT *, length(clean) - length(replace(clean, ' ', '')) + 1 AS n FROM clean
-  WHERE clean <> '' AND length(clean) - length(replace(clean, ' ', '')) >= CASE WHEN part < 0 THEN 19 ELSE 0 END),
+  SELECT *, length(clean) - length(replace(clean, ' ', '')) + 1 AS n,
+    CASE WHEN is_line THEN -1 ELSE row_number() OVER (PARTITION BY doc_id, is_line ORDER BY "start") END AS part FROM clean WHERE clean <> ''),
 known AS (
-  SELECT doc_id, k, part, "start", "end", n, count(*) OVER w AS occurrences, min({'d': doc_id, 's': "start"}) OVER w AS keep
-  FROM units WINDOW w AS (PARTITION BY clean)),
+  SELECT doc_id, k, part, "start", "end", n, is_line OR (NOT cut AND n >= 20) AS whole, count(*) OVER w AS occurrences, min({'d': doc_id, 's': "start"}) OVER w AS keep
+  FROM units WHERE NOT is_line OR n >= 20 WINDOW w AS (PARTITION BY clean)),
 later AS (
-  SELECT *, part < 0 AS whole, max(part < 0) OVER (PARTITION BY doc_id, k) AS gone FROM known
+  SELECT *, max(whole) OVER (PARTITION BY doc_id, k) AS gone, part - row_number() OVER (PARTITION BY doc_id, part < 0 ORDER BY part) AS run FROM known
   WHERE occurrences > 1 AND NOT (keep.d = doc_id AND keep.s = "start")),
-runs AS (SELECT *, part - dense_rank() OVER (PARTITION BY doc_id, k ORDER BY part) AS run FROM later WHERE whole OR NOT gone),
-sums AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, k, run) AS together FROM runs)
-SELECT doc_id, "start", "end", keep.d AS keep_doc_id, keep.s AS keep_start, occurrences, whole FROM sums WHERE whole OR together >= 20
+sums AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, part < 0, run) AS together FROM later)
+SELECT doc_id, "start", "end", keep.d AS keep_doc_id, keep.s AS keep_start, occurrences, whole FROM sums WHERE whole OR (NOT gone AND together >= 20)
 """
 
 QUERIES = {

@@ -28,36 +28,39 @@ def cuts(words):
 
 
 def brute(rows, least=20):
-    units, count = [], {}
+    units, count = [], {}  # (id, line, part, start, end, words, text, whole)
     for i, text in rows:
-        at = 0
+        at = part = 0
         for line in (text or "").split("\n"):
             words = line.split(" ")
             starts = cuts([w.lower() for w in words]) if len(words) > 24 else []
-            pieces = [(-1, 0, len(words))] + [(p, a, b) for p, (a, b) in enumerate(zip([0, *starts], [*starts, len(words)], strict=True)) if starts]
-            for p, a, b in pieces:
+            pieces = [(True, 0, len(words))] if starts else []
+            pieces += [(False, a, b) for a, b in zip([0, *starts], [*starts, len(words)], strict=True)]
+            for is_line, a, b in pieces:
                 unit, begin = " ".join(words[a:b]), at + len(" ".join([*words[:a], ""]))
                 clean = " ".join(unit.lower().split())
-                if clean and (p >= 0 or len(clean.split()) >= least):
-                    units.append((i, at, p, begin, begin + len(unit), len(clean.split()), clean))
+                n = len(clean.split())
+                if n and (not is_line or n >= least):
+                    units.append((i, at, -1 if is_line else part, begin, begin + len(unit), n, clean, is_line or not starts and n >= least))
                     count[clean] = count.get(clean, 0) + 1
+                    part += not is_line
             at += len(line) + 1
     keep = {}
     for u in sorted(units, key=lambda u: (u[0] is None, u[0] or 0, u[3])):
         keep.setdefault(u[6], (u[0], u[3]))
     later = [u for u in units if keep[u[6]] != (u[0], u[3])]
-    gone = {u[:2] for u in later if u[2] < 0}
-    parts = {u[:3]: u for u in later if u[2] >= 0 and u[:2] not in gone}
-    out = {(u, True) for u in later if u[2] < 0}
-    for i, at, p in parts:
+    gone = {u[:2] for u in later if u[7]}
+    parts = {(u[0], u[2]): u for u in later if u[2] >= 0}
+    out = {u for u in later if u[7]}
+    for i, p in parts:
         run = [p]
-        while (i, at, run[0] - 1) in parts:
+        while (i, run[0] - 1) in parts:
             run.insert(0, run[0] - 1)
-        while (i, at, run[-1] + 1) in parts:
+        while (i, run[-1] + 1) in parts:
             run.append(run[-1] + 1)
-        if sum(parts[i, at, k][5] for k in run) >= least:
-            out.add((parts[i, at, p], False))
-    return {(u[0], u[3], u[4], *keep[u[6]], count[u[6]], whole) for u, whole in out}
+        if sum(parts[i, k][5] for k in run) >= least and parts[i, p][:2] not in gone:
+            out.add(parts[i, p])
+    return {(u[0], u[3], u[4], *keep[u[6]], count[u[6]], u[7]) for u in out}
 
 
 def test_against_brute_force(spark):
@@ -132,3 +135,10 @@ def test_clashing_names(spark):
     out = line_dedup.remove_repeats(df, line_dedup.repeated_spans(df, min_words=5))
     assert out.columns == [*df.columns, "removed_", "original_chars_"]
     assert sorted((r.doc_id, r.text, r.removed, r.original_chars_) for r in out.collect()) == [(1, A, 1, len(A)), (2, "", 1, len(A))]
+
+
+def test_short_lines_in_a_row_are_a_passage(spark):
+    lines = [prose(50 + k, 9) for k in range(4)]
+    rows = [(1, "\n".join(["a b", *lines]), 1, "x"), (2, "\n".join([*lines, "\n", prose(60, 9)]), 1, "x"), (3, f"{lines[2]}\nother\n{lines[3]}", 1, "x")]
+    got = {tuple(r) for r in line_dedup.repeated_spans(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute([r[:2] for r in rows]) and {r[0] for r in got} == {2} and len(got) == 4
