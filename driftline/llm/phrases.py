@@ -15,12 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import modest_batches
+from ..session import modest_batches, written
 
-LEVELS = 14  # phrases of the last one have millions of characters
 FROM_LEVEL = 2  # the first level whose names count: phrases of some ten characters
 BINS = 128
 EMPTY = 0xFFFF
@@ -107,7 +106,9 @@ def sketches(texts: list[str]) -> np.ndarray:
         x = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
         x = _mix(x + _POWERS[2])
         doc = np.repeat(np.arange(len(texts)), lengths)
-        for level in range(1, LEVELS + 1):
+        level = 0
+        while len(x):  # a text leaves when it is one phrase; each level at least halves the others
+            level += 1
             x, doc = _next_level(x, doc)
             more = np.ones(len(x), bool)
             more[1:] = doc[1:] != doc[:-1]
@@ -116,8 +117,6 @@ def sketches(texts: list[str]) -> np.ndarray:
             name = _mix(x[at] + np.uint64(level))
             np.minimum.at(least, doc[at] * BINS + (name & np.uint64(BINS - 1)).astype(np.int64), name >> np.uint64(7))
             x, doc = x[~single], doc[~single]
-            if not len(x):
-                break
     out = np.minimum(_mix(least) >> np.uint64(48), np.uint64(EMPTY - 1)).astype(np.uint16)
     out[least == np.iinfo(np.uint64).max] = EMPTY
     return out.reshape(-1, BINS)
@@ -131,10 +130,9 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 2 * jaccard / (1 + jaccard)
 
 
-def as_text(sketch: np.ndarray) -> list[str]:
-    """Four hex digits for each bin."""
-    wide = sketch.astype(">u2")
-    return [row.tobytes().hex() for row in wide]
+def as_bytes(sketch: np.ndarray) -> list[bytes]:
+    """Two bytes for each bin, the higher first."""
+    return [row.tobytes() for row in sketch.astype(">u2")]
 
 
 def all_sketches(texts: list[str]) -> np.ndarray:
@@ -158,51 +156,65 @@ def edited(text: str, following: str) -> str:
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+ROW, FIRST, LAST = range(3)  # a result, and the first and last document of a partition
+FOUND = "kind int, part int, doc_id long, n_chars long, edited binary, own binary, other binary, near_edited double, near_next double, t string"
+COLUMNS = [c.split()[0] for c in FOUND.split(", ")]
 
 
-def _compared(ids: list, texts: list[str]) -> pd.DataFrame:
-    """Rows for all texts but the last, each with the next."""
-    changed = [edited(a, b) for a, b in zip(texts[:-1], texts[1:], strict=True)]
-    own = all_sketches(texts)
+def _ids(ids: list) -> pd.api.extensions.ExtensionArray:
+    return pd.array([int(i) if i is not None and i == i else None for i in ids], "Int64")
+
+
+def _compared(ids: list, texts: list[str], following: list[str], part: int = 0) -> pd.DataFrame:
+    """Results of texts, each with the one that follows it."""
+    changed = [edited(a, b) for a, b in zip(texts, following, strict=True)]
+    chain = texts[1:] == following[:-1]  # so all but the last one's next have a sketch already
+    both = all_sketches([*texts, *(following[-1:] if chain else following)])
+    own, after = both[: len(texts)], both[1:] if chain else both[len(texts) :]
     other = all_sketches(changed)
-    return pd.DataFrame(
+    out = pd.DataFrame(
         {
-            "doc_id": pd.array([int(i) if i else None for i in ids[:-1]], "Int64"),
-            "n_chars": [len(t) for t in texts[:-1]],
-            "edited_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed],
-            "fingerprint": as_text(own[:-1]),
-            "edited_fingerprint": as_text(other),
-            "near_edited": likeness(own[:-1], other),
-            "near_next": likeness(own[:-1], own[1:]),
+            "doc_id": _ids(ids),
+            "n_chars": [len(t) for t in texts],
+            "edited": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() for t in changed],
+            "own": as_bytes(own),
+            "other": as_bytes(other),
+            "near_edited": likeness(own, other),
+            "near_next": likeness(own, after),
         }
     )
+    return out.assign(kind=ROW, part=part, t=None)[COLUMNS]
 
 
-def _bucketed(docs: DataFrame, rows: int) -> tuple[DataFrame, int]:
-    """(bucket, guest, id, t): rows in buckets of consecutive ids; the first of each bucket is also a guest of the one before."""
-    spark = docs.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS))
-    found = docs.select(F.percentile_approx("id", [k / n for k in range(1, n)], 10 * n)).first()[0] if n > 1 else None
-    bounds = sorted(set(found or []))
-    placed = docs.withColumn("bucket", _position(bounds))
-    firsts = placed.groupBy("bucket").agg(F.min(F.coalesce("id", F.lit(-(1 << 63)))).alias("least")).orderBy("bucket").collect()
-    before = {r.least: firsts[k - 1].bucket for k, r in enumerate(firsts)}
-    pairs = spark.createDataFrame([(k, v) for k, v in before.items()], "least long, home int")
-    guests = placed.withColumn("least", F.coalesce("id", F.lit(-(1 << 63)))).join(F.broadcast(pairs), "least")
-    guests = guests.select(F.col("home").alias("bucket"), F.lit(1).alias("guest"), "id", "t")
-    return placed.select("bucket", F.lit(0).alias("guest"), "id", "t").unionByName(guests), len(bounds) + 1
+def _partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Results of all documents of a sorted partition but the last, and its first and last documents."""
+    ids, texts, chars, part = [], [], 0, None
+    for batch in batches:
+        if part is None and len(batch):
+            part = int(batch["part"].iloc[0])
+            yield _border(FIRST, part, batch["id"].iloc[0], batch["t"].iloc[0])
+        for i, t in zip(batch["id"], batch["t"], strict=True):
+            ids.append(i)
+            texts.append(t)
+            chars += len(t)
+            if len(texts) > 1 and (chars > BATCH_CHARS or len(texts) >= 500):
+                yield _compared(ids[:-1], texts[:-1], texts[1:], part)
+                ids, texts, chars = ids[-1:], texts[-1:], len(t)
+    if len(texts) > 1:
+        yield _compared(ids[:-1], texts[:-1], texts[1:], part)
+    if texts:
+        yield _border(LAST, part, ids[-1], texts[-1])
 
 
-def _position(bounds: list[int]):
-    """How many of the sorted bounds are at most the id, 0 for null."""
-    if not bounds:
-        return F.lit(0)
+def _border(kind: int, part: int, i, t: str) -> pd.DataFrame:
+    out = pd.DataFrame({"doc_id": _ids([i]), "t": [t]})
+    return out.assign(kind=kind, part=part, n_chars=0, edited=None, own=None, other=None, near_edited=0.0, near_next=0.0)[COLUMNS]
 
-    @F.pandas_udf("int")
-    def search(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(np.array(bounds, np.int64), ids.to_numpy(np.int64), side="right"))
 
-    return F.when(F.col("id").isNull(), F.lit(0)).otherwise(search(F.coalesce("id", F.lit(-(1 << 63)))))
+def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for i, t, after in zip(batch["id"], batch["t"], batch["after"], strict=True):
+            yield _compared([i], [t], [after])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,34 +223,28 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The next document is that of the next id, after the last the first; a single one is its
     own next. Null ids come first; rows of one id go by their text's hash. Null text is
     empty; an empty text has no names, and is like another empty one (1) and unlike others
-    (0). Texts shuffle once, to buckets of consecutive ids. Other columns are ignored.
+    (0). Texts shuffle once, to ranges of (id, hash, row), so a range is split wherever ids repeat; each range's last document
+    meets the first of the next range in a second step over two documents for each range.
+    Other columns are ignored. Memory holds BATCH_CHARS characters, or one text that is longer. An empty table gives no rows.
     """
+    spark = docs.sparkSession
     rows = docs.count()
-    plain = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("t"))
     if not rows:
-        return docs.sparkSession.createDataFrame([], SCHEMA)
-    modest_batches(docs.sparkSession)
-    dealt, n = _bucketed(plain, rows)
-    dealt = dealt.repartitionById(n, "bucket").sortWithinPartitions("bucket", "guest", F.col("id").asc_nulls_first(), F.xxhash64("t"))
-    dealt = dealt.select("bucket", "guest", F.col("id").cast("string").alias("id"), "t")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, ids, texts, over, chars = None, [], [], False, 0
-        for batch in batches:
-            for bucket, guest, i, t in zip(batch["bucket"], batch["guest"], batch["id"], batch["t"], strict=True):
-                if bucket != at:
-                    at, ids, texts, over, chars = bucket, [], [], False, 0
-                if over:
-                    continue
-                ids.append(i)
-                texts.append(t)
-                chars += len(t)
-                if guest:
-                    over = True
-                    if len(texts) > 1:
-                        yield _compared(ids, texts)
-                elif len(texts) > 1 and (chars > BATCH_CHARS or len(texts) >= 500):
-                    yield _compared(ids, texts)
-                    ids, texts, chars = ids[-1:], texts[-1:], len(t)
-
-    return dealt.mapInPandas(run, SCHEMA)
+        return spark.createDataFrame([], SCHEMA)
+    modest_batches(spark)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS))
+    plain = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("t"))
+    order = [F.col("id").asc_nulls_first(), F.xxhash64("t"), F.col("tie")]
+    dealt = plain.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    dealt = dealt.select(F.col("id").cast("string"), "t", F.spark_partition_id().alias("part"))
+    found = written(dealt.mapInPandas(_partition, FOUND), "phrases")
+    firsts, lasts = (found.where(F.col("kind") == k).select("part", F.col("doc_id").cast("string").alias("id"), "t") for k in (FIRST, LAST))
+    # a number for each range, of which there is one for BUCKET_ROWS documents
+    by_part = Window.orderBy("part")
+    following = firsts.select("part", F.coalesce(F.lead("part").over(by_part), F.first("part").over(by_part)).alias("next"))
+    pairs = lasts.join(following, "part").join(firsts.select(F.col("part").alias("next"), F.col("t").alias("after")), "next")
+    found = found.where(F.col("kind") == ROW).drop("t").unionByName(pairs.select("id", "t", "after").mapInPandas(_pairs, FOUND).drop("t"))
+    text = lambda c: F.lower(F.hex(c))
+    return found.select(
+        "doc_id", "n_chars", text("edited").alias("edited_sha256"), text("own").alias("fingerprint"), text("other").alias("edited_fingerprint"), "near_edited", "near_next"
+    )

@@ -67,15 +67,16 @@ def brute(rows):
         text = text or ""
         n = len(text) // 4
         changed = text[: len(text) - n] + following[:n]
-        out[i] = (len(text), hashlib.sha256(changed.encode()).hexdigest(), phrases.as_text(phrases.sketches([text]))[0], phrases.as_text(phrases.sketches([changed]))[0])
+        out[i] = (len(text), hashlib.sha256(changed.encode()).hexdigest(), phrases.as_bytes(phrases.sketches([text]))[0].hex(), phrases.as_bytes(phrases.sketches([changed]))[0].hex())
     return out
 
 
 def test_against_brute_force(spark, monkeypatch):
     rows = [(k * 3 - 50, [None, "", prose(k, k % 70), "é" * k, prose(3)][k % 5]) for k in range(240)]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA).repartition(6)
-    for size in (20_000, 25):
+    for size, chars in ((20_000, 1 << 20), (25, 300), (1, 1 << 20)):
         monkeypatch.setattr(phrases, "BUCKET_ROWS", size)
+        monkeypatch.setattr(phrases, "BATCH_CHARS", chars)  # many texts are longer than the second one
         out = phrases.fingerprints(df).collect()
         assert {r.doc_id: (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) for r in out} == brute(rows)
 
@@ -86,3 +87,19 @@ def test_small_tables_ties_and_nulls(spark):
     assert one.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest() and one.near_next == 1
     same = spark.createDataFrame([(1, "b", "x", 1), (1, "a", "x", 1), (None, "c", "x", 1), (None, "c", "x", 1)], SCHEMA)
     assert len(phrases.fingerprints(same).collect()) == 4
+
+
+def test_one_id_of_all_rows_is_split_and_the_chain_is_whole(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "BUCKET_ROWS", 10)
+    df = spark.createDataFrame([(None if k % 2 else 4, f"text {k % 7} of few", "x", 1) for k in range(120)], SCHEMA)
+    out = phrases.fingerprints(df).collect()
+    assert sorted((r.doc_id or 0) for r in out) == [0] * 60 + [4] * 60
+    # in each block of equal (id, text) all but the last text are followed by an equal one
+    assert sum(r.near_next == 1 for r in out) >= 120 - 14
+
+
+def test_a_text_longer_than_a_batch(spark):
+    long = prose(1, 400_000)
+    assert len(long) > phrases.BATCH_CHARS
+    out = {r.doc_id: r for r in phrases.fingerprints(spark.createDataFrame([(1, long, "x", 1), (2, long[7:], "x", 1), (3, "end", "x", 1)], SCHEMA)).collect()}
+    assert out[1].n_chars == len(long) and out[1].near_next > 0.9 > 0.1 > out[2].near_next
