@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import modest_batches, written
+from .exact_dedup import _cells, bitmap_of, filter_bits, in_bitmap
 
 SEPARATOR = "\n"
 MIN_WORDS = 20  # shorter lines and passages repeat by chance or by design, and stay
@@ -160,6 +161,11 @@ def repeated_spans(
     groups = written(groups.where("occurrences > 1"), "repeated", rows)
     hot_from = max(1000, rows // HOT_GROUPS)
     hot, cold = F.broadcast(groups.where(F.col("occurrences") >= hot_from)), groups.where(F.col("occurrences") < hot_from)
+    # a Bloom bitmap of the repeated digests lets hardly any other unit shuffle
+    bits = filter_bits(groups.count())
+    blocks = bitmap_of(groups.select(_cells(F.col("digest"), bits, 1)[0].alias("cell")))
+    asked = found.select(F.struct(*[c for c in found.columns if c != "digest"]).alias("row"), "digest")
+    found = in_bitmap(asked, "digest", blocks, bits, 1).where("maybe").select("row.*", "digest")
     joined = found.join(hot, "digest").unionByName(found.join(hot.select("digest"), "digest", "left_anti").join(cold, "digest"))
     stays = F.col("keep.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("keep.start") == F.col("start"))
     later = joined.where(~stays)
