@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import citation, text
 from ..functions.dates import days_between, mixed_date
 from ..operators import analytics, entity, facts, index, names, network, regions, registers, relational, search, storage
+from ..session import spread
 from ..sources import readers, shred
 from . import tables
 from .tables import BASE, FROM_YEAR, TYPES, eav, km, table
@@ -165,14 +166,14 @@ def ngram_index(spark, d):
 
 
 def _asked(spark, d, on_doc: bool = False):
-    """Each order's first part's name as a question for parts."""
-    lines = table(spark, d, "lineitem").where("l_linenumber = 1 and l_orderkey % 50 = 0")
+    """The names of the parts of every hundredth order as questions for all parts."""
+    lines = table(spark, d, "lineitem").where("l_orderkey % 100 = 0")
     rows = lines.join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
     word = F.explode(text.words(F.col("p_name"), 1, "upper")).alias("value")
     return rows.select(F.col("l_orderkey").alias("entry"), *([F.col("l_partkey").cast("string").alias("doc")] if on_doc else []), word)
 
 
-_ASKED_SQL = "SELECT l_orderkey AS entry, CAST(l_partkey AS VARCHAR) AS doc, upper(unnest(regexp_extract_all(p_name, '\\w+'))) AS value FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1 AND l_orderkey % 50 = 0"
+_ASKED_SQL = "SELECT l_orderkey AS entry, CAST(l_partkey AS VARCHAR) AS doc, upper(unnest(regexp_extract_all(p_name, '\\w+'))) AS value FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 100 = 0"
 
 
 @query(f"""
@@ -279,7 +280,7 @@ FROM orders
 """)
 def citation_parse(spark, d):
     """The reading of the code, its digits, and the latest of the dates' readings that is the given one."""
-    rows = _citation_texts(spark, d).withColumn("q", citation.parsed(F.col("query")))
+    rows = spread(_citation_texts(spark, d)).withColumn("q", citation.parsed(F.col("query")))
     day = F.regexp_extract("query", r"(\d{4}-\d\d-\d\d)", 1)
     return rows.select("entry", F.col("q.codes")[0]["country"].alias("country"), F.col("q.numbers")[0].alias("number"), F.when(F.array_contains("q.dates", day), day).alias("day"), F.array_max("q.years").alias("year"))
 

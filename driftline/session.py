@@ -66,6 +66,12 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt to all cores if its tables have fewer files than there are: for what Python does by row with a table of one row group."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
 def discard(spark: SparkSession) -> None:
     """Deletes all tables that this application has written, once no result is read any more."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_dir(spark))

@@ -21,6 +21,7 @@ def grow_index(values: DataFrame, build, path: str, checkpoint: str, once: bool
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """The whole index: scores of equal entries summed over batches."""
+    """The whole index: scores of equal entries, and in a gram index weights and times, summed over batches."""
     rows = spark.read.parquet(path).drop("batch")
-    return rows.groupBy(*[c for c in rows.columns if c != "score"]).agg(F.sum("score").alias("score"))
+    summed = [c for c in ("times", "weight", "score") if c in rows.columns]
+    return rows.groupBy(*[c for c in rows.columns if c not in summed]).agg(*[F.sum(c).alias(c) for c in summed])
