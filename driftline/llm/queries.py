@@ -27,8 +27,9 @@ def op2_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = secret_scan.train(secret_scan.example_findings(spark))
-    return secret_scan.scan(table(spark, sf_dir, "documents"), model)
+    docs = table(spark, sf_dir, "documents")
+    known = secret_scan.lexicon(docs)
+    return secret_scan.scan(docs, secret_scan.train(secret_scan.example_findings(spark, known), known), path_col="source")
 
 
 def op4_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
