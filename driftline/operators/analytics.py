@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine
+from ..session import checked_small
 
 DESCRIBED = ["mean", "std", "min", "q1", "median", "q3", "max"]
 
@@ -162,10 +163,18 @@ def mean_distance(towns: DataFrame, radii: list[float | None], weight: str = "n"
     a = towns.select("lat", "lon")
     b = towns.select(F.col("lat").alias("latY"), F.col("lon").alias("lonY"), F.col(weight).alias("w"))
     km = distance if distance is not None else haversine(*[F.col(c) for c in ("lat", "lon", "latY", "lonY")])
-    pairs = a.crossJoin(F.broadcast(b)).withColumn("d", km)
-    found = []
-    for r in radii:
-        inside = pairs if r is None else pairs.where(F.col("d") <= r)
-        means = inside.groupBy("lat", "lon").agg(F.try_divide(F.sum(F.col("d") * F.col("w")), F.sum("w")).alias("meandist"), F.sum(F.col("d") * F.col("w")).alias("s"))
-        found.append(means.where("s <> 0").select("lat", "lon", F.lit(None if r is None else float(r)).cast("double").alias("radius"), "meandist"))
+    pairs = a.crossJoin(checked_small(b)).withColumn("d", km)
+    sums = []
+    for k, r in enumerate(radii):  # all radii in one pass over the pairs
+        w = F.col("w") if r is None else F.when(F.col("d") <= r, F.col("w"))
+        sums += [F.sum(F.col("d") * w).alias(f"s{k}"), F.sum(w).alias(f"w{k}")]
+    means = pairs.groupBy("lat", "lon").agg(*sums)
+    each = [F.struct(F.lit(None if r is None else float(r)).cast("double").alias("radius"), F.col(f"s{k}").alias("s"), F.col(f"w{k}").alias("w")) for k, r in enumerate(radii)]
+    rows = means.select("lat", "lon", F.explode(F.array(*each)).alias("m")).where("m.s <> 0")
+    return rows.select("lat", "lon", "m.radius", F.try_divide("m.s", "m.w").alias("meandist"))
+
+
+def mean_distance_by(towns: DataFrame, sections: list[str], radii: list[float | None]) -> DataFrame:
+    """mean_distance for each section with its own column of weights: (section, lat, lon, radius, meandist)."""
+    found = [mean_distance(towns.where(F.col(s) > 0), radii, s).select(F.lit(s).alias("section"), "*") for s in sections]
     return reduce(DataFrame.unionByName, found)

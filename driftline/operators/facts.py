@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.dates import mixed_date, parts
 from ..functions.geo import vincenty
+from ..session import checked_small
 
 EVENT_ORDER = ["exhibition", "priority", "regional", "fill", "application", "nogrant", "grant", "decision", "publication"]
 MOST_CHOICES = 100_000  # combinations that are all tried; beyond, one place is bettered at a time
@@ -118,5 +119,5 @@ def distances(towns: DataFrame, kind: str | None = "miasto") -> DataFrame:
     rows = towns.where(F.col("type") == kind) if kind else towns
     a = rows.select("lat", "lon").dropna().distinct()
     b = a.withColumnsRenamed({"lat": "latY", "lon": "lonY"})
-    pairs = a.crossJoin(F.broadcast(b))
+    pairs = a.crossJoin(checked_small(b))
     return pairs.withColumn("distance", geodesic(F.col("lat"), F.col("lon"), F.col("latY"), F.col("lonY")))

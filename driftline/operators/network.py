@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine
-from .relational import difference, flagged, suffixed
+from .relational import suffixed
 from .registers import SECTIONS
 
 FROM_YEAR = 2011
@@ -91,11 +91,12 @@ def flow(edges: DataFrame) -> DataFrame:
 
     kind is 'dopływ' (inflow) for a net of 0 or more, else 'odpływ' (outflow); frac is |net| over all.
     """
-    into = edges.groupBy(F.col("latY").alias("lat"), F.col("lonY").alias("lon")).agg(edge_count(edges).alias("n"))
-    out = edges.groupBy("lat", "lon").agg(edge_count(edges).alias("n"))
-    net = difference(into, out, ["lat", "lon"], "n").withColumnRenamed("n", "net")
-    joined = net.join(into.withColumnRenamed("n", "incoming"), ["lat", "lon"], "left").join(out.withColumnRenamed("n", "outgoing"), ["lat", "lon"], "left")
-    joined = joined.fillna(0, ["incoming", "outgoing"])
+    pairs = edges.groupBy("lat", "lon", "latY", "lonY").agg(edge_count(edges).alias("n"))  # few pairs of places, each read for both of its ends
+    end = lambda lat, lon, side: F.struct(F.col(lat).alias("lat"), F.col(lon).alias("lon"), F.lit(side).alias("side"))
+    ends = pairs.select("n", F.explode(F.array(end("latY", "lonY", "in"), end("lat", "lon", "out"))).alias("e")).where("e.lat is not null and e.lon is not null")
+    one = lambda side: F.coalesce(F.sum(F.when(F.col("e.side") == side, F.col("n"))), F.lit(0))
+    joined = ends.groupBy("e.lat", "e.lon").agg(one("in").alias("incoming"), one("out").alias("outgoing"))
+    joined = joined.withColumn("net", F.col("incoming") - F.col("outgoing"))
     return joined.select(
         "lat",
         "lon",
@@ -108,6 +109,12 @@ def flow(edges: DataFrame) -> DataFrame:
     )
 
 
+def top_flows(flows: DataFrame, least: int = 5000) -> DataFrame:
+    """The places of `flow` with `least` citations or more to and from them, the largest share |net| of all first, then by place."""
+    kept = flows.where(F.col("incoming") + F.col("outgoing") >= least)
+    return kept.orderBy(F.col("frac").desc(), "lat", "lon")
+
+
 def mean_distances(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(latY, lonY, distance) and (lat, lon, distance): means of what arrives and of what leaves; unknown places are left out."""
     known = lambda *c: " and ".join(f"{x} is not null" for x in c)
@@ -121,12 +128,12 @@ def cite_kinds(edges: DataFrame, persons: DataFrame, region: str, from_year: int
     An edge is internal if both sides are in one region that is known. Flags are those of the document.
     """
     inside = F.coalesce(F.col(region) == F.col(region + "Y"), F.lit(False))
-    kinds = edges.select("from", "to", inside.alias("inside")).distinct()
-    out = persons.where(F.col("year") >= from_year).select("doc", region, "year")
-    for column, prefix in (("from", "g"), ("to", "s")):
-        for flag, name in ((True, "in"), (False, "out")):
-            keys = kinds.where(F.col("inside") == flag).select(column)
-            out = flagged(out, keys, "doc", f"{prefix}_{name}")
+    side = lambda c, k: F.struct(F.col(c).alias("doc"), F.lit(k).alias("side"))
+    pairs = edges.groupBy("from", "to").agg(F.max(inside).alias("in"), F.max(~inside).alias("out"))
+    ends = pairs.select("in", "out", F.explode(F.array(side("from", "g"), side("to", "s"))).alias("e"))
+    flags = ends.groupBy("e.doc").agg(*[F.coalesce(F.max(F.when(F.col("e.side") == p, F.col(n))), F.lit(False)).alias(f"{p}_{n}") for p in "gs" for n in ("in", "out")])
+    out = persons.where(F.col("year") >= from_year).select("doc", region, "year").join(flags, "doc", "left")
+    out = out.fillna(False, [f"{p}_{n}" for p in "gs" for n in ("in", "out")])
 
     def label(p: str, none: str, verb: str) -> Column:
         a, b = F.col(f"{p}_in"), F.col(f"{p}_out")

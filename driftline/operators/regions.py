@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import within
+from ..session import checked_small
 
 
 def boxed(regions: DataFrame) -> DataFrame:
@@ -22,7 +23,7 @@ def spatial_join(points: DataFrame, regions: DataFrame, name: str, how: str = "l
     Regions are a table of places; points on a border are in none. A point in several regions has a row for each.
     """
     places = points.select("lat", "lon").where("lat is not null and lon is not null").distinct()
-    boxes = F.broadcast(boxed(regions.select("gid", "edges")))
+    boxes = checked_small(boxed(regions.select("gid", "edges")), 100_000)
     near = places.join(boxes, (F.col("lon") >= F.col("x0")) & (F.col("lon") <= F.col("x1")) & (F.col("lat") >= F.col("y0")) & (F.col("lat") <= F.col("y1")))
     found = near.where(within(F.col("lon"), F.col("lat"), F.col("edges"))).select("lat", "lon", F.col("gid").alias(name))
     out = points.join(found, ["lat", "lon"], "left").select(*points.columns, name)
@@ -36,6 +37,14 @@ def mapped(registers: DataFrame, larger: DataFrame, smaller: DataFrame) -> DataF
     return spatial_join(spatial_join(registers, larger, "wgid"), smaller, "pgid")
 
 
+def named(table: DataFrame, regions: DataFrame, columns: list[str]) -> DataFrame:
+    """table with the name of the region in each of the columns as <column>_name, null for unknown ones; regions is (gid, name)."""
+    names = checked_small(regions.select(F.col("gid").alias("__gid"), F.col("name").alias("__name")).dropDuplicates(["__gid"]))
+    for c in columns:
+        table = table.join(names.withColumnsRenamed({"__gid": f"__{c}", "__name": f"{c}_name"}), F.col(c) == F.col(f"__{c}"), "left").drop(f"__{c}")
+    return table
+
+
 def neighbours(regions: DataFrame, digits: int = 9) -> DataFrame:
     """(gid, gid2): regions that share a border point, both ways (Queen contiguity)."""
     corners = regions.select("gid", F.explode("edges").alias("e")).select("gid", F.round("e.x1", digits).alias("x"), F.round("e.y1", digits).alias("y")).distinct()

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SHARED = "spark.checkpoint.dir"
 FILE_ROWS, LEAST_FILES = 250_000, 8
@@ -66,6 +67,11 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def checked_small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """df with a hint to broadcast it if it has at most so many rows; a larger one is left to the planner."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df, dealt to all cores if its tables have fewer files than there are: for what Python does by row with a table of one row group."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -13,6 +13,8 @@ from pyspark.sql.types import StructType
 
 from ..functions import text
 from ..functions.geo import from_transverse_mercator, ring_edges
+from ..operators.relational import row_ids
+from ..session import checked_small
 
 
 def json_list(spark: SparkSession, path: str, field: str = "data", schema: StructType | None = None) -> DataFrame:
@@ -35,10 +37,13 @@ def xml_documents(spark: SparkSession, path: str, row_tag: str, schema: StructTy
 
 
 def split_xml(spark: SparkSession, path: str) -> DataFrame:
-    """(filename, part, xml): the documents of files that have several, one after the other, each with its declaration."""
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("filename"), "value")
-    parts = F.filter(F.split("value", r"(?=<\?xml)"), lambda x: F.trim(x) != "")
-    return rows.select("filename", F.posexplode(parts).alias("part", "xml"))
+    """(filename, part, xml): the documents of files that have several, one after the other, each with its declaration.
+
+    A row is read for each document, not for each file; part grows within a file.
+    """
+    rows = spark.read.option("lineSep", "<?xml").text(path).select(F.col("_metadata.file_name").alias("filename"), "value")
+    rows = rows.where(F.trim("value") != "").withColumn("part", F.monotonically_increasing_id())
+    return rows.select("filename", "part", F.concat(F.lit("<?xml"), "value").alias("xml"))
 
 
 class _Microdata(HTMLParser):
@@ -139,9 +144,7 @@ def citations_csv(spark: SparkSession, path: str, documents: DataFrame, code: st
     known = documents.select(F.col("code").alias("known"), F.col("doc").alias("entrydoc")).dropDuplicates(["known"])
     joined = rows.join(known, rows["code"] == known["known"], "left")
     checked = F.when(F.col("entrydoc").isNull(), F.raise_error(F.concat(F.lit("no document has code "), F.coalesce("code", F.lit("null"))))).otherwise(F.col("entrydoc"))
-    from pyspark.sql import Window
-
-    numbered = joined.withColumn("entry", F.row_number().over(Window.orderBy("code", "query")).cast("long") - 1)
+    numbered = row_ids(joined, [F.col("code"), F.col("query")], "entry")
     return numbered.select("entry", checked.alias("entrydoc"), "query")
 
 
@@ -177,8 +180,8 @@ def regions_geojson(spark: SparkSession, path: str, gid: str, name: str, kind: s
 def statistics_csv(spark: SparkSession, path: str, regions: DataFrame) -> DataFrame:
     """The panel (gid, year, key, value) of a CSV with region, subject, section, name, var, year and value; regions by name in capitals."""
     rows = spark.read.csv(path, header=True).withColumn("year", F.col("year").cast("int")).withColumn("value", F.col("value").cast("double"))
-    known = regions.select("gid", F.upper("name").alias("__region"))
-    rows = rows.withColumn("__region", F.upper("region")).join(F.broadcast(known), "__region")
+    known = checked_small(regions.select("gid", F.upper("name").alias("__region")))
+    rows = rows.withColumn("__region", F.upper("region")).join(known, "__region")
     return rows.select("gid", "year", F.concat_ws("/", "subject", "section", "name", "var").alias("key"), "value")
 
 
