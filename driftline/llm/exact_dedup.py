@@ -20,7 +20,7 @@ WHITE = r"[\x20\x09-\x0D]+"
 BLOCK_BITS = 32768  # of one bitmap_construct_agg
 BITS_PER_ROW = 32
 MAX_BITS = 1 << 30  # the broadcast bitmap is at most 128 MB
-GROUPS = 64  # of rows, at least and at most twice as many
+GROUPS = 16  # of rows, at least and at most twice as many
 HOT_GROUPS = 1024  # at most so many groups are joined by broadcast
 
 

@@ -302,17 +302,16 @@ def alike_links(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, r
 
     modest_batches(spark)
     sets = asked.select("key", "row.t").mapInPandas(hashed, "key string, same long, held binary")
-    sets = sets.dropDuplicates(["key", "same"])
     parts = F.greatest(F.ceil(F.sum("size") / PART), F.ceil(F.count("*") / PART_ROWS)).cast("long")
     large = written(nodes.groupBy("root").agg(parts.alias("parts")).where("parts > 1"), "large", 0)
     dealt = sets.join(nodes, ["key", "same"]).join(F.broadcast(large), "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("nid"), F.col("parts"))).withColumn("part", F.explode(F.expr("sequence(own, parts - 1)")))
     dealt = dealt.select("root", "part", (F.col("part") != F.col("own")).cast("int").alias("guest"), "nid", "held")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    dealt = dealt.repartition(n, "root", "part").sortWithinPartitions("root", "part", "guest")
+    dealt = dealt.repartition(n, "root", "part").sortWithinPartitions("root", "part", "guest", "nid")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, group, ids, sets = None, None, [], []
+        at, group, ids, sets, done = None, None, [], [], None
 
         def ready() -> list[tuple[int, int]]:
             """The part's own rows are all here."""
@@ -326,6 +325,9 @@ def alike_links(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, r
                 if at != (root, part):
                     found += ready()
                     at, group = (root, part), _Sets(alike)
+                if done == (root, part, nid):
+                    continue  # another row of the same id and text
+                done = (root, part, nid)
                 held = np.frombuffer(held, "<u8")
                 if guest:
                     found += ready()
