@@ -344,11 +344,6 @@ def clsf_lists(spark, d):
     return registers.section_lists(rows).select("doc", F.array_join("IPC", "|").alias("IPC"), F.array_join("CPC", "|").alias("CPC"))
 
 
-@query(BASE + f"""SELECT doc, supp, pgid, wgid, lat, lon, application, granted AS "grant", {', '.join('clsf_' + t for t in TYPES)} FROM regs""")
-def register_placed(spark, d):
-    return tables.registers(spark, d).drop("year")
-
-
 @query(BASE + """SELECT doc, supp, application, granted AS "grant" FROM regs WHERE granted >= DATE '1997-01-01' AND application <= DATE '1999-12-31'""")
 def register_selected(spark, d):
     return registers.selected(tables.registers(spark, d), ("1997-01-01", "1999-12-31")).select("doc", "supp", "application", "grant")
@@ -464,24 +459,13 @@ def geo_fill_mode(spark, d):
     return entity.fill_places(people, "entity", "identity").select("id", "lat", "lon", "loceval")
 
 
-@query(f"""
-WITH t AS (SELECT o_orderkey AS doc, 'A' AS city, 50.0 + o_orderkey % 4 AS la, 15.0 AS lo, 52.0 AS la2, 21.0 + o_orderkey % 3 AS lo2, 51.0 AS lb, 16.0 AS lob FROM orders WHERE o_orderkey % 3 = 0),
-w AS (SELECT *, {km('la', 'lo', 'lb', 'lob')} AS d1, {km('la2', 'lo2', 'lb', 'lob')} AS d2 FROM t)
-SELECT doc, 'A' AS city, CAST(CASE WHEN d1 < d2 THEN la ELSE la2 END AS DOUBLE) AS lat, CAST(CASE WHEN d1 < d2 THEN lo ELSE lo2 END AS DOUBLE) AS lon, 'proximity' AS loceval FROM w
-UNION ALL SELECT doc, 'B', CAST(lb AS DOUBLE), CAST(lob AS DOUBLE), 'unique' FROM w
-""")
-def city_closest(spark, d):
-    """Of every third order, as its SQL has it; `city_closest_all` takes all."""
-    return _closest_towns(table(spark, d, "orders").where("o_orderkey % 3 = 0"))
-
-
 @query(f"""
 WITH t AS (SELECT o_orderkey AS doc, 'A' AS city, 50.0 + o_orderkey % 4 AS la, 15.0 AS lo, 52.0 AS la2, 21.0 + o_orderkey % 3 AS lo2, 51.0 AS lb, 16.0 AS lob FROM orders),
 w AS (SELECT *, {km('la', 'lo', 'lb', 'lob')} AS d1, {km('la2', 'lo2', 'lb', 'lob')} AS d2 FROM t)
 SELECT doc, 'A' AS city, CAST(CASE WHEN d1 < d2 THEN la ELSE la2 END AS DOUBLE) AS lat, CAST(CASE WHEN d1 < d2 THEN lo ELSE lo2 END AS DOUBLE) AS lon, 'proximity' AS loceval FROM w
 UNION ALL SELECT doc, 'B', CAST(lb AS DOUBLE), CAST(lob AS DOUBLE), 'unique' FROM w
 """)
-def city_closest_all(spark, d):
+def city_closest(spark, d):
     return _closest_towns(table(spark, d, "orders"))
 
 
@@ -642,13 +626,6 @@ def region_order(spark, d):
     return network.region_order(network.region_matrix(tables.edges(spark, d), "wgid"), "wgid")
 
 
-@query()
-def ward_split(spark, d):
-    e = tables.edges(spark, d)
-    totals = e.groupBy("pgid").agg(network.edge_count(e).alias("size"))
-    return analytics.ward_split(totals, "pgid", "size")
-
-
 def _towns(spark, d):
     return tables.persons(spark, d).groupBy("lat", "lon").agg(F.count("*").alias("n"))
 
@@ -778,7 +755,7 @@ def nested_shred(spark, d):
 SELECT page_id AS doc, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS body
 FROM pages
 """)
-def html_shred(spark, d):
+def html_text(spark, d):
     return table(spark, d, "pages").select(F.col("page_id").alias("doc"), readers.html_text(F.col("html")).alias("body"))
 
 
@@ -855,17 +832,3 @@ def region_neighbours(spark, d):
 @query("SELECT CAST(floor(l_extendedprice / 5000) * 5000 AS BIGINT) AS bin, count(*) AS size FROM lineitem GROUP BY 1")
 def price_histogram(spark, d):
     return analytics.histogram(table(spark, d, "lineitem"), "l_extendedprice", 5000)
-
-
-@query()
-def price_auto_histogram(spark, d):
-    return analytics.auto_histogram(table(spark, d, "lineitem"), "l_extendedprice")
-
-
-@query("""
-WITH d AS (SELECT DISTINCT n_nationkey AS k, 50.0 + n_nationkey % 5 AS lat, 15.0 + 1.5 * (n_nationkey // 5) AS lon FROM nation)
-SELECT CAST(a.lat AS DOUBLE) AS lat, CAST(a.lon AS DOUBLE) AS lon, CAST(b.lat AS DOUBLE) AS latY, CAST(b.lon AS DOUBLE) AS lonY FROM d a CROSS JOIN d b
-""")
-def town_pairs(spark, d):
-    """All pairs of towns with the ellipsoid's distance, here without the number that SQL has no function for."""
-    return facts.distances(tables.places(spark, d), None).where("distance >= 0").drop("distance")

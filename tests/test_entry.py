@@ -12,7 +12,9 @@ DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables here")
 
-from driftline.plans.catalogue import ORACLES, QUERIES  # noqa: E402
+from driftline.plans import catalogue, chain  # noqa: E402
+
+QUERIES, ORACLES = catalogue.QUERIES | chain.QUERIES, catalogue.ORACLES | chain.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -46,6 +48,10 @@ def test_query_without_sql_has_rows(spark, name):
     assert QUERIES[name](spark, DIR).count() > 0
 
 
+def test_names_are_used_once():
+    assert not set(catalogue.QUERIES) & set(chain.QUERIES)
+
+
 def test_entry(spark):
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
