@@ -22,6 +22,7 @@ BITS_PER_ROW = 32
 MAX_BITS = 1 << 30  # the broadcast bitmap is at most 128 MB
 GROUPS = 16  # of rows, at least and at most twice as many
 HOT_GROUPS = 1024  # at most so many groups are joined by broadcast
+BROADCAST_ROWS = 500_000  # so many keys of rows, of some 100 bytes, are broadcast at most
 
 
 def normalised(text: Column) -> Column:
@@ -99,20 +100,25 @@ def keep_rows(docs: DataFrame, key: Column, acts: DataFrame, most: int | None =
     """docs but for the rows whose key is one that `acts` (key, gone) says is gone, all columns as they were.
 
     Of the rows of a key that is there and not gone one stays: the one whose columns have the least hash, as JSON.
-    Rows whose key a Bloom bitmap of acts rules out pass straight through; the others are
+    Up to BROADCAST_ROWS acts are broadcast. Of more, a Bloom bitmap is: rows whose key it rules out pass straight through, and the others are
     joined. most is at least the number of rows of acts, if that is known.
     """
     acts = written(acts.groupBy("key").agg(F.min("gone").alias("gone")), "acts", most)
     found = acts.agg(F.count("*").alias("n"), F.count_if(~F.col("gone")).alias("again")).first()
-    bits = filter_bits(found.n, most=max_bits)
-    blocks = bitmap_of(acts.select(F.explode(F.array(*_cells(F.col("key"), bits))).alias("cell")))
-    marked = in_bitmap(docs.select(F.struct("*").alias("row"), key.alias("key")), "key", blocks, bits)
-    out = marked.where("not maybe").select("row")
-    asked = marked.where("maybe")
+    keyed = docs.select(F.struct("*").alias("row"), key.alias("key"))
+    out = None
+    if found.n <= BROADCAST_ROWS:
+        acts, asked = F.broadcast(acts), keyed
+    else:
+        bits = filter_bits(found.n, most=max_bits)
+        blocks = bitmap_of(acts.select(F.explode(F.array(*_cells(F.col("key"), bits))).alias("cell")))
+        marked = in_bitmap(keyed, "key", blocks, bits)
+        out, asked = marked.where("not maybe").select("row"), marked.where("maybe")
+    kept = asked.join(acts, "key", "left_anti").select("row")
+    out = kept if out is None else out.unionByName(kept)
     if not found.again:
-        return out.unionByName(asked.join(acts, "key", "left_anti").select("row")).select("row.*")
-    asked = asked.join(acts, "key", "left")
-    out = out.unionByName(asked.where("gone is null").select("row"))
+        return out.select("row.*")
+    asked = asked.join(acts, "key")
     again = asked.where("not gone").groupBy("key").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
     return out.unionByName(again.select("row")).select("row.*")
 

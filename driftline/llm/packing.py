@@ -28,7 +28,7 @@ from ..session import modest_batches
 WINDOW, END_ID = 2048, 1
 OPEN_SHARE = 64  # pieces that must have been placed for each window that may be open, so that few are at the end
 MAX_OPEN = 1024  # partly filled windows that a task holds: 8 MB of ids
-CACHED_WORDS = 300_000  # per Python worker
+CACHED_WORDS = 200_000  # per Python worker
 STRIDE = 1 << 22  # characters that are tokenised at a time
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, placed boolean"
 

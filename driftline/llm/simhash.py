@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..session import modest_batches, written
-from .exact_dedup import _cells, bitmap_of, filter_bits, in_bitmap, keep_rows, row_key
+from .exact_dedup import BROADCAST_ROWS, _cells, bitmap_of, filter_bits, in_bitmap, keep_rows, row_key
 
 SEED = 42  # of the first 64 bits, the next ones follow
 DIGIT, PAD = 256, 4  # a tile key has a digit per count
@@ -291,7 +291,8 @@ def alike_links(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, r
     spark = docs.sparkSession
     key = lambda c: F.coalesce(c.cast("long").cast("string"), F.lit("")).alias("key")
     nodes = written(nodes.select("nid", "root", "size", "same", key(F.col("first"))), "candidates", rows)
-    bits = filter_bits(nodes.count())
+    count = nodes.count()
+    bits = filter_bits(count)
     blocks = bitmap_of(nodes.select(F.explode(F.array(*_cells(F.col("key"), bits))).alias("cell")))
     asked = in_bitmap(docs.select(F.struct(docs[text_col].alias("t")).alias("row"), key(docs[id_col])), "key", blocks, bits).where("maybe")
 
@@ -304,7 +305,7 @@ def alike_links(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, r
     sets = asked.select("key", "row.t").mapInPandas(hashed, "key string, same long, held binary")
     parts = F.greatest(F.ceil(F.sum("size") / PART), F.ceil(F.count("*") / PART_ROWS)).cast("long")
     large = written(nodes.groupBy("root").agg(parts.alias("parts")).where("parts > 1"), "large", 0)
-    dealt = sets.join(nodes, ["key", "same"]).join(F.broadcast(large), "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    dealt = sets.join(F.broadcast(nodes) if count <= BROADCAST_ROWS else nodes, ["key", "same"]).join(F.broadcast(large), "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("nid"), F.col("parts"))).withColumn("part", F.explode(F.expr("sequence(own, parts - 1)")))
     dealt = dealt.select("root", "part", (F.col("part") != F.col("own")).cast("int").alias("guest"), "nid", "held")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)

@@ -68,10 +68,11 @@ def test_the_first_pass_finds_every_repeated_cell_and_exchanges_no_rows(spark):
         assert len(plan) == 2 and "bitmap_construct_agg" in plan[1]  # what is exchanged comes out of a partial aggregation
 
 
-def test_the_filter_goes_by_rows_not_ids(spark):
+def test_the_filter_goes_by_rows_not_ids(spark, monkeypatch):
     rows = [(1, "same text", "b"), (5, "same  text", "x"), (5, "another, unique text", "x"), (1, "same text", "a"), (None, "same text", "x"), (None, "alone", "x"), (None, "gone", "1"), (None, "gone", "2")]
     out = exact_dedup.keep_first(spark.createDataFrame(rows, "doc_id long, text string, key string"))
     got = [(r.doc_id, r.text) for r in out.collect()]
     assert sorted(got, key=str) == sorted([(1, "same text"), (5, "another, unique text"), (None, "alone"), (None, "gone")], key=str)
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", 1)
     again = exact_dedup.keep_first(spark.createDataFrame(rows[::-1], "doc_id long, text string, key string").repartition(3))
     assert sorted(map(str, out.collect())) == sorted(map(str, again.collect()))
