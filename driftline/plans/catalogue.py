@@ -444,8 +444,7 @@ c(node, label) AS (SELECT id, id FROM p UNION SELECT e.v, c.label FROM c JOIN e
 SELECT node AS id, min(label) AS entity FROM c GROUP BY 1
 """)
 def entity_components(spark, d):
-    people = _part_registers(spark, d)
-    return entity.identify(_pairs(spark, d), people).select("id", "entity")
+    return entity.identify_all(entity.coauthors(_part_registers(spark, d)), TYPES).select("id", "entity")
 
 
 @query("""

@@ -1,3 +1,4 @@
+import random
 from datetime import date
 
 import pytest
@@ -104,6 +105,21 @@ def test_similarity_and_entities(spark):
     assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 5}
 
 
+def test_links_connect_what_all_pairs_connect(spark):
+    rng = random.Random(2)
+    names_ = [f"JAN{k} NOWAK" for k in range(16)]
+    rows = []
+    for k in range(160):
+        lat = rng.choice([None, 1.0, 2.0])
+        counts = [rng.choice([0, 0, 0, 1, 2, 3]) if s in "AB" else 0 for s in registers.SECTIONS]
+        rows.append((k, f"d{rng.randrange(110)}", "", rng.choice(names_), "", rng.random() < 0.05, lat, lat, None, *counts))
+    columns = ", ".join(f"{c} int" for c in SECTIONS)
+    df = entity.coauthors(spark.createDataFrame(rows, f"id long, doc string, firstnames string, value string, lastnames string, organisation boolean, lat double, lon double, loceval string, {columns}"))
+    want = {r.id: r.entity for r in entity.identify(entity.similarity(df), df).collect()}
+    assert {r.id: r.entity for r in entity.identify_all(df).collect()} == want
+    assert len(set(want.values())) > 20
+
+
 def test_chains_are_one_entity(spark):
     ids = spark.createDataFrame([(k,) for k in range(50)], "id long")
     rows = [(k, k + 1, 1, 1, 1, 0, True) for k in range(39)] + [(45, 47, 1, 1, 1, 0, True), (47, 46, 1, 1, 0, 1, True)]
