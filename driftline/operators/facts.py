@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import product
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,7 +13,6 @@ from ..functions.geo import vincenty
 from ..session import checked_small
 
 EVENT_ORDER = ["exhibition", "priority", "regional", "fill", "application", "nogrant", "grant", "decision", "publication"]
-MOST_CHOICES = 100_000  # combinations that are all tried; beyond, one place is bettered at a time
 
 
 def codes(eav: DataFrame, country: str | None = None, countries: DataFrame | None = None) -> DataFrame:
@@ -60,29 +57,48 @@ def places(eav: DataFrame, gazetteer: DataFrame, kind: str = "miasto") -> DataFr
     return closest(named.join(towns, "city").dropna(subset=["lat", "lon"]))
 
 
-def _choose(names: list[str], points: list[np.ndarray]) -> list[int]:
-    """A place for each name so that the sum of all distances is least; of equals the later combination."""
+def _choose(points: list[np.ndarray]) -> list[int]:
+    """A place for each name so that the sum of all distances is least; of equals the combination that is last in order.
+
+    Names are settled one after the other. What is open can't cost less than the nearest places to those that are settled, and the
+    least distances between open names; a branch that can't reach the best known sum is left. So the result is that of trying
+    all combinations, at any number of them.
+    """
     flat = np.concatenate(points)
     start = np.cumsum([0, *map(len, points)])
     a, b = np.meshgrid(np.arange(len(flat)), np.arange(len(flat)), indexing="ij")
     apart = vincenty(flat[a.ravel(), 0], flat[a.ravel(), 1], flat[b.ravel(), 0], flat[b.ravel(), 1]).reshape(len(flat), -1)
+    both = apart + apart.T
+    n = len(points)
+    options = [np.arange(start[k], start[k + 1]) for k in range(n)]
+    between = np.array([[both[np.ix_(options[i], options[j])].min() if i != j else 0.0 for j in range(n)] for i in range(n)])
+    open_cost = [np.triu(between[k:, k:]).sum() for k in range(n + 1)]
     total = lambda pick: apart[np.ix_(pick, pick)].sum()
-    options = [range(start[k], start[k + 1]) for k in range(len(names))]
-    if np.prod([len(o) for o in options], dtype=float) <= MOST_CHOICES:
-        best, least = None, np.inf
-        for pick in product(*options):
-            t = total(list(pick))
-            if t <= least:
-                best, least = list(pick), t
-    else:
-        best = [o[0] for o in options]
-        for _ in range(20):
-            before = list(best)
-            for k, o in enumerate(options):
-                best[k] = min(o, key=lambda x, k=k: (total([*best[:k], x, *best[k + 1 :]]), -x))
-            if best == before:
-                break
-    return [p - s for p, s in zip(best, start[:-1], strict=True)]
+
+    # a good sum to begin with: one place is bettered at a time
+    best = [o[0] for o in options]
+    for _ in range(20):
+        before = list(best)
+        for k, o in enumerate(options):
+            best[k] = min(o, key=lambda x, k=k: total([*best[:k], x, *best[k + 1 :]]))
+        if best == before:
+            break
+    least = total(best)
+    todo = [([], 0.0, np.zeros(len(flat)))]  # settled places, their sum, and each place's distances to them
+    while todo:
+        pick, cost, near = todo.pop()
+        k = len(pick)
+        if k == n:
+            t = total(pick)
+            if t < least or t == least and pick > best:
+                best, least = pick, t
+            continue
+        for o in options[k]:
+            so_far, nearer = cost + near[o], near + both[o]
+            bound = so_far + sum(nearer[x].min() for x in options[k + 1 :]) + open_cost[k + 1]
+            if bound <= least * (1 + 1e-9) + 1e-9:
+                todo.append(([*pick, o], so_far, nearer))
+    return [int(p - s) for p, s in zip(best, start[:-1], strict=True)]
 
 
 def closest(named: DataFrame) -> DataFrame:
@@ -103,7 +119,7 @@ def closest(named: DataFrame) -> DataFrame:
             for doc, towns in zip(batch["doc"], batch["towns"], strict=True):
                 names = [t["city"] for t in towns]
                 points = [np.array([[p["lat"], p["lon"]] for p in t["at"]]) for t in towns]
-                for n, p, k in zip(names, points, _choose(names, points), strict=True):
+                for n, p, k in zip(names, points, _choose(points), strict=True):
                     out.append((doc, n, float(p[k][0]), float(p[k][1]), "unique" if len(p) == 1 else "proximity"))
             yield pd.DataFrame(out, columns=["doc", "city", "lat", "lon", "loceval"])
 

@@ -11,11 +11,11 @@ from ..functions.text import contains_any, strnorm
 
 # fixed values: what marks an organisation
 ORG_PARTS = ["&", "INTERNAZIO", "INTERNATIO", "INC.", "ING.", "SP. Z O. O.", "S.P.A."]
-ORG_KEYWORDS = (
-    "THE INDIVIDUAL CORP COMPANY PRZEDSIEBIORSTWO FUNDACJA INSTYTUT INSTITUTE HOSPITAL SZPITAL SZKOLA COMPANY LTD SPOLKA LIMITED GMBH "
-    "ZAKLAD PPHU KOPALNIA SPOLDZIELNIA FABRYKA ENTERPRISE TECHNOLOGY LLC CORPORATION INC MIASTO GMINA URZAD GOVERNMENT RZAD "
-    "AKTIENGESELLSCHAFT KOMMANDITGESELLSCHAFT UNIWERSYTET UNIVERSITY AKADEMIA ACADEMY POLITECHNIKA"
-).split()
+ORG_KEYWORDS = [
+    "THE", "INDIVIDUAL", "CORP", "COMPANY", "PRZEDSIEBIORSTWO", "FUNDACJA", "INSTYTUT", "INSTITUTE", "HOSPITAL", "SZPITAL", "SZKOLA", "LTD", "SPOLKA", "LIMITED",
+    "GMBH", "ZAKLAD", "PPHU", "KOPALNIA", "SPOLDZIELNIA", "FABRYKA", "ENTERPRISE", "TECHNOLOGY", "LLC", "CORPORATION", "INC", "MIASTO", "GMINA", "URZAD", "GOVERNMENT",
+    "RZAD", "AKTIENGESELLSCHAFT", "KOMMANDITGESELLSCHAFT", "UNIWERSYTET", "UNIVERSITY", "AKADEMIA", "ACADEMY", "POLITECHNIKA",
+]
 # from the weakest up: a word in several roles has the last of them
 ROLES = ["orgname", "firstname", "lastname", "ambigname"]
 

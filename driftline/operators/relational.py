@@ -13,9 +13,8 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
 
 
 def group_number(df: DataFrame, keys: list[str], name: str, offset: int = 0) -> DataFrame:
-    """df with a number for each distinct key, in key order from offset. Keys are numbered apart from the rows, so no task sorts all of them."""
-    groups = df.select(*keys).distinct()
-    numbered = groups.withColumn(name, F.dense_rank().over(Window.orderBy(*keys)).cast("long") + (offset - 1))
+    """df with a number for each distinct key, in key order from offset. Keys are numbered apart from the rows and by ranges, so no task sorts all of either."""
+    numbered = row_ids(df.select(*keys).distinct(), [F.col(k) for k in keys], name).withColumn(name, F.col(name) + offset)
     numbered = numbered.withColumnsRenamed({k: f"__{k}" for k in keys})
     same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
     return df.join(numbered, same).select(*df.columns, name)

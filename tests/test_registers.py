@@ -1,6 +1,7 @@
 import random
 from datetime import date
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +84,30 @@ def test_places(spark):
     assert facts.distances(gaz).count() == 4
 
 
+def test_places_are_those_of_trying_all():
+    from itertools import product
+
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        points = [np.round(np.column_stack([rng.uniform(49, 54, k), rng.uniform(14, 24, k)]), 1) for k in rng.integers(1, 5, rng.integers(2, 5))]
+        if rng.random() < 0.5:
+            points[0] = np.repeat(points[0], 2, axis=0)  # ties
+        flat, start = np.concatenate(points), np.cumsum([0, *map(len, points)])
+        n = len(flat)
+        a, b = np.divmod(np.arange(n * n), n)
+        apart = facts.vincenty(*flat[a].T, *flat[b].T).reshape(n, n)
+        picks = list(product(*[range(start[k], start[k + 1]) for k in range(len(points))]))
+        sums = [apart[np.ix_(p, p)].sum() for p in picks]
+        want = max(p for p, t in zip(picks, sums, strict=True) if t == min(sums))
+        assert facts._choose(points) == [x - s for x, s in zip(want, start[:-1], strict=True)]
+
+
+def test_many_ambiguous_names_are_settled_exactly():
+    rng = np.random.default_rng(5)
+    near = [np.array([[52 + x, 20 + y], [40 + 3 * x, 5 + 9 * y]]) for x, y in rng.uniform(0, 0.5, (20, 2))]  # 2 ** 20 combinations
+    assert facts._choose(near) == [0] * 20
+
+
 def people(spark):
     rows = []
     place = {0: (1.0, 1.0), 1: (1.0, 1.0), 2: (1.0, 1.0), 3: (None, None), 4: (2.0, 2.0), 5: (1.0, 1.0)}
