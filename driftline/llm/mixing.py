@@ -36,7 +36,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, cap: int = CA
     Sources in code point order, null last, take the weights in turn. The budget is shared
     by weight; a source stops at cap times its size and what it leaves is shared again:
     the level at which all uncapped sources stand is found from running sums in the order
-    in which the caps are reached. Those windows see one row per source.
+    in which the caps are reached. Those windows see one row per source, in one task: meant for up to some millions of sources.
     """
     dec = "decimal(38,0)"
     w = F.element_at(F.array(*[F.lit(x) for x in weights]), ((F.col("rank") - 1) % len(weights)) + 1)
