@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from driftline.llm import exact_dedup, language_id, mixing, packing, simhash
 from driftline.llm.queries import tokenizer_path
-from driftline.session import own_dir
+from driftline.session import own_dir, scratch
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{own_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{folder}/{name}")
+        with scratch(spark):  # what a stage writes on its way
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(f"{folder}/{name}")
         docs = spark.read.schema(out.schema).parquet(f"{folder}/{name}")
     return docs

@@ -115,8 +115,8 @@ def kmeans(df: DataFrame, coords: list[str], columns: list[str], k: int, inner:
     wide = shares(wide, [names[c] for c in columns]).fillna(0.0, [names[c] for c in columns])
     wide = scaled(wide, list(names.values()))
     wide = wide.withColumns({names[c]: F.col(names[c]) * inner for c in coords} | {names[c]: F.col(names[c]) * (1 - inner) for c in columns})
-    joined = VectorAssembler(inputCols=list(names.values()), outputCol="__x").transform(wide)
-    model = KMeans(k=k, seed=seed, featuresCol="__x", predictionCol="kmeans").fit(joined)
+    joined = VectorAssembler(inputCols=list(names.values()), outputCol="__joined vector").transform(wide)
+    model = KMeans(k=k, seed=seed, featuresCol="__joined vector", predictionCol="kmeans").fit(joined)
     return model.transform(joined).select(*df.columns, "kmeans")
 
 

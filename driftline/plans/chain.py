@@ -6,8 +6,9 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import citation, text
@@ -16,6 +17,7 @@ from ..functions.geo import to_transverse_mercator
 from ..operators import analytics, facts, index, names, network, regions, registers, search, storage
 from ..session import own_dir, spread, written
 from ..sources import readers, shred, sinks
+from ..streaming.incremental import grow_index, read_index
 from . import tables
 from .tables import BASE, TYPES, eav, table
 
@@ -246,6 +248,36 @@ def empty_columns_dropped(spark, d):
     return shred.drop_empty(rows)
 
 
+@query("""
+SELECT 'root' AS frame, 'name' AS col, count(*) AS size FROM customer UNION ALL SELECT 'root', 'text', count(*) FROM customer
+UNION ALL SELECT 'order', c, count(*) FROM orders JOIN customer ON c_custkey = o_custkey, (VALUES ('key'), ('price')) t(c) GROUP BY c
+""")
+def ingestion_node(spark, d):
+    """Customers with their orders as nested documents, ingested: the bound columns of each table and its rows."""
+    order = F.struct(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("price"), F.lit(None).cast("string").alias("none"))
+    lists = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list(order).alias("order"))
+    docs = table(spark, d, "customer").join(lists, F.col("o_custkey") == F.col("c_custkey"), "left")
+    docs = docs.select(F.col("c_custkey").alias("doc"), F.col("c_name").alias("name"), F.struct(F.col("c_mktsegment").alias("text")).alias("segment"), "order")
+    with tempfile.TemporaryDirectory() as folder:  # a person's file, written and read by the driver
+        found = sinks.ingested(docs, "doc", _folder(spark, "ingested"), os.path.join(folder, "b.yaml"))
+        bound = sinks.read_bindings(os.path.join(folder, "b.yaml"))
+    return reduce(DataFrame.unionByName, [found[t].agg(F.count("*").alias("size")).select(F.lit(t).alias("frame"), F.explode(F.array(*map(F.lit, bound[t]))).alias("col"), "size") for t in sorted(found)])
+
+
+@query(r"""
+SELECT doc, value, count(*) AS score FROM (SELECT CAST(c_custkey AS VARCHAR) AS doc, upper(unnest(regexp_extract_all(c_name || ' ' || c_mktsegment, '\w+'))) AS value FROM customer) GROUP BY 1, 2
+""")
+def streamed_index(spark, d):
+    """An index of words that grows by micro-batches of a stream of files."""
+    values = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("doc"), F.concat_ws(" ", "c_name", "c_mktsegment").alias("value"))
+    blank = [F.lit("x").alias(c) for c in ("repo", "frame", "col", "id", "assignement")]
+    source, path = _folder(spark, "stream"), _folder(spark, "index")
+    values.select(*blank, "doc", "value").repartition(3).write.parquet(source)
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 1).parquet(source)
+    grow_index(stream, index.word_index, path, _folder(spark, "progress")).awaitTermination()
+    return read_index(spark, path).select("doc", "value", "score")
+
+
 # ---- storage, text, indexes
 
 
@@ -491,6 +523,18 @@ def cluster_profile(spark, d):
     return analytics.cluster_means(rows, ["p_retailprice", "p_size"]).withColumn("value", F.round("value", 6))
 
 
+@query("""
+SELECT c_custkey % 3 AS cluster, count(*) AS size, round(avg(CAST(50 + 8 * (c_custkey % 3) + c_custkey % 7 / 50.0 AS DOUBLE)), 6) AS lat, round(avg(CASE WHEN c_custkey % 3 = 1 THEN 5 ELSE 1 END), 6) AS x FROM customer GROUP BY 1
+""")
+def kmeans_clusters(spark, d):
+    """Places in three parts of the map, found again; clusters are numbered from the south."""
+    k = F.col("c_custkey")
+    rows = table(spark, d, "customer").select((50 + 8 * (k % 3) + k % 7 / 50.0).cast("double").alias("lat"), (15 + k % 5 / 50.0).cast("double").alias("lon"), F.when(k % 3 == 1, 5).otherwise(1).alias("x"), F.lit(2).alias("y"))
+    found = analytics.kmeans(rows, ["lat", "lon"], ["x", "y"], 3, inner=0.8)
+    means = found.groupBy("kmeans").agg(F.count("*").alias("size"), F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("x"), 6).alias("x"))
+    return means.withColumn("cluster", F.row_number().over(Window.orderBy("lat")).cast("long") - 1).drop("kmeans")
+
+
 @query("""
 WITH b AS (SELECT (max(l_extendedprice) - min(l_extendedprice)) / 50 AS w FROM lineitem), p AS (SELECT w, pow(10, floor(log10(w))) AS p FROM b),
 s AS (SELECT CASE WHEN p >= w * (1 - 1e-12) THEN p WHEN 2 * p >= w * (1 - 1e-12) THEN 2 * p WHEN 5 * p >= w * (1 - 1e-12) THEN 5 * p ELSE 10 * p END AS step FROM p)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +55,23 @@ def own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/driftline-{spark.sparkContext.applicationId}"
 
 
+_WRITTEN: list[str] = []  # by this driver, in order
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside are deleted at the end: for steps whose result is itself written by then."""
+    before = len(_WRITTEN)
+    yield
+    while len(_WRITTEN) > before:
+        _delete(spark, _WRITTEN.pop())
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """df, written as a table in the shared folder and read back: its lineage ends at files that outlive executors.
 
@@ -64,6 +83,7 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
         df = df.coalesce(max(LEAST_FILES, -(-rows // FILE_ROWS)))
     path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -80,5 +100,5 @@ def spread(df: DataFrame) -> DataFrame:
 
 def discard(spark: SparkSession) -> None:
     """Deletes all tables that this application has written, once no result is read any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _WRITTEN.clear()
+    _delete(spark, own_dir(spark))

@@ -33,6 +33,18 @@ def write_blank_bindings(tables: dict[str, DataFrame], path: str) -> None:
         yaml.safe_dump(blank, f, allow_unicode=True, sort_keys=True)
 
 
+def ingested(docs: DataFrame, doc: str, folder: str, bindings: str, options=None) -> dict[str, DataFrame]:
+    """The tables of nested documents: shredded by repeated path, with short names and without empty columns, each written under folder once
+    and then read, and a blank file of bindings for them if there is none."""
+    from .shred import drop_empty, ingest
+
+    spark = docs.sparkSession
+    tables = {name: memoised(spark, f"{folder.rstrip('/')}/{name}", lambda t=t: drop_empty(t)) for name, t in ingest(docs, doc, options).items()}
+    if not os.path.exists(bindings):
+        write_blank_bindings(tables, bindings)
+    return tables
+
+
 def latex_table(table: DataFrame, decimals: int = 3, most: int = 1000) -> str:
     """A small table as LaTeX; raises if it has more than `most` rows."""
     rows = table.limit(most + 1).collect()
