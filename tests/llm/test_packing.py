@@ -159,5 +159,13 @@ def test_few_pieces_move_at_the_end():
         assert sum(r[7] for r in rows) >= 0.95 * len(rows)
 
 
+def test_null_and_repeated_ids_and_clashing_names(spark, encoder):
+    rows = [(None, "a b", 1), (None, None, 2), (3, "same text", 3), (3, "same text", 4), (3, "other", 5)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, placed int").repartition(2), tokenizer_path(), window=16).collect()
+    want = sum(len(plain(encoder, t or "")) // 4 + 1 for _, t, _ in rows)
+    assert sum(r.length for r in out) == want and {r.doc_id for r in out} == {None, 3}
+    assert sum(r.doc_id == 3 and r.start == 0 for r in out) == 3
+
+
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path()).count() == 0

@@ -1,3 +1,6 @@
+import re
+from itertools import combinations
+
 import pytest
 
 import corpus_pipeline as p
@@ -5,6 +8,8 @@ from driftline.llm import exact_dedup, language_id, mixing, packing, simhash
 from driftline.llm.queries import ORACLES, QUERIES, tokenizer_path
 from driftline.session import written
 
+from .test_mixing import brute
+
 DIR = "/root/testdata/sf0.001"
 
 
@@ -41,6 +46,62 @@ def test_packed_tokens_are_those_of_the_mix(stages):
     assert sum(r["length"] for r in packed.collect()) == want
 
 
+WHITE = r"[\x20\x09-\x0D]+"
+
+
+def first_of_equals(rows):
+    first = {}
+    for r in sorted(rows, key=lambda r: r.doc_id):
+        first.setdefault(re.sub(WHITE, " ", r.text or ""), r.doc_id)
+    return set(first.values())
+
+
+def first_of_alike(rows):
+    """All pairs of sets of five words, and what they join."""
+    sets = {}
+    for r in rows:
+        w = [x for x in re.split(WHITE, re.sub("[A-Z]", lambda m: m.group().lower(), r.text or "")) if x]
+        sets[r.doc_id] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in combinations(sorted(sets), 2):
+        if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {i for i in sets if find(i) == i}
+
+
+def test_stages_against_brute_force(stages):
+    docs, language, exact, near, mixed, _ = (d.collect() for d in stages)
+    ids = lambda rows: {r.doc_id for r in rows}
+    learned = language_id.dictionaries(stages[0], "doc_id", "text", "lang")
+    judge = language_id.Classifier(learned)
+    assert ids(language) == {r.doc_id for r in docs if not judge(r.text)[2]}
+    assert ids(exact) == first_of_equals(language) and len(exact) == len(ids(exact)) < len(language)
+    assert ids(near) == first_of_alike(exact) and len(near) == len(ids(near))
+    taken = brute([(r.doc_id, r.text, r.source) for r in near])
+    copies = {i: n // size if size else 1 for i, (size, _, _, n) in taken.items()}
+    assert sorted(r.doc_id for r in mixed) == sorted(i for i, n in copies.items() for _ in range(n))
+
+
+def test_ties_repeated_rows_and_null_ids_keep_their_texts(spark):
+    long = "this sentence has words enough for its language to be told and none of its words are rare in english "
+    rows = [(1, long + "one two", "en", "a", 0), (5, long + "one  two", "en", "a", 0), (5, "another " + long[::-1], "en", "b", 0), (1, long + "one two", "en", "a", 0), (None, long.upper() * 2, "en", None, 0), (None, long.upper() * 2, "en", None, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = df
+    for _, f in p.STAGES[1:3]:
+        out = written(f(spark, out, DIR), "stage")
+    assert sorted(str((r.doc_id, r.text[:12])) for r in out.collect()) == sorted(str(x) for x in [(1, long[:12]), (5, ("another " + long[::-1])[:12]), (None, long.upper()[:12])])
+    for _, f in p.STAGES[3:]:
+        out = written(f(spark, out, DIR), "stage")
+    assert out.count() > 0
+
+
 def test_run_is_the_stages(spark, stages):
     got = p.run(spark, DIR)
     assert got.count() == stages[-1].count() and got.columns == stages[-1].columns
