@@ -584,5 +584,5 @@ def search_supported(spark, d):
     words = F.concat_ws(" ", F.regexp_replace("p_brand", "#", ""), "p_name", F.concat(F.lit("Town"), F.chr(65 + k % 5)))
     asked = table(spark, d, "part").where("p_partkey % 100 = 0").select(k.cast("long").alias("entry"), k.alias("entrydoc"), F.concat(F.lit("PL "), (k + 100000).cast("string"), F.lit(" B1"), day, F.lit(" :: "), words).alias("query"))
     tokens, _ = search.query_tables(asked)
-    found = search.narrow(tokens, index.indexes(_tagged(spark, d)))
-    return found.select("entry", "doc", "number", "date", "title", "name", "city", "level")
+    found = search.narrow(tokens, index.indexes(_tagged(spark, d), word_grams=True))
+    return found.where("partial_title > 0").select("entry", "doc", "number", "date", "title", "name", "city", "level")
