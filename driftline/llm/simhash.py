@@ -35,9 +35,12 @@ PART, PART_ROWS = 1 << 20, 4096  # hashes and sets of a component that are held
 NEAR = {"shingle": 5, "n_words": 3, "radius": 56, "blocks": 0, "width": 32, "tile": 1 << 14, "ratio": 0.8, "distinct": True, "alike": 0.8, "by_row": True}
 
 
-def shingles(text: str | None, shingle: int) -> list[bytes]:
-    """Runs of words, repeated ones too; a text of fewer words is one."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def shingles(words: list[bytes], shingle: int) -> list[bytes]:
+    """Runs of words, repeated ones too; fewer words are one."""
     if len(words) <= shingle:
         return [b" ".join(words)] if words else []
     return list(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)))
@@ -53,22 +56,26 @@ def fingerprint(text: str | None, shingle: int, n_words: int, distinct: bool = F
 
 
 def _printed(text: str | None, shingle: int, n_words: int, distinct: bool) -> tuple[list[int], np.ndarray]:
-    """The fingerprint, and the hashes of the shingles with the first seed."""
-    found = shingles(text, shingle)
-    if distinct:
-        found = list(set(found))
-    if not found:
+    """The fingerprint, and the hashes of the shingles with the first seed. Shingles of a long text are made a chunk at a time;
+    distinct ones are those whose hashes with the first seed are."""
+    words = words_of(text)
+    if not words:
         return [0] * (n_words + 1), np.empty(0, "<u8")
-    out, first = [], None
-    for seed in range(SEED, SEED + n_words):
-        hashes = np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in found), "<u8", len(found))
-        first = hashes if first is None else first
+    n = max(1, len(words) - shingle + 1)
+    hashes = np.empty((n_words, n), "<u8")
+    for at in range(0, n, CHUNK):
+        part = shingles(words[at : at + CHUNK + shingle - 1], shingle) if n > 1 else shingles(words, shingle)
+        for k in range(n_words):
+            hashes[k, at : at + len(part)] = np.fromiter((xxhash.xxh64_intdigest(s, SEED + k) for s in part), "<u8", len(part))
+    if distinct:
+        hashes = hashes[:, np.unique(hashes[0], return_index=True)[1]]
+    out = []
+    for row in hashes:
         ones = np.zeros(64, np.int64)
-        for at in range(0, len(hashes), CHUNK):
-            part = hashes[at : at + CHUNK]
-            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0]))
-    return [*out, len(found)], first
+        for at in range(0, len(row), CHUNK):
+            ones += np.unpackbits(np.ascontiguousarray(row[at : at + CHUNK]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(row), bitorder="little").view("<i8")[0]))
+    return [*out, hashes.shape[1]], hashes[0]
 
 
 def shingle_set(hashes: np.ndarray) -> tuple[bytes, int]:
