@@ -57,17 +57,25 @@ def places(eav: DataFrame, gazetteer: DataFrame, kind: str = "miasto") -> DataFr
     return closest(named.join(towns, "city").dropna(subset=["lat", "lon"]))
 
 
-def _choose(points: list[np.ndarray]) -> list[int]:
+def _apart(docs: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """For each document the distances between all its places: one calculation for many documents."""
+    flat = [np.concatenate(points) for points in docs]
+    pairs = [np.divmod(np.arange(len(f) ** 2), len(f)) for f in flat]
+    ends = [np.concatenate([f[side[k]] for f, side in zip(flat, pairs, strict=True)]) for k in (0, 1)]
+    km = vincenty(ends[0][:, 0], ends[0][:, 1], ends[1][:, 0], ends[1][:, 1])
+    cuts = np.cumsum([len(f) ** 2 for f in flat])[:-1]
+    return [x.reshape(len(f), -1) for x, f in zip(np.split(km, cuts), flat, strict=True)]
+
+
+def _choose(points: list[np.ndarray], apart: np.ndarray | None = None) -> list[int]:
     """A place for each name so that the sum of all distances is least; of equals the combination that is last in order.
 
     Names are settled one after the other. What is open can't cost less than the nearest places to those that are settled, and the
     least distances between open names; a branch that can't reach the best known sum is left. So the result is that of trying
     all combinations, at any number of them.
     """
-    flat = np.concatenate(points)
+    apart = _apart([points])[0] if apart is None else apart
     start = np.cumsum([0, *map(len, points)])
-    a, b = np.meshgrid(np.arange(len(flat)), np.arange(len(flat)), indexing="ij")
-    apart = vincenty(flat[a.ravel(), 0], flat[a.ravel(), 1], flat[b.ravel(), 0], flat[b.ravel(), 1]).reshape(len(flat), -1)
     both = apart + apart.T
     n = len(points)
     options = [np.arange(start[k], start[k + 1]) for k in range(n)]
@@ -84,7 +92,7 @@ def _choose(points: list[np.ndarray]) -> list[int]:
         if best == before:
             break
     least = total(best)
-    todo = [([], 0.0, np.zeros(len(flat)))]  # settled places, their sum, and each place's distances to them
+    todo = [([], 0.0, np.zeros(len(apart)))]  # settled places, their sum, and each place's distances to them
     while todo:
         pick, cost, near = todo.pop()
         k = len(pick)
@@ -116,10 +124,10 @@ def closest(named: DataFrame) -> DataFrame:
     def choose(batches):
         for batch in batches:
             out = []
-            for doc, towns in zip(batch["doc"], batch["towns"], strict=True):
-                names = [t["city"] for t in towns]
-                points = [np.array([[p["lat"], p["lon"]] for p in t["at"]]) for t in towns]
-                for n, p, k in zip(names, points, _choose(points), strict=True):
+            listed = [[np.array([[p["lat"], p["lon"]] for p in t["at"]]) for t in towns] for towns in batch["towns"]]
+            tables = _apart(listed) if listed else []
+            for doc, towns, points, apart in zip(batch["doc"], batch["towns"], listed, tables, strict=True):
+                for n, p, k in zip([t["city"] for t in towns], points, _choose(points, apart), strict=True):
                     out.append((doc, n, float(p[k][0]), float(p[k][1]), "unique" if len(p) == 1 else "proximity"))
             yield pd.DataFrame(out, columns=["doc", "city", "lat", "lon", "loceval"])
 
