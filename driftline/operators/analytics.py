@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine
-from ..session import checked_small
+from ..session import checked_small, written
 
 DESCRIBED = ["mean", "std", "min", "q1", "median", "q3", "max"]
 
@@ -105,8 +105,10 @@ def scaled(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.crossJoin(F.broadcast(stats)).withColumns({c: (F.col(c) - F.col(f"__m_{c}")) / spread(c) for c in columns}).select(*df.columns)
 
 
-def kmeans(df: DataFrame, coords: list[str], columns: list[str], k: int, inner: float = 0.5, seed: int = 1) -> DataFrame:
-    """df with kmeans, a cluster from 0: coordinates in radians and shares of the columns, both scaled; inner is the coordinates' weight."""
+def kmeans(df: DataFrame, coords: list[str], columns: list[str], k: int, inner: float = 0.5, seed: int = 1, tries: int = 5) -> DataFrame:
+    """df with kmeans, a cluster from 0: coordinates in radians and shares of the columns, both scaled; inner is the coordinates' weight.
+
+    The best of `tries` starts is taken."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
@@ -116,7 +118,9 @@ def kmeans(df: DataFrame, coords: list[str], columns: list[str], k: int, inner:
     wide = scaled(wide, list(names.values()))
     wide = wide.withColumns({names[c]: F.col(names[c]) * inner for c in coords} | {names[c]: F.col(names[c]) * (1 - inner) for c in columns})
     joined = VectorAssembler(inputCols=list(names.values()), outputCol="__joined vector").transform(wide)
-    model = KMeans(k=k, seed=seed, featuresCol="__joined vector", predictionCol="kmeans").fit(joined)
+    joined = written(joined, "scaled")
+    starts = [KMeans(k=k, seed=seed + t, initSteps=5, featuresCol="__joined vector", predictionCol="kmeans").fit(joined) for t in range(tries)]
+    model = min(starts, key=lambda m: m.summary.trainingCost)
     return model.transform(joined).select(*df.columns, "kmeans")
 
 

@@ -529,7 +529,7 @@ SELECT c_custkey % 3 AS cluster, count(*) AS size, round(avg(CAST(50 + 8 * (c_cu
 def kmeans_clusters(spark, d):
     """Places in three parts of the map, found again; clusters are numbered from the south."""
     k = F.col("c_custkey")
-    rows = table(spark, d, "customer").select((50 + 8 * (k % 3) + k % 7 / 50.0).cast("double").alias("lat"), (15 + k % 5 / 50.0).cast("double").alias("lon"), F.when(k % 3 == 1, 5).otherwise(1).alias("x"), F.lit(2).alias("y"))
+    rows = table(spark, d, "customer").select((50 + 8 * (k % 3) + k % 7 / 50.0).cast("double").alias("lat"), (15 + 6 * (k % 3) + k % 5 / 50.0).cast("double").alias("lon"), F.when(k % 3 == 1, 5).otherwise(1).alias("x"), F.lit(2).alias("y"))
     found = analytics.kmeans(rows, ["lat", "lon"], ["x", "y"], 3, inner=0.8)
     means = found.groupBy("kmeans").agg(F.count("*").alias("size"), F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("x"), 6).alias("x"))
     return means.withColumn("cluster", F.row_number().over(Window.orderBy("lat")).cast("long") - 1).drop("kmeans")
