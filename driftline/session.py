@@ -37,6 +37,28 @@ def modest_batches(spark: SparkSession, size: str = "8m") -> None:
         spark.conf.set(key, size)
 
 
+KEPT = "_driftline_kept"  # a module of a worker's own, for what outlives a task
+
+
+def tidy_worker(keep: bool = False) -> None:
+    """At the start of a Python task: memory that tasks before it have left in this worker goes back to the system, and what they
+    have kept for tasks of their kind too unless keep is set. Workers are used again, and each executor's memory has to do for all its stages."""
+    import ctypes
+    import gc
+    import sys
+
+    import pyarrow as pa
+
+    if not keep:
+        sys.modules.pop(KEPT, None)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, or the context's checkpoint folder; where neither is set and all runs in one process (tests), a
     temporary one that is then kept in the setting. A cluster must name one, as its executors see no other machine's files."""
