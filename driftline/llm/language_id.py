@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import modest_batches
+from ..session import modest_batches, tidy_worker
 
 UNDETERMINED = "und"
 LEVEL = 9  # searches for matches longer than the fast levels do: short texts need that
@@ -121,6 +121,7 @@ def predict(docs: DataFrame, learned: dict[str, bytes], text_col: str) -> DataFr
 
     @F.pandas_udf(schema)
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        tidy_worker()
         classify = Classifier(learned)
         for texts in batches:
             yield pd.DataFrame([classify(t) for t in texts], columns=["lang_pred", "score", "rejected"])

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from ..session import modest_batches
+from ..session import KEPT, modest_batches, tidy_worker
 
 WINDOW, END_ID = 2048, 1
 OPEN_SHARE = 64  # pieces that must have been placed for each window that may be open, so that few are at the end
@@ -146,7 +146,7 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """This process's encoder: a Python worker keeps what it has learnt from one task to the next."""
     # functions travel to workers with copies of this module's globals, so what outlives a task is in a module of its own
-    kept = sys.modules.setdefault("_driftline_encoders", types.ModuleType("_driftline_encoders")).__dict__
+    kept = sys.modules.setdefault(KEPT, types.ModuleType(KEPT)).__dict__
     if path not in kept:
         kept[path] = Encoder(path)
     return kept[path]
@@ -255,6 +255,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tidy_worker(keep=True)
         encode = encoder(tokenizer)
         packer = SumOfSquares(TaskContext.get().partitionId() << 40, window)
         columns = [c.split()[0] for c in SCHEMA.split(", ")]

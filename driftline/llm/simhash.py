@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from ..session import modest_batches, written
+from ..session import modest_batches, tidy_worker, written
 from .exact_dedup import BROADCAST_ROWS, _cells, bitmap_of, filter_bits, in_bitmap, keep_rows, row_key
 
 SEED = 42  # of the first 64 bits, the next ones follow
@@ -98,6 +98,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, n_wo
         return [*out, shingle_set(hashes)[1]] if distinct else out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tidy_worker()
         for batch in batches:
             found = np.array([one(t) for t in batch["t"]], np.int64).reshape(-1, len(names))
             ids = pd.array([int(i) if i else None for i in batch["doc_id"]], "Int64")
@@ -221,6 +222,7 @@ def links(reps: DataFrame, n_words: int, radius: int, blocks: int, width: int, t
     dealt = sent.select("key", "part", "guest", "nid", "size", *names).repartition(n, "key", "part").sortWithinPartitions("key", "part", "guest")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tidy_worker()
         at, tile_, waiting = None, None, []
 
         def ready() -> list[tuple[int, int]]:
@@ -304,6 +306,7 @@ def alike_links(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, r
     asked = in_bitmap(docs.select(F.struct(docs[text_col].alias("t")).alias("row"), key(docs[id_col])), "key", blocks, bits).where("maybe")
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tidy_worker()
         for batch in batches:
             found = [shingle_set(_printed(t, shingle, 1, True)[1]) for t in batch["t"]]
             yield pd.DataFrame({"key": batch["key"], "same": [d for _, d in found], "held": [h for h, _ in found]})
@@ -319,6 +322,7 @@ def alike_links(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, r
     dealt = dealt.repartition(n, "root", "part").sortWithinPartitions("root", "part", "guest", "nid")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tidy_worker()
         at, group, ids, sets, done = None, None, [], [], None
 
         def ready() -> list[tuple[int, int]]:
