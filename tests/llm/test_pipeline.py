@@ -140,3 +140,26 @@ def test_sql_gives_the_same_rows(spark, name):
     got = sorted(str([r[c] for c in at]) for r in df.collect())
     pos = [want.columns.index(c) for c in at]
     assert got == sorted(str([r[k] for k in pos]) for r in want.fetchall())
+
+
+def test_every_stage_begins_with_tidied_executors(spark, monkeypatch):
+    class Tidied(Exception):
+        pass
+
+    def tidied(session):
+        raise Tidied
+
+    monkeypatch.setattr(p, "tidy_executors", tidied)
+    for _, begin in p.STAGES:
+        with pytest.raises(Tidied):
+            begin(spark, None, DIR)
+
+
+def test_tidied_executors_have_collected_garbage(spark):
+    jvm = spark.sparkContext._jvm
+    garbage = jvm.java.util.ArrayList()
+    seen = jvm.java.lang.ref.WeakReference(garbage)
+    spark.sparkContext._gateway.detach(garbage)
+    assert not seen.refersTo(None)
+    p.tidy_executors(spark)
+    assert seen.refersTo(None)
