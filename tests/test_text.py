@@ -56,6 +56,11 @@ def test_digits_words_and_parts(spark):
     assert one(spark, " ", text.name_pair) is None and one(spark, "Warszawa", text.name_head) == "Wars."
 
 
+def test_a_longer_number_is_no_code_of_a_file(spark):
+    assert one(spark, "a/b/1000000_x1.xml", text.file_code) is None
+    assert one(spark, "2000001/123456_x1.xml", text.file_code) == "123456"
+
+
 def test_grams(spark):
     rows = one(spark, "KRAKOW", lambda c: text.grams(c, 3))
     assert [(r.gram, r.weight) for r in rows] == [("KRA", 0.25), ("_RAK", 0.25), ("__AKO", 0.25), ("___KOW", 0.25)]
