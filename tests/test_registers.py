@@ -173,3 +173,22 @@ def test_relational(spark):
         with pytest.raises(ValueError):
             check()
     assert relational.expect_unique(df, ["v"]) is df
+
+
+def test_pairs_are_the_same_with_and_without_tables_and_broadcasts(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = []
+    for k in range(120):
+        lat = rng.choice([None, 1.0, 2.0])
+        counts = [rng.choice([None, 0, 1, 2]) if s in "AB" else 0 for s in registers.SECTIONS]
+        rows.append((k, f"d{rng.randrange(40)}", "", f"JAN{rng.randrange(4)} NOWAK", "", False, lat, lat, None, *counts))
+    columns = ", ".join(f"{c} int" for c in SECTIONS)
+    df = entity.coauthors(spark.createDataFrame(rows, f"id long, doc string, firstnames string, value string, lastnames string, organisation boolean, lat double, lon double, loceval string, {columns}"))
+    pairs = lambda: sorted(map(tuple, entity.similarity(df).collect()))
+    found = entity.similarity(df)
+    assert "array_union" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = sorted(map(tuple, found.collect()))
+    monkeypatch.setattr(entity, "MOST_SETS", 0)
+    assert pairs() == want
+    monkeypatch.setattr(entity, "MOST_PEOPLE", 0)
+    assert pairs() == want and len(want) > 1000
