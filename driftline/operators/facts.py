@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.dates import mixed_date, parts
 from ..functions.geo import vincenty
-from ..session import checked_small
+from ..session import checked_small, written
 
 EVENT_ORDER = ["exhibition", "priority", "regional", "fill", "application", "nogrant", "grant", "decision", "publication"]
 
@@ -113,9 +113,10 @@ def closest(named: DataFrame) -> DataFrame:
     """(doc, city, lat, lon, loceval) of (doc, city, lat, lon) with one place for each name of a document.
 
     loceval is 'unique' where there was only one, 'proximity' where the others decided, and
-    'ambiguous' for a single name with several places, of which the least is taken.
+    'ambiguous' for a single name with several places, of which the least is taken. Documents that name the same towns are one choice.
     """
-    sized = named.groupBy("doc", "city").agg(F.array_sort(F.collect_set(F.struct("lat", "lon"))).alias("at"))
+    # rows of a document meet once, and both groupings keep them there
+    sized = named.repartition("doc").groupBy("doc", "city").agg(F.array_sort(F.collect_set(F.struct("lat", "lon"))).alias("at"))
     by_doc = sized.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("city", "at"))).alias("towns"), F.max(F.size("at")).alias("most"))
     plain = by_doc.where("most = 1 or size(towns) = 1")
     kind = F.when(F.size("t.at") == 1, "unique").otherwise("ambiguous")
@@ -126,14 +127,17 @@ def closest(named: DataFrame) -> DataFrame:
             out = []
             listed = [[np.array([[p["lat"], p["lon"]] for p in t["at"]]) for t in towns] for towns in batch["towns"]]
             tables = _apart(listed) if listed else []
-            for doc, towns, points, apart in zip(batch["doc"], batch["towns"], listed, tables, strict=True):
+            for h1, h2, towns, points, apart in zip(batch["__h1"], batch["__h2"], batch["towns"], listed, tables, strict=True):
                 for n, p, k in zip([t["city"] for t in towns], points, _choose(points, apart), strict=True):
-                    out.append((doc, n, float(p[k][0]), float(p[k][1]), "unique" if len(p) == 1 else "proximity"))
-            yield pd.DataFrame(out, columns=["doc", "city", "lat", "lon", "loceval"])
-
-    kinds = dict(named.dtypes)
-    hard = by_doc.where("most > 1 and size(towns) > 1").select("doc", "towns")
-    return easy.unionByName(hard.mapInPandas(choose, f"doc {kinds['doc']}, city string, lat double, lon double, loceval string"))
+                    out.append((h1, h2, n, float(p[k][0]), float(p[k][1]), "unique" if len(p) == 1 else "proximity"))
+            yield pd.DataFrame(out, columns=["__h1", "__h2", "city", "lat", "lon", "loceval"])
+
+    key = {f"__h{k}": F.xxhash64(F.lit(k), "towns") for k in (1, 2)}
+    hard = by_doc.where("most > 1 and size(towns) > 1").select("doc", "towns").withColumns(key)
+    n = 4 * named.sparkSession.sparkContext.defaultParallelism
+    sets = hard.select(*key, "towns").distinct().repartition(n)
+    chosen = checked_small(written(sets.mapInPandas(choose, "__h1 long, __h2 long, city string, lat double, lon double, loceval string"), "chosen"))
+    return easy.unionByName(hard.select("doc", *key).join(chosen, list(key)).select("doc", "city", "lat", "lon", "loceval"))
 
 
 def distances(towns: DataFrame, kind: str | None = "miasto") -> DataFrame:

@@ -3,6 +3,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from driftline import session
 from driftline.functions import geo
 from driftline.operators import facts, regions
 
@@ -72,6 +73,16 @@ def test_closest(spark):
     assert out == {("d", "X"): (50.0, "proximity"), ("d", "Y"): (50.1, "unique"), ("e", "X"): (50.0, "ambiguous"), ("f", "Y"): (50.1, "unique")}
 
 
+def test_documents_with_the_same_towns_are_one_choice(spark):
+    rows = [(d, c, 50.0 + d % 3 + k, 20.0) for d in range(60) for c, n in (("X", 2), ("Y", 3)) for k in range(n)]
+    before = set(session._WRITTEN)
+    out = facts.closest(spark.createDataFrame(rows, "doc long, city string, lat double, lon double"))
+    (chosen,) = [p for p in session._WRITTEN if p not in before]
+    assert spark.read.parquet(chosen).count() == 3 * 2
+    found = {(r.doc, r.city): (r.lat, r.loceval) for r in out.collect()}
+    assert len(found) == 120 and all(found[d, c] == found[d % 3, c] for d, c in found) and found[0, "X"] == found[0, "Y"]
+
+
 def test_many_choices_are_bettered_one_at_a_time(monkeypatch):
     points = [np.array([[50.0, 20.0], [10.0 + k, 80.0]]) for k in range(6)]
     assert facts._choose(list("abcdef"), points) == [0] * 6
