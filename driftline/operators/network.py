@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine
-from .relational import suffixed
 from .registers import SECTIONS
+from .relational import suffixed
 
 FROM_YEAR = 2011
 # fixed values: bounds of the distance classes in kilometres, and the class of all else
@@ -24,26 +24,27 @@ def network(
 ) -> DataFrame:
     """An edge for each person of a cited document and each of the citing one, whose columns end in Y.
 
-    Columns besides: distance in kilometres, of `towns` (lat, lon, latY, lonY, distance) or on the sphere; tgrant and tapplication,
-    days between; Jaccard of the sections. Only edges to later applications, and from from_year on, are there:
-    documents that can't have any are dropped before persons are joined.
+    Columns besides, where persons have what they are made of: distance in kilometres, of `towns` (lat, lon, latY, lonY, distance) or on the
+    sphere; tgrant and tapplication, days between; Jaccard of the sections. Only edges to later applications, and from from_year on, are there:
+    persons of documents before it are dropped before they are joined as citing ones.
     """
-    dated = persons.groupBy("doc").agg(F.max("application").alias("last"), F.min("application").alias("first"))
-    docs = citations.join(dated.select(F.col("doc").alias("from"), "first"), "from").join(dated.select(F.col("doc").alias("to"), "last"), "to")
-    late = F.col("last") > F.col("first")
-    if from_year is not None:
-        late = late & (F.year("last") >= from_year)
-    kept = docs.where(late).select(*citations.columns)
-    cited = persons.withColumnRenamed("doc", "from").withColumn("doc", F.col("from"))
-    citing = suffixed(persons, "Y").withColumn("to", F.col("docY"))
-    edges = kept.join(cited, "from").join(citing, "to").withColumn("tapplication", F.datediff("applicationY", "application")).where("tapplication > 0")
-    edges = edges.withColumn("tgrant", F.datediff("grantY", "grant"))
-    if towns is None:
-        edges = edges.withColumn("distance", haversine(*[F.col(c) for c in ("lat", "lon", "latY", "lonY")]))
-    else:
-        edges = edges.join(towns, ["lat", "lon", "latY", "lonY"], "left")
-    edges = edges.withColumn("Jaccard", jaccard(sections))
-    return edges.where(F.year("applicationY") >= from_year) if from_year is not None else edges
+    columns = [c for c in persons.columns if c != "year"]  # that of the application, and so taken from it
+    people = persons.select(*columns)
+    citing = people if from_year is None else people.where(F.year("application") >= from_year)
+    citing = suffixed(citing, "Y").withColumnRenamed("docY", "to")
+    edges = citations.join(citing, "to").join(people.withColumnRenamed("doc", "from"), "from")
+    edges = edges.withColumn("tapplication", F.datediff("applicationY", "application")).where("tapplication > 0")
+    edges = edges.withColumns({"doc": F.col("from"), "docY": F.col("to"), "year": F.year("application"), "yearY": F.year("applicationY")})
+    if "grant" in persons.columns:
+        edges = edges.withColumn("tgrant", F.datediff("grantY", "grant"))
+    if "lat" in persons.columns:
+        if towns is None:
+            edges = edges.withColumn("distance", haversine(*[F.col(c) for c in ("lat", "lon", "latY", "lonY")]))
+        else:
+            edges = edges.join(towns, ["lat", "lon", "latY", "lonY"], "left")
+    if all(f"clsf_{s}" in persons.columns for s in sections):
+        edges = edges.withColumn("Jaccard", jaccard(sections))
+    return edges
 
 
 def jaccard(sections: list[str] = SECTIONS) -> Column:
@@ -125,25 +126,26 @@ def mean_distances(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 def cite_kinds(edges: DataFrame, persons: DataFrame, region: str, from_year: int = FROM_YEAR) -> DataFrame:
     """Persons (doc, region, year, generator, synthesis): whether their document is cited, and cites, within and beyond a region.
 
-    An edge is internal if both sides are in one region that is known. Flags are those of the document.
+    An edge is internal if both sides are in one region that is known. Flags are those of the document. Persons that are weighed keep their n.
     """
     inside = F.coalesce(F.col(region) == F.col(region + "Y"), F.lit(False))
     side = lambda c, k: F.struct(F.col(c).alias("doc"), F.lit(k).alias("side"))
     pairs = edges.groupBy("from", "to").agg(F.max(inside).alias("in"), F.max(~inside).alias("out"))
     ends = pairs.select("in", "out", F.explode(F.array(side("from", "g"), side("to", "s"))).alias("e"))
     flags = ends.groupBy("e.doc").agg(*[F.coalesce(F.max(F.when(F.col("e.side") == p, F.col(n))), F.lit(False)).alias(f"{p}_{n}") for p in "gs" for n in ("in", "out")])
-    out = persons.where(F.col("year") >= from_year).select("doc", region, "year").join(flags, "doc", "left")
+    number = [c for c in ("n",) if c in persons.columns]
+    out = persons.where(F.col("year") >= from_year).select("doc", region, "year", *number).join(flags, "doc", "left")
     out = out.fillna(False, [f"{p}_{n}" for p in "gs" for n in ("in", "out")])
 
     def label(p: str, none: str, verb: str) -> Column:
         a, b = F.col(f"{p}_in"), F.col(f"{p}_out")
         return F.when(a & b, f"{verb} w.&z.").when(a, f"{verb} wewn.").when(b, f"{verb} zewn.").otherwise(none)
 
-    return out.select("doc", region, "year", label("g", "nie cytowane", "cytowane").alias("generator"), label("s", "nie cytujące", "cytujące").alias("synthesis"))
+    return out.select("doc", region, "year", *number, label("g", "nie cytowane", "cytowane").alias("generator"), label("s", "nie cytujące", "cytujące").alias("synthesis"))
 
 
 def cite_kind_counts(kinds: DataFrame, region: str) -> DataFrame:
-    return kinds.where(F.col(region).isNotNull()).groupBy(region, "year", "generator", "synthesis").agg(F.count("*").alias("size"))
+    return kinds.where(F.col(region).isNotNull()).groupBy(region, "year", "generator", "synthesis").agg((F.sum("n") if "n" in kinds.columns else F.count("*")).alias("size"))
 
 
 def cite_correlations(counts: DataFrame, region: str) -> DataFrame:
@@ -157,10 +159,10 @@ def cite_correlations(counts: DataFrame, region: str) -> DataFrame:
 
 
 def region_matrix(edges: DataFrame, region: str) -> DataFrame:
-    """(region, regionY, yearY, size, distance): citations and mean distance; the count within a region is set to 0."""
+    """(region, regionY, yearY, size, distance): citations and, if the edges have it, mean distance; the count within a region is set to 0."""
     other = region + "Y"
     by = edges.where(F.col(region).isNotNull() & F.col(other).isNotNull()).groupBy(region, other, "yearY")
-    out = by.agg(edge_count(edges).alias("size"), edge_mean(edges, "distance").alias("distance"))
+    out = by.agg(edge_count(edges).alias("size"), *[edge_mean(edges, c).alias(c) for c in ("distance",) if c in edges.columns])
     return out.withColumn("size", F.when(F.col(region) == F.col(other), F.lit(0)).otherwise(F.col("size")).cast("long"))
 
 

@@ -198,7 +198,7 @@ SELECT wgid, wgidY, x.r_name AS wgid_name, y.r_name AS wgidY_name, CAST(sum(CASE
 FROM edges JOIN region x ON x.r_regionkey = wgid JOIN region y ON y.r_regionkey = wgidY GROUP BY 1, 2, 3, 4
 """)
 def region_matrix_named(spark, d):
-    matrix = network.region_matrix(tables.edges(spark, d), "wgid").groupBy("wgid", "wgidY").agg(F.sum("size").alias("size"))
+    matrix = network.region_matrix(tables.edges(spark, d, ["wgid"]), "wgid").groupBy("wgid", "wgidY").agg(F.sum("size").alias("size"))
     return regions.named(matrix, table(spark, d, "region").select(F.col("r_regionkey").alias("gid"), F.col("r_name").alias("name")), ["wgid", "wgidY"])
 
 
@@ -496,7 +496,7 @@ SELECT row_number() OVER (ORDER BY abs(a - b) / CAST(a + b AS DOUBLE) DESC, lat,
 """)
 def flow_top(spark, d):
     """The busiest places, the most one-sided first."""
-    top = network.top_flows(network.flow(tables.edges(spark, d)), 100)
+    top = network.top_flows(network.flow(tables.edges(spark, d, ["lat", "lon"])), 100)
     from ..operators.relational import row_ids
 
     ranked = row_ids(top, [F.col("frac").desc(), F.col("lat"), F.col("lon")], "rank")
@@ -556,7 +556,7 @@ f AS (SELECT c[1].n AS first FROM m WHERE len(c) = 2)
 SELECT pgid, size, CAST(CASE WHEN row_number() OVER (ORDER BY size, pgid) <= first THEN 0 ELSE 1 END AS INT) AS cluster FROM v, f
 """)
 def ward_split(spark, d):
-    e = tables.edges(spark, d)
+    e = tables.edges(spark, d, ["pgid"])
     totals = e.groupBy("pgid").agg(network.edge_count(e).alias("size"))
     return analytics.ward_split(totals, "pgid", "size")
 

@@ -119,3 +119,21 @@ def test_clusters_and_centrality(spark):
     assert len([k for k in got if k[2] == 100.0]) == 2 and abs(got[50.0, 20.0, 100.0] * 3 - got[50.0, 21.0, 100.0] * 1.5) < 1e-9
     by = analytics.cluster_means(spark.createDataFrame([(0, 1.0), (0, 3.0), (1, 5.0)], "kmeans int, a double"), ["a"])
     assert {tuple(r) for r in by.collect()} == {(0, "a", 2.0), (1, "a", 5.0)}
+
+
+def test_edges_of_some_columns_are_those_of_all(spark):
+    from driftline.plans import tables
+
+    d = "/root/testdata/sf0.001"
+    by = lambda e: {tuple(r) for r in e.groupBy("from", "to", "wgid", "wgidY").agg(network.edge_count(e)).collect()}
+    few = tables.edges(spark, d, ["wgid"])
+    assert not {"distance", "Jaccard", "lat", "grant"} & set(few.columns)
+    assert by(few) == by(tables.edges(spark, d)) and few.count() < tables.edges(spark, d).count()
+
+
+def test_weighed_persons_are_counted_by_their_number(spark):
+    rows = [("a", 1, 2011, "2011-01-01")] * 3 + [("b", 2, 2012, "2012-01-01")]
+    people = spark.createDataFrame(rows, "doc string, w int, year int, application string").withColumn("application", F.to_date("application"))
+    cites = spark.createDataFrame([("a", "b")], "from string, to string")
+    counts = lambda p: {tuple(r) for r in network.cite_kind_counts(network.cite_kinds(network.network(cites, p), p, "w"), "w").collect()}
+    assert counts(network.weighed(people)) == counts(people) and {r[-1] for r in counts(people)} == {3, 1}
