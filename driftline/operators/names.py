@@ -43,6 +43,7 @@ def dictionary(names: DataFrame, parts: list[str] = ORG_PARTS, keywords: list[st
     whole names, and those that are both, are ambiguous. The strongest role wins. literal=False
     takes the parts as patterns and the keywords anywhere in a name, not only as whole words.
     """
+    names = names.select("value", "assignement", "type").distinct()  # roles don't depend on how often a name is given
     raw = names.withColumn("is_part", contains_any(F.upper("value"), parts, literal)).withColumn("value", strnorm(F.col("value")))
     padded = F.concat(F.lit(" "), F.col("value"), F.lit(" "))
     keyed = contains_any(padded, [f" {k} " for k in keywords]) if literal else contains_any(F.col("value"), keywords)

@@ -192,3 +192,10 @@ def test_pairs_are_the_same_with_and_without_tables_and_broadcasts(spark, monkey
     assert pairs() == want
     monkeypatch.setattr(entity, "MOST_PEOPLE", 0)
     assert pairs() == want and len(want) > 1000
+
+
+def test_equal_names_are_judged_once(spark):
+    rows = [(k, 1, "ACME (PL) & Co.*", "names", None) for k in range(5)] + [(9, 1, "A.B", "names", None)]
+    found = names.dictionary(spark.createDataFrame(rows, "doc long, id long, value string, assignement string, type string"), parts=["(PL)", ".*"])
+    assert {r.value: r.role for r in found.collect()} == {"ACME PL CO": "orgname", "A": "ambigname", "B": "ambigname"}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Contains(") == 0
