@@ -16,11 +16,30 @@ DESCRIBED = ["mean", "std", "min", "q1", "median", "q3", "max"]
 
 
 def describe(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
-    """Mean, sample deviation, least, quartiles by linear interpolation, and largest value."""
-    q = lambda p: F.percentile(column, F.lit(p))
-    values = [F.avg(column), F.stddev_samp(column), F.min(column), q(0.25), q(0.5), q(0.75), F.max(column)]
-    named = [v.cast("double").alias(n) for v, n in zip(values, DESCRIBED, strict=True)]
-    return df.groupBy(*by).agg(*named) if by else df.agg(*named)
+    """Mean, sample deviation, least, quartiles by linear interpolation, and largest value.
+
+    Quartiles are found among counted values that lie in ranges, so no task has all values of a group.
+    """
+    by = by or []
+    values = [F.avg(column), F.stddev_samp(column), F.min(column), F.max(column)]
+    basic = df.groupBy(*by).agg(*[v.cast("double").alias(n) for v, n in zip(values, ["mean", "std", "min", "max"], strict=True)])
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("__v")).agg(F.count("*").alias("__n"))
+    ranged = written(counts.repartitionByRange(n, *by, "__v").withColumn("__part", F.spark_partition_id()), "values")
+    part = ranged.groupBy(*by, "__part").agg(F.sum("__n").alias("__in"))
+    known = Window.partitionBy(*by)
+    part = part.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__part").alias("__p"), F.sum("__in").over(known).alias("__all"), (F.sum("__in").over(known.orderBy("__part")) - F.col("__in")).alias("__start"))
+    same = lambda side: [F.col(c).eqNullSafe(F.col(f"{side}{c}")) for c in by]
+    placed = ranged.withColumn("__end", F.sum("__n").over(Window.partitionBy(*by, "__part").orderBy("__v")))
+    placed = placed.join(part, [F.col("__part") == F.col("__p"), *same("__")]).withColumn("__end", F.col("__end") + F.col("__start"))
+    quartiles = []
+    for name, p in zip(["q1", "median", "q3"], [0.25, 0.5, 0.75], strict=True):
+        at = F.col("__all").cast("double") - 1
+        holds = lambda k: F.max(F.when((F.col("__end") > k) & (F.col("__end") - F.col("__n") <= k), F.col("__v").cast("double")))
+        low, high, share = holds(F.floor(at * p)), holds(F.ceil(at * p)), F.max(at * p - F.floor(at * p))
+        quartiles.append((low * (1 - share) + high * share).alias(name))
+    found = placed.groupBy(*by).agg(*quartiles).withColumnsRenamed({c: f"__{c}" for c in by})
+    return basic.join(found, same("__") or F.lit(True), "left").select(*by, *DESCRIBED)
 
 
 def histogram(df: DataFrame, column: str, step: float, by: list[str] | None = None, name: str = "bin") -> DataFrame:

@@ -137,3 +137,17 @@ def test_weighed_persons_are_counted_by_their_number(spark):
     cites = spark.createDataFrame([("a", "b")], "from string, to string")
     counts = lambda p: {tuple(r) for r in network.cite_kind_counts(network.cite_kinds(network.network(cites, p), p, "w"), "w").collect()}
     assert counts(network.weighed(people)) == counts(people) and {r[-1] for r in counts(people)} == {3, 1}
+
+
+def test_quartiles_are_exact_by_group_and_without_a_map_of_all_values(spark):
+    rng = np.random.default_rng(4)
+    rows = [(None if k % 3 == 2 else f"g{k % 3}", float(v)) for k, v in enumerate(rng.integers(0, 60, 301))] + [("g0", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    found = analytics.describe(df, "v", ["g"])
+    assert "percentile" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.g: (r.q1, r.median, r.q3, r.min, r.max) for r in found.collect()}
+    for g in (None, "g0", "g1"):
+        v = [x for k, x in rows if k == g and x is not None]
+        assert np.allclose(got[g], [*np.percentile(v, [25, 50, 75]), min(v), max(v)])
+    assert got["none"] == (None,) * 5 and len(got) == 4
+    assert analytics.describe(df.where("false"), "v").first().median is None
