@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_any, strnorm
+from ..session import checked_small, written
 
 # fixed values: what marks an organisation
 ORG_PARTS = ["&", "INTERNAZIO", "INTERNATIO", "INC.", "ING.", "SP. Z O. O.", "S.P.A."]
@@ -66,28 +67,18 @@ def classified(pulled: DataFrame, known: DataFrame) -> DataFrame:
     """pulled with organisation, true, false or null, and firstnames and lastnames.
 
     A value that is in the dictionary as a whole is an organisation or a person; one whose
-    words are all names of persons is a person; others are not known. Null cities are equal to each other.
+    words are all names of persons is a person; others are not known. Each different value is judged once.
     """
-    keys = ["doc", "id", "city"]
     roles = known.withColumnRenamed("role", "__role")
-    whole = pulled.join(roles, "value", "left")
-    rest = whole.where("__role is null").drop("__role")
-    parts = rest.select("id", "doc", "city", "value", F.posexplode(F.filter(F.split("value", " "), lambda w: w != "")).alias("__k", "__word"))
+    values = pulled.select("value").distinct()
+    whole = values.join(roles, "value", "left")
+    one = lambda role: F.when(F.col("__role") == role, F.col("value"))
+    sure = whole.where("__role is not null").select("value", (F.col("__role") == "orgname").alias("organisation"), one("firstname").alias("firstnames"), one("lastname").alias("lastnames"))
+    rest = whole.where("__role is null").select("value")
+    parts = rest.select("value", F.posexplode(F.filter(F.split("value", " "), lambda w: w != "")).alias("__k", "__word"))
     words = parts.join(roles.where("__role <> 'orgname'").withColumnRenamed("value", "__word"), "__word", "left")
     listed = lambda role: F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.when(F.col("__role") == role, F.struct("__k", "__word")))), lambda x: x["__word"]))
-    people = words.groupBy(*keys, "value").agg(
-        F.min(F.col("__role").isNotNull()).alias("all_known"), listed("firstname").alias("firstnames"), listed("lastname").alias("lastnames")
-    )
-    people = people.withColumnsRenamed({k: f"__{k}" for k in [*keys, "value"]})
-    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in [*keys, "value"]]
-    judged = rest.join(people, same, "left").select(
-        *pulled.columns,
-        F.when(F.col("all_known"), F.lit(False)).alias("organisation"),
-        F.when(F.col("all_known"), F.col("firstnames")).alias("firstnames"),
-        F.when(F.col("all_known"), F.col("lastnames")).alias("lastnames"),
-    )
-    one = lambda role: F.when(F.col("__role") == role, F.col("value"))
-    sure = whole.where("__role is not null").select(
-        *pulled.columns, (F.col("__role") == "orgname").alias("organisation"), one("firstname").alias("firstnames"), one("lastname").alias("lastnames")
-    )
-    return sure.unionByName(judged)
+    people = words.groupBy("value").agg(F.min(F.col("__role").isNotNull()).alias("all_known"), listed("firstname").alias("firstnames"), listed("lastname").alias("lastnames"))
+    people = people.where("all_known").select("value", F.lit(False).alias("organisation"), "firstnames", "lastnames")
+    judged = checked_small(written(sure.unionByName(people), "judged"))
+    return pulled.join(judged, "value", "left").select(*pulled.columns, "organisation", "firstnames", "lastnames")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strnorm
@@ -27,8 +27,13 @@ def pulled(names: DataFrame, cities: DataFrame) -> DataFrame:
     order = F.when(F.col("part") == "firstnames", 0).when(F.col("part") == "lastnames", 1).otherwise(2)
     alone = F.when(F.col("part") == "names", F.concat_ws("/", "frame", "col"))
     keyed = tagged.withColumn("k", order).withColumn("alone", alone)
-    town = cities.groupBy("doc", "id").agg(F.min(strnorm(F.col("value"), True, True)).alias("city"))
-    joined = keyed.join(town, ["doc", "id"], "left")
+    # names and towns are dealt out by document once; all that follows is done where they then are
+    named = keyed.select("doc", "id", "frame", "col", "value", "role", "k", "alone", F.lit(None).cast("string").alias("town"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in dict(named.dtypes).items() if c not in ("doc", "id", "town")]
+    towns = cities.select("doc", "id", strnorm(F.col("value"), True, True).alias("town"), *none)
+    rows = named.withColumn("__name", F.lit(True)).unionByName(towns.withColumn("__name", F.lit(False))).repartition("doc")
+    known = F.col("doc").isNotNull() & F.col("id").isNotNull()
+    joined = rows.withColumn("city", F.when(known, F.min("town").over(Window.partitionBy("doc", "id")))).where("__name")
     listed = F.array_sort(F.collect_list(F.struct("k", "frame", "col", "value")))
     flags = [F.max(F.col("role") == r).alias(r) for r in ROLE_FLAGS]
     people = joined.groupBy("doc", "id", "alone", "role", "city").agg(F.concat_ws(" ", F.transform(listed, lambda x: x["value"])).alias("value"), *flags)

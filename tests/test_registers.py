@@ -199,3 +199,17 @@ def test_equal_names_are_judged_once(spark):
     found = names.dictionary(spark.createDataFrame(rows, "doc long, id long, value string, assignement string, type string"), parts=["(PL)", ".*"])
     assert {r.value: r.role for r in found.collect()} == {"ACME PL CO": "orgname", "A": "ambigname", "B": "ambigname"}
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Contains(") == 0
+
+
+def test_persons_are_pulled_in_one_shuffle_and_values_judged_once(spark):
+    rows = [(f"d{k % 9}", str(k % 2), "f", f"c{k}", v, "names-applicant") for k, v in enumerate(["JAN NOWAK", "ACME", "X Y"] * 12)] + [(None, "1", "f", "c", "ACME", "names-assignee")]
+    df = spark.createDataFrame(rows, "doc string, id string, frame string, col string, value string, assignement string")
+    cities = spark.createDataFrame([("d1", "1", "B"), ("d1", "1", "A"), (None, "1", "C"), ("e", "1", "D")], "doc string, id string, value string")
+    found = registers.pulled(df, cities)
+    got = found.collect()
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange ") <= 2  # of the plan and of its first form
+    assert {(r.doc, r.city) for r in got} == {(f"d{k}", None) for k in range(9)} | {("d1", "A"), (None, None)}
+    known = spark.createDataFrame([("ACME", "orgname"), ("JAN", "firstname"), ("NOWAK", "lastname")], "value string, role string")
+    judged = {(r.value, r.organisation, r.firstnames, r.lastnames) for r in names.classified(found, known).collect()}
+    assert judged == {("JAN NOWAK", False, "JAN", "NOWAK"), ("ACME", True, None, None), ("X Y", None, None, None)}
+    assert names.classified(found, known).count() == len(got)
